@@ -136,23 +136,23 @@ def digest(found: DataFrame) -> DataFrame:
 def _sql_spans(kind: str, pattern: str, check: str) -> str:
     """DuckDB: the spans of one kind as `kind:start:end`, from the pieces between matches."""
     return f"""
-  list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), i -> {{
-      's': list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], x -> length(x)))
-         + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i-1], x -> length(x))), 0),
-      'm': regexp_extract_all(t, '{pattern}')[i]}}), h -> {check}),
-    h -> '{kind}:' || CAST(h.s AS BIGINT) || ':' || CAST(h.s + length(h.m) AS BIGINT))"""
+  list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+      's': list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i-1], lambda x: length(x))), 0),
+      'm': regexp_extract_all(t, '{pattern}')[i]}}), lambda h: {check}),
+    lambda h: '{kind}:' || CAST(h.s AS BIGINT) || ':' || CAST(h.s + length(h.m) AS BIGINT))"""
 
 
 _DIGITS = "regexp_replace(h.m, '[^0-9]', '', 'g')"
 _NEAR = f"lower(substring(t, greatest(h.s - {CONTEXT}, 0)::BIGINT + 1, least(h.s, {CONTEXT})::BIGINT))"
-_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), j -> CASE WHEN j % 2 = 1
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1
       THEN CAST(substring(reverse({_DIGITS}), j, 1) AS INT)
       ELSE (2 * CAST(substring(reverse({_DIGITS}), j, 1) AS INT)) // 10 + (2 * CAST(substring(reverse({_DIGITS}), j, 1) AS INT)) % 10 END)) % 10 = 0"""
 _PLAIN = "replace(h.m, ' ', '')"
 _MOVED = f"substring({_PLAIN}, 5) || substring({_PLAIN}, 1, 4)"
 _MOD97 = f"""CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({_PLAIN}) + 1),
-      j -> ascii(substring({_MOVED}, j, 1))::BIGINT)),
-      (r, c) -> CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) AS BIGINT) = 1"""
+      lambda j: ascii(substring({_MOVED}, j, 1))::BIGINT)),
+      lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) AS BIGINT) = 1"""
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k AS (SELECT doc_id,

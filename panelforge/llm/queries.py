@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import exact_dedup, pii
+from panelforge.llm import exact_dedup, line_dedup, mixing, packing, pii, token_files
 from panelforge.llm.common import table
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
@@ -16,11 +24,25 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False).drop("row")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_mix": op3_mix,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_packing": op8_packing,
     "op9_pii": op9_pii,
+    "op10_token_files": op10_token_files,
 }
 SQL = {
+    "op3_mix": mixing.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_pii": pii.ORACLE,
 }
