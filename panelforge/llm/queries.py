@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import exact_dedup, langid, line_dedup, mixing, neighbours, packing, pii, suffix_tree, token_files
+from panelforge.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, suffix_tree, token_files
 from panelforge.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_mix": op3_mix,
     "op4_neighbours": op4_neighbours,
