@@ -1,6 +1,8 @@
-"""Every query of the reference's operators over the given tables, with its DuckDB SQL."""
+"""Every query of the analysis operators over the given tables, with its DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from panelforge.plans import basics, series_queries
+
+QUERIES = basics.QUERIES | series_queries.QUERIES
+SQL = basics.SQL | series_queries.SQL
