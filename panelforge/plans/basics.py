@@ -57,18 +57,18 @@ def vector_scrub(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LI}, {VOX},
 e AS (SELECT a.subject, a.roi * 6 - a.roi * (a.roi - 1) // 2 + b.roi - a.roi - 1 AS pos, {_corr('a.v', 'b.v')} AS value FROM qty a JOIN qty b ON a.subject = b.subject AND a.t = b.t AND a.roi < b.roi GROUP BY a.subject, a.roi, b.roi),
-m AS (SELECT s.subject, 21 + s.k AS pos, coalesce(v.mean, 0) / 10000 AS value FROM (SELECT * FROM (SELECT DISTINCT subject FROM vox), (SELECT roi, row_number() OVER (ORDER BY roi) - 1 AS k FROM (SELECT DISTINCT roi FROM mask WHERE roi <> 0))) s
+m AS (SELECT s.subject, 21 + s.k AS pos, ln(1 + coalesce(v.mean, 0)) AS value FROM (SELECT * FROM (SELECT DISTINCT subject FROM vox), (SELECT roi, row_number() OVER (ORDER BY roi) - 1 AS k FROM (SELECT DISTINCT roi FROM mask WHERE roi <> 0))) s
   LEFT JOIN (SELECT subject, roi, avg(stat) AS mean FROM vox JOIN mask USING (voxel_id) WHERE roi <> 0 GROUP BY 1, 2) v ON v.subject = s.subject AND v.roi = s.roi),
 r AS (SELECT s_suppkey AS subject, 21 + (SELECT count(DISTINCT roi) FROM mask WHERE roi <> 0) AS pos, s_acctbal AS value FROM supplier WHERE s_suppkey IN (SELECT subject FROM vox)),
 u AS (SELECT * FROM e UNION ALL SELECT * FROM m UNION ALL SELECT * FROM r)
 SELECT subject, pos::INT AS pos, {R('value')} AS value FROM u""")
 def assemble_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Edges, regional means in ten thousands, and a raw column, side by side."""
+    """Edges, logarithms of regional means, and a raw column, side by side."""
     edges = features.connectivity(domain.to_series(domain.lineitem_panel(spark, d, ("qty",)))).select("subject", F.col("edges").alias("features"))
     voxels, mask = domain.voxels(spark, d), domain.mask(spark, d)
     rois = [r[0] for r in mask.filter("roi != 0").select("roi").distinct().orderBy("roi").collect()]  # the mask's regions
     means = features.roi_means(voxels, mask).groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("roi", "mean"))).alias("m"))
-    means = voxels.select("subject").distinct().join(means, "subject", "left").select("subject", F.array(*(F.coalesce(F.col("m")[F.lit(r)], F.lit(0.0)) / 10000 for r in rois)).alias("features"))
+    means = voxels.select("subject").distinct().join(means, "subject", "left").select("subject", F.array(*(F.log1p(F.coalesce(F.col("m")[F.lit(r)], F.lit(0.0))) for r in rois)).alias("features"))
     raw = prepare.gather_columns(table(spark, d, "supplier"), "s_suppkey", ["s_acctbal"])
     return prepare.assemble_features([edges, means, raw]).select("subject", F.posexplode("features").alias("pos", "value")).select("subject", "pos", rounded("value").alias("value"))
 
