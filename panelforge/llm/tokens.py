@@ -3,25 +3,66 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from pathlib import Path
 
-#: Entries of a cache; a full cache starts anew.
-CACHE = 300_000
+#: Entries of a cache, by kind of pieces. A full cache is set aside, and what is asked for again comes back from there.
+CACHE = {"words": 300_000, "spaced": 120_000, None: 0}
 #: What Python's split takes for white space and the tokenizers' patterns don't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 class _Pieces(dict):
-    def __init__(self, encode, prefix=""):
+    """Ids of pieces, each after `prefix`. A full stop or comma after a letter, and a line feed between other
+    characters, are tokens of their own in the tokenizers' patterns, so such pieces are put together."""
+
+    def __init__(self, encode, most, prefix="", fold=False, inner=None):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.most, self.prefix, self.fold, self.inner, self.aside = encode, most, prefix, fold, self if inner is None else inner, {}
 
     def __missing__(self, piece):
-        if len(self) >= CACHE:
-            self.clear()
-        self[piece] = ids = self.encode(self.prefix + piece)
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+            return self[piece[:-1]] + self.inner[piece[-1]]
+        if self.fold and "A" <= piece[0] <= "Z":
+            return self[piece[0].lower() + piece[1:]]
+        if "\n" in piece:
+            head, _, tail = piece.partition("\n")
+            if head and tail and not head[-1].isspace() and not tail[0].isspace():
+                return self[head] + self.inner["\n"] + self.inner[tail]
+        ids = self.aside.get(piece)
+        if ids is None:
+            ids = self.encode(self.prefix + piece)
+        if len(self) >= self.most:
+            self.set_aside()
+        self[piece] = ids
         return ids
 
+    def set_aside(self):
+        self.aside = dict(self)
+        self.clear()
+
+    def base(self, piece):
+        """What of a piece is looked up by itself."""
+        if len(piece) > 1 and piece[-1] in ".," and piece[-2].isalpha():
+            piece = piece[:-1]
+        return piece[0].lower() + piece[1:] if self.fold and "A" <= piece[:1] <= "Z" else piece
+
+    def learn(self, pieces, encode_words):
+        """Encode the Latin words among new pieces together, which takes less time than one by one."""
+        new = {b for b in map(self.base, {p for p in pieces if p not in self}) if b not in self and b not in self.aside and b.isalpha() and max(b) < "\u0250"}
+        if len(new) > 1:
+            if len(self) + len(new) > self.most:
+                self.set_aside()
+            self.update(encode_words(list(new)))
+
+
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
 
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit integers.
@@ -32,23 +73,40 @@ class Encoder:
     """
 
     def __init__(self, path: str, pieces: str | None, end_id: int = 2):
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.pieces, self.end = pieces, np.array([end_id], dtype="<u4").tobytes()
-        self.first, self.later = _Pieces(self.whole), _Pieces(self.whole, " ")
+        self.whole = lambda text: little_endian(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        self.pieces, self.end, self.tokenizer = pieces, little_endian([end_id]), tokenizer
+        # of each id, whether it is the last (or, for spaced pieces, the first) of a word
+        names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
+        self.marks = [(x or "").endswith("</w>") if pieces == "words" else (x or "").startswith("\u0120") for x in names]
+        self.first = _Pieces(self.whole, CACHE[pieces], fold=pieces == "words")
+        self.later = _Pieces(self.whole, CACHE[pieces], " ", inner=self.first)
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters alone, each in lower case or after a space, as the kind of pieces asks."""
+        text = " ".join(words) if self.pieces == "words" else " " + " ".join(words)
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        at = [i for i, x in enumerate(ids) if self.marks[x]]
+        if len(at) != len(words):
+            return {}
+        begin, end = ([0, *(i + 1 for i in at[:-1])], [i + 1 for i in at]) if self.pieces == "words" else (at, [*at[1:], len(ids)])
+        data = little_endian(ids)
+        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, begin, end, strict=True)}
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text and the end id; a null text has the end id alone."""
         if not text:
             return self.end
         if self.pieces == "words" and not ODD_SPACE.search(text):
-            return b"".join(map(self.first.__getitem__, text.split())) + self.end
+            parts = text.split()
+            self.first.learn(parts, self.words)
+            return b"".join(map(self.first.__getitem__, parts)) + self.end
         if self.pieces == "spaced" and "  " not in text:
             head, *rest = text.split(" ")
+            self.later.learn(rest, self.words)
             return self.first[head] + b"".join(map(self.later.__getitem__, rest)) + self.end
         return self.whole(text) + self.end
 
