@@ -13,9 +13,13 @@ WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair of texts shares one of the bands with probability 0.9999.
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
-#: Bits of a sketch, one of each of the first registers. Pairs of similarity 0.8 differ in a tenth of them; six standard
-#: deviations more are let through to verification.
-SKETCH, MOST_BITS = 256, 55
+#: Registers of the finer signatures that nodes of different classes are compared by, a byte each, and how many have to
+#: agree: at similarity 0.8 it is 819 of 1024, give or take 13, and four such deviations fewer are let through.
+FINE_REGISTERS, FINE_AGREE = 1024, 768
+#: Nodes of a band, in and outside its largest class, that one task compares.
+MEMBERS, OUTSIDE = 1024, 256
+#: Bands that part the nodes of another band further.
+FINER = 6
 #: Words that a worker knows by heart; a full cache starts anew.
 CACHE = 200_000
 
@@ -63,7 +67,7 @@ def shingles(text: str | None):
     return found, counts, xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def prob_minhash(sets: list):
+def prob_minhash(sets: list, registers: int = REGISTERS):
     """Signatures of weighted sets, a list of (hashes, weights): for each register the element that arrives first.
 
     Each element arrives again and again, as a Poisson process whose rate is its weight, each time at a random register.
@@ -72,7 +76,7 @@ def prob_minhash(sets: list):
     """
     import numpy as np
 
-    out = np.zeros((len(sets), REGISTERS), np.uint64)
+    out = np.zeros((len(sets), registers), np.uint64)
     many = []
     for i, (hashes, _) in enumerate(sets):
         if len(hashes) == 1:
@@ -84,19 +88,19 @@ def prob_minhash(sets: list):
     h = np.concatenate([sets[i][0] for i in many])
     w = np.concatenate([sets[i][1] for i in many]).astype(float)
     of = np.repeat(np.arange(len(many)), [len(sets[i][0]) for i in many])
-    first, who = np.full(len(many) * REGISTERS, np.inf), np.zeros(len(many) * REGISTERS, np.uint64)
+    first, who = np.full(len(many) * registers, np.inf), np.zeros(len(many) * registers, np.uint64)
     t, state = np.zeros(len(h)), mixed(h + np.uint64(0x9E3779B97F4A7C15))
     while len(h):
         state = mixed(state + np.uint64(0x9E3779B97F4A7C15))
         t -= np.log(((state >> np.uint64(11)).astype(float) + 1) / 9007199254740993.0) / w
-        place = of * REGISTERS + (mixed(state) % np.uint64(REGISTERS)).astype(np.int64)
+        place = of * registers + (mixed(state) % np.uint64(registers)).astype(np.int64)
         sooner = np.flatnonzero(t < first[place])
         np.minimum.at(first, place[sooner], t[sooner])
         won = sooner[t[sooner] == first[place[sooner]]]
         who[place[won]] = h[won]
-        left = np.flatnonzero(t < first.reshape(-1, REGISTERS).max(1)[of])
+        left = np.flatnonzero(t < first.reshape(-1, registers).max(1)[of])
         h, w, of, t, state = h[left], w[left], of[left], t[left], state[left]
-    out[many] = who.reshape(-1, REGISTERS)
+    out[many] = who.reshape(-1, registers)
     return out
 
 
@@ -121,7 +125,7 @@ def similarities(a, a_times, b, b_times) -> tuple[float, float]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """`row, doc_id, text` with the key, the bands and the sketch of each text (null if it has no words)."""
+    """`row, doc_id, text` with the key of each text's words (null if it has none) and its bands."""
 
     def sign(batches):
         import numpy as np
@@ -135,17 +139,17 @@ def signed(docs: DataFrame) -> DataFrame:
                 bands = np.zeros((len(found), BANDS), np.uint64)
                 for k in range(ROWS):
                     bands = mixed(bands + signature[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64)[None])
-                bits = np.packbits((mixed(signature[:, :SKETCH]) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
-                yield pa.record_batch([batch["row"], batch["doc_id"], batch["text"], pa.array([f[2] for f in found], pa.binary()), lists(bands), lists(bits)], names=["row", "doc_id", "text", "key", "bands", "sketch"])
+                yield pa.record_batch([batch["row"], batch["doc_id"], batch["text"], pa.array([f[2] for f in found], pa.binary()), lists(bands)], names=["row", "doc_id", "text", "key", "bands"])
 
-    return docs.mapInArrow(sign, "row long, doc_id long, text string, key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, "row long, doc_id long, text string, key binary, bands array<long>")
 
 
 def of_large_groups(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Left join on `key`, of which `right` has one row; `n` is how many rows of `left` have it, of `total`.
+    """Left join on `key`, of which `right` has one row; `n` is how many rows of `left` have it. There are `total` texts.
 
-    Keys of a thousandth of all rows or more are at most a thousand: they are broadcast. The others are shuffled.
+    Keys that a thousandth as many rows as texts or more have are at most a thousand for each row that `left` has of a
+    text (BANDS, or BANDS * FINER, at most): they are broadcast. The others are shuffled.
     """
     values = [c for c in right.columns if c != key]
     limit = max(1000, total // 1000)
@@ -190,6 +194,63 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return staged(joined.select("a", "b", score.alias("score")).filter(F.col("score") >= similarity - 1e-9), "links")
 
 
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """`row, fine`: a byte of each register of a long signature."""
+
+    def sign(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                hashes = [np.frombuffer(x, "<u8") for x in batch["hashes"].to_pylist()]
+                times = [np.frombuffer(x, "<u4") if x else np.ones(len(h)) for x, h in zip(batch["times"].to_pylist(), hashes, strict=True)]
+                fine = (mixed(prob_minhash(list(zip(hashes, times, strict=True)), FINE_REGISTERS)) & np.uint64(255)).astype(np.uint8)
+                yield pa.record_batch([batch["row"], pa.array([r.tobytes() for r in fine], pa.binary())], names=["row", "fine"])
+
+    return sets.mapInArrow(sign, "row long, fine binary")
+
+
+def compared(open_: DataFrame, bands: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """`a, b`: of each band of `open_` (band, row, part, largest), the pairs of a node outside the largest class and a node
+    of another class that their finer signatures leave possible; each pair in the first band that it shares.
+
+    Blocks of a band's nodes meet blocks of its outside nodes, so a large band is many tasks; only what is left possible
+    becomes rows.
+    """
+    rows = open_.select("row").distinct()
+    fine = staged(fine_signatures(sets.join(rows, "row", "left_semi")).join(bands, "row"), "fine")
+    sizes = open_.groupBy("band").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("part") != F.col("largest"), 1)) / OUTSIDE).cast("int").alias("outs"))
+    sized = of_large_groups(open_, sizes.join(open_.groupBy("band").agg(F.count("*").alias("size")), "band"), "band", "size", total)
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = sized.withColumn("block", own("blocks")).withColumn("out", every("outs")).withColumn("asks", F.lit(False))
+    outside = sized.filter("part != largest").withColumn("out", own("outs")).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    columns = ["band", "block", "out", "row", "part", "asks"]
+    both = members.select(columns).unionByName(outside.select(columns)).join(fine, "row")
+
+    def pairs(group):
+        import numpy as np
+        import pyarrow as pa
+
+        asks, row, part = (group[c].to_numpy() for c in ("asks", "row", "part"))
+        data = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint8).reshape(len(row), -1)
+        keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(row), -1)
+        place = int(np.flatnonzero(keys[0] == group["band"][0].as_py())[0])
+        inside, found = np.flatnonzero(~asks), ([], [])
+        for i in np.flatnonzero(asks):
+            other = inside[part[inside] != part[i]]
+            other = other[(data[other] == data[i]).sum(1) >= FINE_AGREE]
+            other = other[~(keys[other, :place] == keys[i, :place]).any(1)]
+            found[0].append(np.minimum(row[other], row[i]))
+            found[1].append(np.maximum(row[other], row[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(found[0] or none), "b": np.concatenate(found[1] or none)})
+
+    return both.groupBy("band", "block", "out").applyInArrow(pairs, "a long, b long")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """`row, label`: the least label among the nodes that links connect with each node.
 
@@ -219,9 +280,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids may be null or repeated; an empty table gives an empty result; other columns are ignored.
 
     Candidates share a band of their signatures. Copies are one node. In each band, first all nodes are verified
-    against one of them, then those in other classes against the node with most links, and at last each node outside
-    the band's largest class against all nodes of other classes, except pairs whose sketches rule similarity out. So no
-    link between candidates is lost, while a band of thousands of similar texts makes about one pair for each.
+    against one of them; then those in other classes against the node with most links, in the band and in the parts that
+    agree in a further band; at last each node outside the band's largest class against all nodes of other classes,
+    except pairs that finer signatures rule out. So no link between candidates is lost, while a band of thousands of
+    similar texts makes few pairs for each.
 
     Scale: signatures, shingles and pairs stay with their tasks; keys and bands that many rows share are aggregated
     before they shuffle, and joined by a broadcast of at most a thousand of them. Nothing but counts comes to the driver.
@@ -237,13 +299,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = staged(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("centre")).filter("n > 1"), "bands")
     member = of_large_groups(banded, shared.select("band", "n", F.col("centre.row").alias("centre")), "band", "n", total)
     member = staged(member.filter("n is not null"), "members")
-    involved = table.join(member.select("row").distinct(), "row", "left_semi")
+    involved = table.select("row", "text").join(member.select("row").distinct().hint("merge"), "row", "left_semi")
     sets = staged(shingle_sets(involved), "shingles")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pair = lambda x, y: (F.least(F.col(x), F.col(y)).alias("a"), F.greatest(F.col(x), F.col(y)).alias("b"))
 
     tried = staged(member.filter("row != centre").select(*pair("row", "centre")).distinct(), "pairs")
     links = verify(tried, sets, similarity)
-    for step in ("most links", "all others"):
+    for step in ("band", "finer", "all others"):
         labels = components(nodes, links)
         part = lambda df: df.join(labels.select("row", F.col("label.row").alias("part")), "row", "left").withColumn("part", F.coalesce("part", "row"))
         sides = part(member.select("band", "row", "n"))
@@ -254,19 +316,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if split.isEmpty():
             break
         open_ = staged(of_large_groups(sides.drop("n"), split, "band", "n", total).filter("largest is not null"), "open")
-        if step == "most links":
+        if step != "all others":
             degree = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
             ranked = open_.join(degree, "row", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-            hub = ranked.filter("part = largest").groupBy("band").agg(F.max_by("row", F.struct("degree", "row")).alias("hub"))
-            outside = open_.filter("part != largest")
-            new = outside.join(hub, "band").select(*pair("row", "hub"))
+            if step == "finer":
+                further = F.explode(F.slice("bands", 1, FINER)).alias("further")
+                ranked = ranked.join(table.select("row", further), "row").withColumn("band", F.struct("band", "further"))
+            ranked = staged(ranked.select("band", "row", "part", "degree"), "ranked")
+            hub = ranked.groupBy("band").agg(F.count("*").alias("n"), F.max_by(F.struct("row", "part"), F.struct("degree", "row")).alias("hub")).filter("n > 1")
+            near = of_large_groups(ranked.drop("degree"), hub, "band", "n", total).filter("hub.part != part")
+            new = near.select(*pair("row", "hub.row"))
         else:
-            near = table.select("row", "sketch")
-            sketched = open_.join(near, "row")
-            outside = sketched.filter("part != largest").select("band", F.col("row").alias("x"), F.col("part").alias("x_part"), F.col("sketch").alias("x_sketch"))
-            bits = sum(F.bit_count(F.get("sketch", k).bitwiseXOR(F.get("x_sketch", k))) for k in range(SKETCH // 64))
-            both = outside.join(sketched, (outside["band"] == sketched["band"]) & (F.col("part") != F.col("x_part")) & (bits <= MOST_BITS))
-            new = both.select(*pair("x", "row"))
+            new = compared(open_, table.select("row", "bands"), sets, total)
         new = staged(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
@@ -287,4 +348,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     row = free_name(docs, "row_")
     keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     found = near_duplicates(keyed, row_col=row, **options)
-    return keyed.join(found.filter("kept").select(F.col("row").alias(row)), row, "left_semi").drop(row)
+    return keyed.join(found.filter("kept").select(F.col("row").alias(row)).hint("merge"), row, "left_semi").drop(row)
