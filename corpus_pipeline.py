@@ -1,27 +1,53 @@
 """The corpus pipeline: documents through language ID, line dedup, near-dedup, mixing and packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. A stage
+is called once the result of the one before has been written: it deletes the intermediate tables of that stage.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import langid, line_dedup, mixing, near_dedup, packing
-from panelforge.llm.common import staged, table
+from panelforge.llm.common import release, staged, staged_paths, table
 
 #: A language is taken for unknown below this mean probability. It is low on purpose: a clean text that mixes two of the
 #: languages stays, and texts in none of them go.
 LEAST_SCORE = 0.3
 
 
+_of_last_stage: list[str] = []
+
+
+def stage(first: bool = False):
+    """A stage deletes the tables that the stage before it staged; the first one has none before it."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if not first:
+                release(_of_last_stage)
+            start = len(staged_paths)
+            out = f(spark, docs, sf_dir)
+            _of_last_stage[:] = staged_paths[start:]
+            return out
+
+        return run_stage
+
+    return wrap
+
+
+@stage(first=True)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network recognises; those without a letter, or below LEAST_SCORE, go."""
     found = langid.identify(docs, langid.train(docs), label_col="language_", score_col="language_score_")
     return found.filter((F.col("language_") != langid.UNKNOWN) & (F.col("language_score_") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@stage()
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; one that loses all its text goes. n_chars is that of the new text."""
     out = line_dedup.remove_repeated_lines(docs, lines_col="lines_", removed_col="removed_")
@@ -30,16 +56,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@stage()
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     return near_dedup.drop_near_duplicates(docs)
 
 
+@stage()
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes; one that it takes again comes again."""
     return mixing.mix(docs)
 
 
+@stage()
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in their sequences; a document that came twice is two documents."""
     return packing.pack_documents(docs, with_ids=False).drop("row")
@@ -60,8 +89,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each is written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = staged(docs, f"pipeline-{name}")
+            docs = staged(docs, f"pipeline-{name}", keep=True)
     return docs

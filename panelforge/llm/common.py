@@ -40,13 +40,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: it is computed once, and survives lost executors."""
+#: Where tables were staged in this session.
+staged_paths: list[str] = []
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it again: it is computed once, and survives lost executors.
+
+    Its path is noted in `staged_paths`, for `release`, unless it is to `keep`.
+    """
     path = new_path(df.sparkSession, name)
+    if not keep:
+        staged_paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(paths: list[str]) -> None:
+    """Delete staged tables. For callers who have written all results that read them."""
+    from pyarrow import fs
+
+    for path in paths:
+        files, root = fs.FileSystem.from_uri(path)
+        if files.get_file_info(root).type == fs.FileType.Directory:
+            files.delete_dir(root)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}

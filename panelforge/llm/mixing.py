@@ -113,7 +113,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     _, taken = queue_documents(keyed, row_col=row, **options)
     copies = taken.groupBy(F.col("row").alias(row)).agg(F.count("*").cast("int").alias("n"))
     times = free_name(docs, "times_")
-    out = keyed.join(copies.withColumnRenamed("n", times), row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    out = keyed.join(copies.withColumnRenamed("n", times).hint("merge"), row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*docs.columns)
 
 
