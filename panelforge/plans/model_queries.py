@@ -100,6 +100,12 @@ def kcca(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, float(r)) for i, r in enumerate(model["cancorrs"])], "cc int, r double")
 
 
+@query
+def kcca_gaussian(spark: SparkSession, d: str) -> DataFrame:
+    model = mv.kcca_kernel(_two_sides(spark, d), "x", "y", "gaussian", 1.0, 5)
+    return spark.createDataFrame([(i, float(r)) for i, r in enumerate(model["cancorrs"])], "cc int, r double")
+
+
 @query
 def kcca_cv(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(mv.kcca_cross_validate(_two_sides(spark, d), "x", "y", "subject", (0.1, 1.0), (2, 5, 9))[0], "reg double, n_cc int, score double")

@@ -172,6 +172,23 @@ def test_cca_equals_its_dual_form(spark):
     assert [r for s, _, r in mv.kcca_validate(model) if s == "x"] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["linear", "gaussian", "poly"])
+def test_kernel_cca(spark, kind):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(24, 3))
+    y = x @ rng.normal(size=(3, 3)) + 0.3 * rng.normal(size=(24, 3))
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(24)], "subject int, x array<double>, y array<double>")
+    model = mv.kcca_kernel(df, "x", "y", kind, 0.5, 2)
+    n, kx, ky = 24, kernels.kernel_matrix(x, kind), kernels.kernel_matrix(y, kind)
+    left = np.block([[np.zeros((n, n)), kx @ ky], [ky @ kx, np.zeros((n, n))]])
+    right = np.block([[kx @ kx + 0.5 * np.eye(n), np.zeros((n, n))], [np.zeros((n, n)), ky @ ky + 0.5 * np.eye(n)]])
+    assert model["kernel_corrs"] == pytest.approx(np.sort(np.linalg.eigvals(np.linalg.solve(right, left)).real)[::-1][:2], abs=1e-9)
+    if kind == "linear":
+        assert np.abs(model["cancorrs"]) == pytest.approx(np.abs(mv.kcca(df, "x", "y", 0.5, 2)["cancorrs"]), abs=1e-9)
+    with pytest.raises(ValueError):
+        mv.kcca_kernel(df, "x", "y", kind, most=10)
+
+
 def test_pca(spark):
     x = np.random.default_rng(4).normal(size=(40, 6)) * [5, 3, 1, 1, 1, 1]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "subject int, features array<double>")
