@@ -1,20 +1,29 @@
-"""LM scoring by a probabilistic suffix tree over words: contexts of variable length, kept by a divergence test."""
+"""LM scoring by a probabilistic suffix tree over words: contexts of variable length, kept by a divergence test.
+
+The contexts and their next tokens are Spark tables by hash (`states`); what is common goes to the tasks, and the rest is
+joined. `SuffixTree` and `fit` hold the same model on the driver, for small corpora and to test the tables against.
+"""
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import id_remainder, staged
+from panelforge.llm.common import id_remainder, release, staged, staged_paths
+from panelforge.llm.near_dedup import mixed, of_large_groups
 
 DEPTH = 3
-#: Least share of all training tokens that a context has, and that a context with its next token has (also a word, to be
-#: a next token): at most 1 / MIN_CONTEXT contexts of each length and 1 / MIN_JOINT entries, whatever the corpus.
-MIN_CONTEXT, MIN_JOINT = 1e-4, 1e-6
+#: How often a context has to occur, and a context with its next token.
 LEAST_CONTEXT, LEAST_JOINT = 5, 2
+#: Share of all training tokens from which a word, a context or an entry goes to the tasks: at most 1 / COMMON of a kind.
+#: What is rarer is joined, so this has no bearing on the result.
+COMMON = 1e-6
+#: Bits of a filter, at most, and of one of its blocks. A fuller filter lets more rows pass to a join, and loses none.
+FILTER_BITS, BLOCK_BITS = 1 << 27, 32768
 #: Weight of the shorter context in a next-token distribution, and what a context's divergence has to exceed.
 SHORTER, SIGMAS = 2.0, 3.0
 #: Words that a worker knows by heart; a full cache starts anew.
@@ -207,15 +216,13 @@ def count_next(training: DataFrame, tree: SuffixTree, contexts) -> DataFrame:
 def fit(training: DataFrame) -> tuple[SuffixTree, DataFrame]:
     """The tree from the `text` column of all rows of `training`, and the counts of all tokens.
 
-    The driver gets the frequent words, at most 1 / MIN_JOINT, and for each depth at most as many (context, token)
-    counts; both bounds hold for any corpus, since the shares of distinct events add up to 1.
+    The driver gets all of the model, which grows with the corpus; `states` is the same as tables.
     """
     import numpy as np
 
     vocabulary = staged(count_words(training), "words")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    least = max(LEAST_JOINT, math.ceil(MIN_JOINT * sums["total"]))
-    least_context = max(LEAST_CONTEXT, math.ceil(MIN_CONTEXT * sums["total"]))
+    least, least_context = LEAST_JOINT, LEAST_CONTEXT
     frequent = vocabulary.filter(F.col("c") >= least).toPandas().sort_values(["c", "h"], ascending=[False, True])
     tree = SuffixTree(frequent["h"].to_numpy(np.int64), frequent["c"].to_numpy(np.int64), sums["total"], sums["distinct"])
     end = np.flatnonzero(tree.hashes == word_hash(END))
@@ -232,6 +239,175 @@ def fit(training: DataFrame) -> tuple[SuffixTree, DataFrame]:
     return tree, vocabulary
 
 
+def tokenized(rows: DataFrame) -> DataFrame:
+    """`row, doc_id, held_out, tokens`: the hashes of each text's words and the end token."""
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        cache, end = {}, word_hash(END)
+        for batch in batches:
+            for at, texts in parts(batch):
+                flat, offsets = [], [0]
+                for text in texts:
+                    for w in words(text):
+                        h = cache.get(w)
+                        if h is None:
+                            if len(cache) >= CACHE:
+                                cache.clear()
+                            cache[w] = h = word_hash(w)
+                        flat.append(h)
+                    flat.append(end)
+                    offsets.append(len(flat))
+                own = [batch[c].slice(at, len(texts)) for c in ("row", "doc_id", "held_out")]
+                yield pa.record_batch([*own, pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.array(flat, np.int64)))], names=["row", "doc_id", "held_out", "tokens"])
+
+    return rows.mapInArrow(cut, "row long, doc_id long, held_out boolean, tokens array<long>")
+
+
+def grams(batch):
+    """The tokens of a batch, their places in their texts, how many each text has, and the hashes of the 1 to DEPTH + 1
+    tokens that end at each token: that of k tokens holds from place k - 1 on."""
+    import numpy as np
+
+    lists = batch["tokens"]
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    found = [tokens]
+    for k in range(2, DEPTH + 2):
+        before = np.concatenate([[0], found[-1][:-1]]).astype(np.uint64)[: len(tokens)]
+        found.append((mixed(mixed(before + np.uint64(k)) ^ tokens.astype(np.uint64)) >> np.uint64(1)).astype(np.int64))
+    return tokens, place, lengths, found
+
+
+def earlier(x):
+    """What the token before each token has."""
+    import numpy as np
+
+    return np.concatenate([[-1], x[:-1]])[: len(x)]
+
+
+class Filter:
+    """A Bloom filter of a column of hashes: two bits of one block for each."""
+
+    def __init__(self, df: DataFrame, column: str):
+        import numpy as np
+
+        n = self.blocks = max(1, min(FILTER_BITS, 16 * df.count()) // BLOCK_BITS + 1)
+        h = F.col(column)
+        cells = F.array(*(F.shiftright(h, k).bitwiseAND(F.lit(BLOCK_BITS - 1)) for k in (33, 48)))
+        rows = df.select(F.pmod(h, F.lit(n)).cast("int").alias("block"), F.explode(cells).alias("cell")).groupBy("block").agg(F.bitmap_construct_agg(F.col("cell").cast("long")).alias("bits"))
+        self.bits = np.zeros((n, BLOCK_BITS // 8), np.uint8)
+        for r in rows.toLocalIterator():
+            self.bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+
+    def __call__(self, h):
+        import numpy as np
+
+        out, block = np.ones(len(h), bool), h % self.blocks
+        for k in (33, 48):
+            cell = (h >> k) & (BLOCK_BITS - 1)
+            out &= (self.bits[block, cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+class Known:
+    """The values of a table's common hashes."""
+
+    def __init__(self, df: DataFrame, key: str, value: str):
+        import numpy as np
+
+        got = df.select(key, value).toPandas().sort_values(key)
+        self.keys, self.values = got[key].to_numpy(np.int64), got[value].to_numpy(float)
+
+    def __call__(self, h):
+        """The values, and which hashes have one."""
+        import numpy as np
+
+        if not len(self.keys):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == h
+
+
+def count_grams(training: DataFrame, depth: int, contexts=None, keys=None) -> DataFrame:
+    """`key, n`: how often each context of `depth` words that passes the filter `contexts` (a broadcast) has each next
+    token; depth 0 counts tokens. With a filter of `keys`, only those, and with `ctx` and the key without its first word,
+    `suffix`."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            _, place, _, found = grams(batch)
+            key, suffix, ctx = found[depth], found[max(0, depth - 1)], earlier(found[max(0, depth - 1)])
+            at = np.flatnonzero(place >= depth)
+            if contexts is not None:
+                at = at[contexts.value(ctx[at])]
+            if keys is not None:
+                at = at[keys.value(key[at])]
+            unique, first, n = np.unique(key[at], return_index=True, return_counts=True)
+            columns = {"key": unique, "n": n.astype(np.int64), "ctx": ctx[at][first], "suffix": suffix[at][first]}
+            yield pa.record_batch([pa.array(columns[c]) for c in names], names=names)
+
+    names = ["key", "n", *(["ctx", "suffix"] if keys is not None else [])]
+    counted = training.select("tokens").mapInArrow(count, ", ".join(f"{c} long" for c in names)).groupBy("key")
+    return counted.agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in names[2:]))
+
+
+def freed(spark) -> None:
+    """Let Spark delete the shuffle files of what is no longer used; it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
+    """The counts of all tokens (`key, n`), their sum and number, and for each depth the kept contexts `ctx, seen, back`
+    and their entries `key, n, delta`: log10 of a next token's probability after the context over that of the root.
+
+    Contexts and entries are kept by absolute counts and the divergence test alone; no table comes to the driver.
+    """
+    spark = training.sparkSession
+    words_ = staged(count_grams(training, 0), "words")
+    sums = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
+    total, size = sums["total"], float(sums["total"] + sums["distinct"] + 1)
+    entries = words_.filter(F.col("n") >= LEAST_JOINT).select("key", "n", ((F.col("n") + 1) / size).alias("eff"), ((F.col("n") + 1) / size).alias("root"))
+    out = []
+    for depth in range(1, DEPTH + 1):
+        start = len(staged_paths)
+        seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
+        contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
+        # most keys occur once: only the others shuffle with what they are made of
+        keys = staged(count_grams(training, depth, contexts).filter(F.col("n") >= LEAST_JOINT).select("key"), "keys")
+        keys = spark.sparkContext.broadcast(Filter(keys, "key"))
+        freed(spark)
+        counted = staged(count_grams(training, depth, contexts, keys).filter(F.col("n") >= LEAST_JOINT), "counted")
+        counted = staged(of_large_groups(counted, seen, "ctx", "seen", total).filter("seen is not null"), "counted")
+        shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root", F.col("n").alias("m"))
+        p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
+        counted = staged(of_large_groups(counted, shorter, "suffix", "m", total).select("key", "n", "ctx", "seen", "shorter", "root", p.alias("p")), "counted")
+        clip = lambda x: F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0))
+        of = counted.groupBy("ctx").agg(
+            F.max("seen").alias("times"), F.count("*").alias("freedom"), clip(F.sum("p")).alias("left"), clip(F.sum("shorter")).alias("left_shorter"), F.sum(F.col("p") * F.log(F.col("p") / F.col("shorter"))).alias("gain")
+        )
+        gain = 2 * F.col("times") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
+        kept = of.filter(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom"))).select("ctx", "times", F.log10(F.col("left") / F.col("left_shorter")).alias("back"))
+        kept = staged(kept, "kept")
+        end = len(staged_paths) - 1
+        eff = F.when(F.col("back").isNull(), F.col("shorter")).otherwise(F.col("p"))
+        entries = of_large_groups(counted, kept, "ctx", "times", total).select("key", "n", eff.alias("eff"), "root", F.col("back").isNotNull().alias("kept"))
+        entries = staged(entries, "entries")
+        release(staged_paths[start:end])
+        freed(spark)
+        out.append((kept, entries.filter("kept").select("key", "n", F.log10(F.col("eff") / F.col("root")).alias("delta"))))
+    return words_, total, sums["distinct"], out
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -239,46 +415,99 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the longest state that ends before it; the root is the add-one distribution of `base_score`. A null text is the end
     token alone. Ids may be null or repeated; a null id isn't held out. Other columns are ignored.
 
-    Scale: each depth reads the texts once and shuffles counts that tasks have summed. The tree has a bounded size and
-    goes with the tasks. Counts of rare words, whose number grows with the corpus, are joined by shuffle: each document
-    sends a row for each of its rare words.
+    Scale: texts are read once; each depth reads their hashes and shuffles counts that tasks have summed. Words, states
+    and entries are tables that grow with the corpus. The tasks get filters of bounded size and the common ones, and
+    settle most tokens; each other token is a row that is joined with the tables by hash.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    tree, vocabulary = fit(rows.filter(~F.col("held_out")))
+    hashed = staged(tokenized(rows), "tokens")
+    vocabulary, total, distinct, tables = states(hashed.filter(~F.col("held_out")))
+    least = max(LEAST_JOINT, math.ceil(COMMON * total))
+    model = [
+        (Filter(kept, "ctx"), Filter(entries, "key"), Known(kept.filter(F.col("times") >= least), "ctx", "back"), Known(entries.filter(F.col("n") >= least), "key", "delta"))
+        for kept, entries in tables
+    ]
+    common = docs.sparkSession.sparkContext.broadcast((model, Known(vocabulary.filter(F.col("n") >= least), "key", "n")))
+    asked = [f"{c}{d}" for d in range(1, DEPTH + 1) for c in ("key", "ctx")]
 
     def score(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for at, texts in parts(batch, 500):
-                tokens, lengths = coded(tree, texts)
-                begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                known = tokens >= 0
-                base = np.where(known, np.log10(tree.counts[np.maximum(tokens, 0)] + 1.0) if len(tree.counts) else 0.0, 0.0) - math.log10(tree.total + tree.distinct + 1)
-                doc = np.repeat(np.arange(len(texts)), lengths)[~known]
+        model, counts = common.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                tokens, place, lengths, found = grams(batch)
+                begin, of = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
+                n, known = counts(tokens)
+                base = np.where(known, np.log10(n + 1.0), 0.0) - math.log10(total + distinct + 1)
+                # what a state says of each token over the root, from the longest context on, as far as it is known here
+                more, going = np.zeros(len(tokens)), np.ones(len(tokens), bool)
+                open_ = np.zeros(len(tokens), bool)
+                ask = {c: np.full(len(tokens), -1, np.int64) for c in asked}
+                for d in range(DEPTH, 0, -1):
+                    is_state, is_entry, back, delta = model[d - 1]
+                    ctx, key = earlier(found[d - 1]), found[d]
+                    i = np.flatnonzero(going & (place >= d))
+                    i = i[is_state(ctx[i])]
+                    j = i[open_[i]]
+                    ask[f"key{d}"][j], ask[f"ctx{d}"][j] = key[j], ctx[j]
+                    i = i[~open_[i]]
+                    value, has = delta(key[i])
+                    more[i[has]] += value[has]
+                    going[i[has]] = False
+                    i = i[~has]
+                    value, has = back(ctx[i])
+                    has &= ~is_entry(key[i])
+                    more[i[has]] += value[has]
+                    j = i[~has]
+                    ask[f"key{d}"][j], ask[f"ctx{d}"][j] = key[j], ctx[j]
+                    open_[j] = True
+                doc = of[~known]
                 order = np.lexsort((tokens[~known], doc))
-                doc, rare = doc[order], tokens[~known][order] - RARE
+                doc, rare = doc[order], tokens[~known][order]
                 new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])[: len(doc)]
                 starts = np.flatnonzero(new)
                 times = np.diff(np.concatenate([starts, [len(doc)]]))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[starts], minlength=len(texts)))]).astype(np.int32)
-                own = [batch[c].slice(at, len(texts)) for c in ("row", "doc_id", "held_out")]
+                offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(lengths)))]).astype(np.int32))
+                rare_at, open_at = offsets(doc[starts]), offsets(of[open_])
                 yield pa.record_batch(
                     [
-                        *own, pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), begin)),
-                        pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(tree.log10(tokens), begin)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare[starts])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32))),
+                        batch["row"], batch["doc_id"], batch["held_out"], pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), begin)),
+                        pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(more, begin)),
+                        pa.ListArray.from_arrays(rare_at, pa.array(rare[starts])), pa.ListArray.from_arrays(rare_at, pa.array(times.astype(np.int32))),
+                        *(pa.ListArray.from_arrays(open_at, pa.array(ask[c][open_])) for c in asked),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "more", "rare", "times", *asked],
                 )
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
-    scored = staged(rows.mapInArrow(score, schema), "scored")
-    wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    counted = wanted.join(vocabulary, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    gain = F.coalesce("gain", F.lit(0.0))
-    return scored.drop("rare", "times").join(counted, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score"),
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, more double, rare array<long>, times array<int>, " + ", ".join(f"{c} array<long>" for c in asked)
+    scored = staged(hashed.mapInArrow(score, schema), "scored")
+    wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
+    counted = wanted.join(vocabulary, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
+    pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
+    settled, start = [], len(staged_paths)
+    for d in range(DEPTH, 0, -1):
+        kept, entries = tables[d - 1]
+        key, ctx = f"key{d}", f"ctx{d}"
+        rest = [c for c in asked if int(c[-1]) < d]
+        found = of_large_groups(pending.filter(F.col(ctx) >= 0), entries.withColumnRenamed("key", key), key, "n", total)
+        found = staged(found.drop("n", key), "found")
+        missed = of_large_groups(found.filter("delta is null").drop("delta"), kept.withColumnRenamed("ctx", ctx), ctx, "times", total)
+        missed = staged(missed.select("row", *rest, F.coalesce("back", F.lit(0.0)).alias("delta")), "missed")
+        sums = found.filter("delta is not null").select("row", "delta").unionByName(missed.filter("delta != 0").select("row", "delta"))
+        settled.append(staged(sums.groupBy("row").agg(F.sum("delta").alias("delta")), "settled"))
+        end = len(staged_paths)
+        if rest:
+            pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
+        release(staged_paths[start : end - 1])
+        start = end
+        freed(docs.sparkSession)
+    joined = functools.reduce(DataFrame.unionByName, settled).groupBy("row").agg(F.sum("delta").alias("delta"))
+    gain, delta = F.coalesce("gain", F.lit(0.0)), F.coalesce("delta", F.lit(0.0))
+    out = scored.drop("rare", "times", *asked).join(counted, "row", "left").join(joined, "row", "left")
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("base_score") + gain + F.col("more") + delta).alias("score"),
     )

@@ -286,6 +286,26 @@ def test_states_are_distributions(make):
         assert total + unseen == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("common", [1e-6, 1e-2, 2.0])
+def test_tables_score_as_the_tree(docs, monkeypatch, common):
+    monkeypatch.setattr(suffix_tree, "COMMON", common)  # at 2, all is joined
+    rows = {r["doc_id"]: r for r in suffix_tree.score_documents(docs).collect()}
+    tree, _ = suffix_tree.fit(docs.filter(~suffix_tree.held_out()))
+    for r in docs.collect():
+        tokens, _ = suffix_tree.coded(tree, [r["text"]])
+        got = rows[r["doc_id"]]
+        root = np.where(tokens >= 0, np.log10(tree.counts[np.maximum(tokens, 0)] + 1.0), 0.0).sum() - len(tokens) * math.log10(tree.total + tree.distinct + 1)
+        assert got["score"] - got["base_score"] == pytest.approx(tree.log10(tokens).sum() - root, abs=1e-6)
+
+
+def test_rare_contexts_of_a_large_corpus_are_states(make):
+    # 60 of 240,060 tokens: far less than the shares of 1e-4 that contexts had to have
+    texts = [(i, " ".join(f"w{(i * 37 + j * j) % 997}" for j in range(400)), "en", "s") for i in range(600)]
+    texts += [(1000 + i, "zyx abc", "en", "s") for i in range(20)]
+    rows = {r["doc_id"]: r for r in suffix_tree.score_documents(make(texts)).collect()}
+    assert rows[1000]["score"] > rows[1000]["base_score"] + 4
+
+
 def test_scores_of_odd_rows(messy, empty):
     rows = suffix_tree.score_documents(messy).collect()
     assert len(rows) == messy.count() and all(math.isfinite(r["score"]) for r in rows)
