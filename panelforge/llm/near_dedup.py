@@ -10,7 +10,8 @@ from pyspark.sql.types import DoubleType
 from panelforge.llm.common import free_name, staged
 
 WORDS, SIMILARITY = 5, 0.8
-#: At similarity 0.8 a pair of texts shares one of the bands with probability 0.9999.
+#: At similarity 0.8, of either kind, a pair of texts shares one of the bands of that kind with probability 0.9999: a
+#: text has BANDS of its shingles as weighted by how often they occur, and BANDS of the same with all weights 1.
 BANDS, ROWS = 40, 7
 REGISTERS = BANDS * ROWS
 #: Registers of the finer signatures that nodes of different classes are compared by, a byte each, and how many have to
@@ -124,8 +125,20 @@ def similarities(a, a_times, b, b_times) -> tuple[float, float]:
     return plain, float((1 / (above / p + below / q)).sum())
 
 
+def both_signatures(sets: list, registers: int = REGISTERS):
+    """Signatures by the weights of `sets`, and with all weights 1; for sets without repeats they are the same."""
+    import numpy as np
+
+    weighted = prob_minhash(sets, registers)
+    plain, repeats = weighted.copy(), [i for i, (_, w) in enumerate(sets) if len(w) and np.max(w) > 1]
+    if repeats:
+        plain[repeats] = prob_minhash([(sets[i][0], np.ones(len(sets[i][0]))) for i in repeats], registers)
+    return weighted, plain
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """`row, doc_id, text` with the key of each text's words (null if it has none) and its bands."""
+    """`row, doc_id, text` with the key of each text's words (null if it has none) and its bands, the weighted ones and
+    then the plain ones, which are the same for a text without repeated shingles."""
 
     def sign(batches):
         import numpy as np
@@ -135,10 +148,13 @@ def signed(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 found = [shingles(t) for t in batch["text"].to_pylist()]
-                signature = prob_minhash([f[:2] for f in found])
-                bands = np.zeros((len(found), BANDS), np.uint64)
-                for k in range(ROWS):
-                    bands = mixed(bands + signature[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64)[None])
+                both = []
+                for signature in both_signatures([f[:2] for f in found]):
+                    bands = np.zeros((len(found), BANDS), np.uint64)
+                    for k in range(ROWS):
+                        bands = mixed(bands + signature[:, k::ROWS] + np.arange(BANDS, dtype=np.uint64)[None])
+                    both.append(bands)
+                bands = np.concatenate(both, 1)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(m).view(np.int64).ravel()))
                 yield pa.record_batch([batch["row"], batch["doc_id"], batch["text"], pa.array([f[2] for f in found], pa.binary()), lists(bands)], names=["row", "doc_id", "text", "key", "bands"])
 
@@ -149,7 +165,7 @@ def of_large_groups(left: DataFrame, right: DataFrame, key: str, n: str, total:
     """Left join on `key`, of which `right` has one row; `n` is how many rows of `left` have it. There are `total` texts.
 
     Keys that a thousandth as many rows as texts or more have are at most a thousand for each row that `left` has of a
-    text (BANDS, or BANDS * FINER, at most): they are broadcast. The others are shuffled.
+    text (2 * BANDS, or 2 * BANDS * FINER, at most): they are broadcast. The others are shuffled.
     """
     values = [c for c in right.columns if c != key]
     limit = max(1000, total // 1000)
@@ -195,7 +211,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def fine_signatures(sets: DataFrame) -> DataFrame:
-    """`row, fine`: a byte of each register of a long signature."""
+    """`row, fine`: a byte of each register of a long signature by weights, and of one with all weights 1."""
 
     def sign(batches):
         import numpy as np
@@ -206,7 +222,7 @@ def fine_signatures(sets: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 200)
                 hashes = [np.frombuffer(x, "<u8") for x in batch["hashes"].to_pylist()]
                 times = [np.frombuffer(x, "<u4") if x else np.ones(len(h)) for x, h in zip(batch["times"].to_pylist(), hashes, strict=True)]
-                fine = (mixed(prob_minhash(list(zip(hashes, times, strict=True)), FINE_REGISTERS)) & np.uint64(255)).astype(np.uint8)
+                fine = np.concatenate([(mixed(s) & np.uint64(255)).astype(np.uint8) for s in both_signatures(list(zip(hashes, times, strict=True)), FINE_REGISTERS)], 1)
                 yield pa.record_batch([batch["row"], pa.array([r.tobytes() for r in fine], pa.binary())], names=["row", "fine"])
 
     return sets.mapInArrow(sign, "row long, fine binary")
@@ -237,12 +253,21 @@ def compared(open_: DataFrame, bands: DataFrame, sets: DataFrame, total: int) ->
         asks, row, part = (group[c].to_numpy() for c in ("asks", "row", "part"))
         data = np.frombuffer(b"".join(group["fine"].to_pylist()), np.uint8).reshape(len(row), -1)
         keys = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(row), -1)
-        place = int(np.flatnonzero(keys[0] == group["band"][0].as_py())[0])
+        weighted, plain = np.ascontiguousarray(data[:, :FINE_REGISTERS]), np.ascontiguousarray(data[:, FINE_REGISTERS:])
+        repeats = (weighted != plain).any(1)
+        place = int(np.flatnonzero(keys[0] == group["band"][0].as_py())[0]) % BANDS
+        # the weighted and the plain bands before this one
+        early = [np.ascontiguousarray(keys[:, :place]), np.ascontiguousarray(keys[:, BANDS : BANDS + place])]
         inside, found = np.flatnonzero(~asks), ([], [])
         for i in np.flatnonzero(asks):
             other = inside[part[inside] != part[i]]
-            other = other[(data[other] == data[i]).sum(1) >= FINE_AGREE]
-            other = other[~(keys[other, :place] == keys[i, :place]).any(1)]
+            like = (weighted[other] == weighted[i]).sum(1) >= FINE_AGREE
+            left = np.flatnonzero(~like & (repeats[other] | repeats[i]))
+            like[left] = (plain[other[left]] == plain[i]).sum(1) >= FINE_AGREE
+            other = other[like]
+            for a in early:
+                for b in early:
+                    other = other[~(a[other] == b[i]).any(1)]
             found[0].append(np.minimum(row[other], row[i]))
             found[1].append(np.maximum(row[other], row[i]))
         none = [np.zeros(0, np.int64)]
@@ -279,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same words are copies, `n_copies` with the row itself. A null text, and one without words, is a class of its own.
     Ids may be null or repeated; an empty table gives an empty result; other columns are ignored.
 
-    Candidates share a band of their signatures. Copies are one node. In each band, first all nodes are verified
+    Candidates share a band of their signatures, by weights or without. Copies are one node. In each band, first all nodes are verified
     against one of them; then those in other classes against the node with most links, in the band and in the parts that
     agree in a further band; at last each node outside the band's largest class against all nodes of other classes,
     except pairs that finer signatures rule out. So no link between candidates is lost, while a band of thousands of
@@ -294,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     keys = staged(table.filter("key is not null").groupBy("key").agg(F.count("*").alias("n_copies"), F.min(label).alias("label")), "keys")
     nodes = keys.select(F.col("label.row").alias("row"), "label")
-    banded = table.select("row", F.explode("bands").alias("band")).join(nodes.select("row"), "row", "left_semi")
+    banded = table.select("row", F.explode(F.array_distinct("bands")).alias("band")).join(nodes.select("row"), "row", "left_semi")
     order = F.struct(F.xxhash64("row").alias("order"), "row")
     shared = staged(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("centre")).filter("n > 1"), "bands")
     member = of_large_groups(banded, shared.select("band", "n", F.col("centre.row").alias("centre")), "band", "n", total)

@@ -94,6 +94,26 @@ def test_a_large_group_of_near_copies(make):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_near_copies_that_repeat_a_passage(make):
+    # plain similarity 0.98; the tenfold passage takes the weighted one to about a half
+    texts = []
+    for i in range(40):
+        passage, rest = [f"p{i}_{j}" for j in range(44)], [f"r{i}_{j}" for j in range(200)]
+        texts += [(2 * i, " ".join(passage + rest), "en", "a"), (2 * i + 1, " ".join(passage * 10 + rest), "en", "a")]
+    want = classes(word_sets([(t[0], t[1]) for t in texts]))
+    assert want == {i: i - i % 2 for i in range(80)}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(texts)).collect()} == want
+
+
+def test_either_fine_signature_lets_a_pair_pass(spark):
+    h, times = np.arange(1, 241, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15), np.ones(240, "<u4")
+    times[:40] = 10
+    sets = spark.createDataFrame([(0, h.tobytes(), b""), (1, h.tobytes(), times.tobytes())], "row long, hashes binary, times binary")
+    bands = spark.createDataFrame([(i, list(range(2 * near_dedup.BANDS))) for i in range(2)], "row long, bands array<long>")
+    open_ = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 1, 0)], "band long, row long, part long, largest long")
+    assert [tuple(r) for r in near_dedup.compared(open_, bands, sets, 2).collect()] == [(0, 1)]
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 2**62, 80).astype(np.uint64)
