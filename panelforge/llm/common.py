@@ -74,6 +74,21 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def slices(batch, column: str, size: int):
+    """The rows of an Arrow batch in turn, some at a time: about `size` bytes of `column` together, or one longer row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    nth = np.cumsum(lengths + 64) // size
+    ends = [*(np.flatnonzero(np.diff(nth)) + 1).tolist(), batch.num_rows]
+    begin = 0
+    for end in ends:
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -8,8 +8,8 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import staged
-from panelforge.llm.tokens import encoder, public_tokenizer
+from panelforge.llm.common import slices, staged
+from panelforge.llm.tokens import SLICE, encoder, public_tokenizer
 
 SEQUENCE = 4096
 #: Blocks over which the pieces of one length are ranked.
@@ -58,29 +58,32 @@ def assignments(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, .
     return out
 
 
-def cut_pieces(docs: DataFrame, path: str, pieces: str | None, space: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, pieces: str | None, space: int, end_id: int, id_col: str, text_col: str, with_ids: bool = True) -> DataFrame:
     """The ids of each document in pieces of `space` and a rest."""
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches):
+        import numpy as np
         import pyarrow as pa
 
-        encode = encoder(path, pieces, end_id)
-        names = [x.split()[0] for x in PIECE.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        found_by = encoder(path, pieces, end_id)
         for batch in batches:
-            out, held = [[] for _ in names], 0
-            for row, doc_id, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                ids = encode(text)
-                for at in range(0, len(ids), 4 * space):
-                    part = ids[at : at + 4 * space]
-                    for column, value in zip(out, (row, doc_id, at // 4, len(part) // 4, len(ids) // 4, zlib.crc32(part), part), strict=True):
-                        column.append(value)
-                held += len(ids)
-                if held > 1 << 24:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-                    out, held = [[] for _ in names], 0
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+            for part in slices(batch, "text", SLICE):
+                ids, offsets = found_by.encode(part["text"])
+                lengths = np.diff(offsets)
+                each = -(-lengths // space)
+                of = np.repeat(np.arange(len(lengths)), each)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)) * space
+                begin = offsets[of] + start
+                size = np.minimum(space, lengths[of] - start)
+                data = memoryview(ids.astype("<u4")).cast("B")
+                found = [bytes(data[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+                columns = [
+                    part["row"].take(pa.array(of)), part["doc_id"].take(pa.array(of)), pa.array(start, pa.int64()), pa.array(size, pa.int32()),
+                    pa.array(lengths[of], pa.int64()), pa.array([zlib.crc32(x) for x in found], pa.int64()), pa.array(found if with_ids else [None] * len(found), pa.binary()),
+                ]
+                yield pa.record_batch(columns, names=[x.split()[0] for x in PIECE.split(", ")])
+        found_by.forget()
 
     return keyed.mapInArrow(cut, PIECE)
 
@@ -98,7 +101,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, pieces: str |
     pieces have is spread over tasks.
     """
     spark = docs.sparkSession
-    cut = staged(cut_pieces(docs, tokenizer or public_tokenizer("word_bpe_49k.json"), pieces, space, end_id, id_col, text_col).drop(*[] if with_ids else ["ids"]), "pieces")
+    cut = staged(cut_pieces(docs, tokenizer or public_tokenizer("word_bpe_49k.json"), pieces, space, end_id, id_col, text_col, with_ids).drop(*[] if with_ids else ["ids"]), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(assignments(shortest_pack_first(histogram, space)), "length int, rank_from long, rank_to long, first_sequence long, each long, first_offset long, sequence_tokens int")
 

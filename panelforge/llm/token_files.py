@@ -9,6 +9,7 @@ tokens they have. A document is read by two reads of its file and one decompress
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 import zlib
@@ -16,8 +17,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import new_path
-from panelforge.llm.tokens import encoder, public_tokenizer
+from panelforge.llm.common import new_path, slices
+from panelforge.llm.tokens import SLICE, encoder, public_tokenizer
 
 MAGIC, FOOTER = b"PFTOKEN1", "<QQ8s"
 #: Documents of at most so many characters train the dictionary: so many of them, by hash of id. Bytes of the dictionary.
@@ -48,9 +49,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, pieces: str | None, end_id
         import pyarrow as pa
         import zstandard
 
-        encode, samples = encoder(tokenizer, pieces, end_id), []
+        encode, samples = encoder(tokenizer, pieces, end_id).encode, []
         for batch in batches:
-            samples += [encode(text) for text in batch["text"].to_pylist()]
+            ids, offsets = encode(batch["text"])
+            samples += [ids[a:b].astype("<u4").tobytes() for a, b in itertools.pairwise(offsets.tolist())]
         try:
             found = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
         except zstandard.ZstdError:
@@ -85,7 +87,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         import zstandard
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, pieces, end_id)
+        found_by = encoder(tokenizer, pieces, end_id)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
         fs, root = filesystem(path)
         part, made = TaskContext.get().partitionId(), []
@@ -99,24 +101,26 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             out.close()
             made[-1] += (len(index), sum(tokens))
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for rows in (p for batch in batches for p in slices(batch, "text", SLICE)):
+            all_ids, offsets = found_by.encode(rows["text"])
+            data = memoryview(all_ids.astype("<u4")).cast("B")
+            for doc_id, (a, b) in zip(rows["doc_id"].to_pylist(), itertools.pairwise(offsets.tolist()), strict=True):
                 if out is None:
                     name = f"{part:06d}-{len(made):04d}-{uuid.uuid4().hex}"
                     made.append((part, len(made), name))
                     out = fs.open_output_stream(f"{root}/files/{name}")
                     out.write(MAGIC + hashlib.sha256(dictionary).digest())
                     index, raw, at = [], 0, len(MAGIC) + 32
-                ids = encode(text)
-                frame = compress(ids)
+                frame = compress(data[4 * a : 4 * b])
                 out.write(frame)
-                at, raw = at + len(frame), raw + len(ids)
-                index.append((doc_id, at, len(ids) // 4))
+                at, raw = at + len(frame), raw + 4 * (b - a)
+                index.append((doc_id, at, b - a))
                 if raw >= FILE_BYTES:
                     close()
                     out = None
         if out is not None:
             close()
+        found_by.forget()
         columns = list(zip(*made, strict=True)) or [()] * 5
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "file", "name", "n_docs", "n_tokens"])

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,20 @@ def test_pieces_give_the_library_s_ids(docs, name, pieces):
         assert np.frombuffer(encode(text), "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text[:80]
 
 
+@pytest.mark.parametrize(("name", "pieces"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_ids_of_odd_characters(name, pieces):
+    from tokenizers import Tokenizer
+
+    encode, whole = tokens.Encoder(tokens.public_tokenizer(name), pieces), Tokenizer.from_file(tokens.public_tokenizer(name))
+    whole.encode_special_tokens = True
+    odd = [*"aAbz\u00e9 \u00f1\u00df  \n\n\t.,;!?0123\u00b2\u00bd\u4e00\u00a0\u2003\u0301\u0085\u3000\x0b\x1c\x1f\u03a3\u03c2\u0660\u0409\u212b\U0001f600\r", "'s", "'ll", "<|endoftext|>", "\u0345"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(odd, n)) for n in rng.integers(0, 60, 5000)]
+    ids, offsets = encode.encode(pa.array(texts))
+    for k, found in enumerate(whole.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*found.ids, 2], texts[k]
+
+
 def test_packs_are_whole_and_full(docs, messy, empty):
     for df in (docs, messy):
         rows = packing.pack_documents(df).collect()
