@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 from pathlib import Path
@@ -40,24 +41,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Where tables were staged in this session.
-staged_paths: list[str] = []
+class Staging:
+    """The tables that `staged` writes while this is open, in one thread: `with Staging() as made: ...`.
 
+    `made.release(keep)` deletes them but for the DataFrames in `keep`; what isn't deleted passes on, at the end of the
+    block, to the one that was open before. So operators delete what their results don't read, and a caller who has
+    written a result deletes the rest. Without an open one, tables stay in the shared folder.
+    """
 
-def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write `df` to the shared folder and read it again: it is computed once, and survives lost executors.
+    def __init__(self):
+        self.tables: list[tuple[str, DataFrame]] = []
 
-    Its path is noted in `staged_paths`, for `release`, unless it is to `keep`.
-    """
+    def __enter__(self) -> Staging:
+        self._outer = _open.get()
+        self._token = _open.set(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.reset(self._token)
+        if self._outer is not None:
+            self._outer.tables += self.tables
+
+    def release(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        gone = [path for path, df in self.tables if not any(df is k for k in keep)]
+        self.tables = [(path, df) for path, df in self.tables if any(df is k for k in keep)]
+        release(gone)
+
+    def read_by(self, df: DataFrame) -> bool:
+        """Whether `df` reads one of the tables."""
+        names = {path.rsplit("/", 1)[-1] for path, _ in self.tables}
+        return any(part in names for file in df.inputFiles() for part in file.split("/"))
+
+
+_open: contextvars.ContextVar[Staging | None] = contextvars.ContextVar("staging", default=None)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it again: it is computed once, and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    if not keep:
-        staged_paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open.get() is not None:
+        _open.get().tables.append((path, out))
+    return out
 
 
 def release(paths: list[str]) -> None:
-    """Delete staged tables. For callers who have written all results that read them."""
+    """Delete tables of the shared folder."""
     from pyarrow import fs
 
     for path in paths:
@@ -66,6 +96,11 @@ def release(paths: list[str]) -> None:
             files.delete_dir(root)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}

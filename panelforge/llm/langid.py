@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -10,14 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import id_remainder
+from panelforge.llm.common import free_name, id_remainder, quoted
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: The bounded sample of labelled rows: the most frequent labels, documents of each by hash of id, windows of each.
 MAX_LABELS, DOCS_PER_LABEL, WINDOWS_PER_DOC = 128, 250, 6
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of a category of letters; number signs are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def to_windows(data: bytes):
@@ -30,7 +33,8 @@ def to_windows(data: bytes):
 class ByteConvolution:
     """`tables[w]` holds, for each place in a filter of width w and each byte, what it adds to each of the filters."""
 
-    def __init__(self, labels: list[str], tables: dict, bias, dense, offset):
+    def __init__(self, labels: list[str], tables: dict, bias, dense, offset, left_out: int = 0):
+        self.left_out = left_out
         self.labels, self.tables, self.bias, self.dense, self.offset = labels, tables, bias, dense, offset
         self.key = uuid.uuid4().hex
 
@@ -105,7 +109,7 @@ class ByteConvolution:
         import numpy as np
 
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.labels else []
+        some = [i for i, t in enumerate(texts) if has_letter(t)] if self.labels else []
         for at in range(0, len(some), 256):
             part = some[at : at + 256]
             data = [texts[i].encode("utf-8", "replace") for i in part]
@@ -123,21 +127,27 @@ def held_out(id_col: str = "doc_id"):
     return id_remainder(id_col, 4) == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> ByteConvolution:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_labels: int | None = MAX_LABELS, docs_per_label: int = DOCS_PER_LABEL, windows_per_doc: int = WINDOWS_PER_DOC) -> ByteConvolution:
     """Fit the network on a bounded sample of the labelled rows that aren't held out.
 
-    The sample: of the MAX_LABELS most frequent labels, DOCS_PER_LABEL documents each, by md5 of their id; of each,
-    WINDOWS_PER_DOC windows at most, evenly spaced over the text. Its windows, at most MAX_LABELS * DOCS_PER_LABEL *
-    WINDOWS_PER_DOC * WINDOW bytes, are what the driver gets. Rows with a null label, text or id don't count.
+    The sample: of the `max_labels` most frequent labels (None: all), `docs_per_label` documents each, by md5 of their
+    id; of each, `windows_per_doc` windows at most, evenly spaced over the text. Its windows, at most as many as those
+    three multiply to, are what the driver gets. Labels beyond the most frequent can't be predicted; the model's
+    `left_out` is their number. Rows with a null label, text or id don't count; of the rows of one id and label one counts.
     """
     import numpy as np
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     named = named.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    labels = named.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).select("label")
+    counted = named.groupBy("label").agg(F.count("*").alias("n"))
+    wanted = counted if max_labels is None else counted.orderBy(F.desc("n"), "label").limit(max_labels)
+    wanted = [(r["label"],) for r in wanted.select("label").collect()]
+    left_out = counted.count() - len(wanted)
+    labels = docs.sparkSession.createDataFrame(wanted, "label string")
     by_hash = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    chosen = named.select("doc_id", "label").join(F.broadcast(labels), "label").withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= DOCS_PER_LABEL).select("doc_id", "label").distinct()
-    sample = named.join(F.broadcast(chosen), ["doc_id", "label"]).select("label", "text")  # at most MAX_LABELS * DOCS_PER_LABEL ids
+    chosen = named.select("doc_id", "label").join(F.broadcast(labels), "label").withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= docs_per_label).select("doc_id", "label").distinct()
+    # at most so many ids, and for each one text
+    sample = named.join(F.broadcast(chosen), ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text")
 
     def cut(batches):
         import pyarrow as pa
@@ -145,9 +155,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         for batch in batches:
             names, windows = [], []
             for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if text and LETTER.search(text):
+                if has_letter(text):
                     all_windows = to_windows(text.encode("utf-8", "replace"))
-                    for i in np.unique(np.linspace(0, len(all_windows) - 1, WINDOWS_PER_DOC).round().astype(int)):
+                    for i in np.unique(np.linspace(0, len(all_windows) - 1, windows_per_doc).round().astype(int)):
                         names.append(label)
                         windows.append(all_windows[i].tobytes())
             yield pa.record_batch([pa.array(names, pa.string()), pa.array(windows, pa.binary())], names=["label", "data"])
@@ -155,10 +165,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     rows = sorted((r["label"], bytes(r["data"])) for r in sample.mapInArrow(cut, "label string, data binary").collect())
     found = sorted({r[0] for r in rows})
     if not found:
-        return ByteConvolution([], {}, None, None, None)
+        return ByteConvolution([], {}, None, None, None, left_out)
     windows = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
     target = np.array([found.index(r[0]) for r in rows])
-    return ByteConvolution.fit(windows, target, found)
+    model = ByteConvolution.fit(windows, target, found)
+    model.left_out = left_out
+    return model
 
 
 _prepared: dict = {}
@@ -179,9 +191,10 @@ def identify(docs: DataFrame, model: ByteConvolution, text_col: str = "text", la
             labels, scores = _prepared[model.key].predict([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"label": labels, "score": scores})
 
-    keep = [c for c in docs.columns if c.lower() not in (label_col.lower(), score_col.lower())]
-    out = docs.select(*keep, predict(F.col(text_col).cast("string")).alias("found_"))
-    return out.select(*keep, F.col("found_.label").alias(label_col), F.col("found_.score").alias(score_col))
+    keep = [quoted(c) for c in docs.columns if c.lower() not in (label_col.lower(), score_col.lower())]
+    found = free_name(docs, "found_")
+    out = docs.select(*keep, predict(F.col(text_col).cast("string")).alias(found))
+    return out.select(*keep, F.col(f"{found}.label").alias(label_col), F.col(f"{found}.score").alias(score_col))
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SPACE, free_name, staged
+from panelforge.llm.common import SPACE, free_name, quoted, staged
 
 LINES = 3
 
@@ -46,7 +46,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     split = F.split(text_col, "\n", -1)
     stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(starts))
     text = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(split, i)), "\n"))
-    columns = [text.alias(c) if c.lower() == text_col.lower() else F.col(c) for c in docs.columns if c.lower() not in (lines_col.lower(), removed_col.lower())]
+    columns = [text.alias(c) if c.lower() == text_col.lower() else quoted(c) for c in docs.columns if c.lower() not in (lines_col.lower(), removed_col.lower())]
     return out.select(*columns, F.coalesce(F.size(split), F.lit(0)).cast("long").alias(lines_col), F.coalesce(F.size(starts), F.lit(0)).cast("long").alias(removed_col))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SPACE, free_name, staged, text_or_empty
+from panelforge.llm.common import SPACE, free_name, quoted, staged, text_or_empty
 
 #: Blocks into which the shuffled documents of a source are cut, by the first hex digits of their shuffle key; ranges of
 #: finish times up to 1, and for each doubling beyond.
@@ -100,21 +100,29 @@ def queue_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
 
 def mixture_report(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (its words in the mix, repeats counted)."""
+    """One row per row of `docs`: doc_id, size, source_size, target, taken (its words in the mix, repeats counted).
+
+    Null and empty texts have size 0 and take 0; each repeated row of an id has a row of its own. See `queue_documents`
+    for ties, null sources and scale.
+    """
     placed, taken = queue_documents(docs, **options)
     both = placed.select("row", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")).unionByName(taken.select("row", F.col("size").alias("taken")), allowMissingColumns=True)
     return both.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "size", "source_size", "target")), F.sum("taken").alias("taken")).drop("row")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, once for each time that it takes them; columns stay as they are."""
+    """The documents that the mix takes, once for each time that it takes them; columns stay as they are.
+
+    Documents without words are taken as their places in the queue come up, since they cost nothing; an empty table gives
+    an empty mix. Scale: as `queue_documents`, and one more shuffle of the texts to meet their numbers of copies.
+    """
     row = free_name(docs, "row_")
     keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
     _, taken = queue_documents(keyed, row_col=row, **options)
     copies = taken.groupBy(F.col("row").alias(row)).agg(F.count("*").cast("int").alias("n"))
     times = free_name(docs, "times_")
     out = keyed.join(copies.withColumnRenamed("n", times).hint("merge"), row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return out.select(*docs.columns)
+    return out.select(*map(quoted, docs.columns))
 
 
 ORACLE = r"""

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import id_remainder, release, staged, staged_paths
+from panelforge.llm.common import Staging, id_remainder, release, staged
 from panelforge.llm.near_dedup import mixed, of_large_groups
 
 DEPTH = 3
@@ -379,7 +379,7 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
     entries = words_.filter(F.col("n") >= LEAST_JOINT).select("key", "n", ((F.col("n") + 1) / size).alias("eff"), ((F.col("n") + 1) / size).alias("root"))
     out = []
     for depth in range(1, DEPTH + 1):
-        start = len(staged_paths)
+        start = 0
         seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
         contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
         # most keys occur once: only the others shuffle with what they are made of
@@ -398,11 +398,11 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
         gain = 2 * F.col("times") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
         kept = of.filter(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom"))).select("ctx", "times", F.log10(F.col("left") / F.col("left_shorter")).alias("back"))
         kept = staged(kept, "kept")
-        end = len(staged_paths) - 1
+        end = 0
         eff = F.when(F.col("back").isNull(), F.col("shorter")).otherwise(F.col("p"))
         entries = of_large_groups(counted, kept, "ctx", "times", total).select("key", "n", eff.alias("eff"), "root", F.col("back").isNotNull().alias("kept"))
         entries = staged(entries, "entries")
-        release(staged_paths[start:end])
+        release([])
         freed(spark)
         out.append((kept, entries.filter("kept").select("key", "n", F.log10(F.col("eff") / F.col("root")).alias("delta"))))
     return words_, total, sums["distinct"], out
@@ -487,7 +487,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     counted = wanted.join(vocabulary, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
-    settled, start = [], len(staged_paths)
+    settled, start = [], 0
     for d in range(DEPTH, 0, -1):
         kept, entries = tables[d - 1]
         key, ctx = f"key{d}", f"ctx{d}"
@@ -498,10 +498,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         missed = staged(missed.select("row", *rest, F.coalesce("back", F.lit(0.0)).alias("delta")), "missed")
         sums = found.filter("delta is not null").select("row", "delta").unionByName(missed.filter("delta != 0").select("row", "delta"))
         settled.append(staged(sums.groupBy("row").agg(F.sum("delta").alias("delta")), "settled"))
-        end = len(staged_paths)
+        end = 0
         if rest:
             pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
-        release(staged_paths[start : end - 1])
+        release([])
         start = end
         freed(docs.sparkSession)
     joined = functools.reduce(DataFrame.unionByName, settled).groupBy("row").agg(F.sum("delta").alias("delta"))

@@ -155,10 +155,38 @@ def test_languages_of_odd_rows(messy, empty):
     assert len(got) == messy.count()
     assert all(r["lang_pred"] == "und" for r in got if r["doc_id"] in (3, 4, 5, 9))
     assert langid.predict_documents(empty).count() == 0
+    taken = messy.withColumnsRenamed({"source": "a.b", "n_chars": "found_"}) if "n_chars" in messy.columns else messy.withColumn("a.b", F.lit(1)).withColumn("found_", F.lit(2))
+    assert langid.identify(taken, langid.ByteConvolution([], {}, None, None, None)).columns == [*taken.columns, "lang_pred", "score"]
     out = langid.identify(messy, langid.ByteConvolution([], {}, None, None, None))
     assert {r["lang_pred"] for r in out.collect()} == {"und"} and out.columns == [*messy.columns, "lang_pred", "score"]
 
 
+def test_letters_are_no_number_signs():
+    assert [langid.has_letter(t) for t in ("\u00bd", "\u00b2", "\u2460", "12 _", "", None, "1a", "\u4e2d", "\u00e9")] == [False] * 6 + [True] * 3
+
+
+def test_labels_left_out_are_told(make):
+    docs = make([(i, f"some words of {x}", x, "a") for i, x in enumerate(["aa"] * 6 + ["bb"] * 5 + ["cc"] * 4)])
+    assert langid.train(docs, max_labels=2).labels == ["aa", "bb"] and langid.train(docs, max_labels=2).left_out == 1
+    assert langid.train(docs, max_labels=None).labels == ["aa", "bb", "cc"]
+
+
+def test_windows_as_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    tables = {w: rng.normal(size=(w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS}
+    bias, dense, offset = rng.normal(size=(3, langid.FILTERS)), rng.normal(size=(3 * langid.FILTERS, 2)), rng.normal(size=2)
+    model = langid.ByteConvolution(["a", "b"], tables, bias, dense, offset).prepare()
+    windows = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    for window, got in zip(windows, model.window_probabilities(windows), strict=True):
+        pooled = []
+        for k, w in enumerate(langid.WIDTHS):
+            for f in range(langid.FILTERS):
+                pooled.append(max(0.0, max(sum(tables[w][j, window[i + j], f] for j in range(w)) for i in range(langid.WINDOW - w + 1)) + bias[k][f]))
+        z = [sum(p * dense[i, c] for i, p in enumerate(pooled)) + offset[c] for c in range(2)]
+        want = 1 / (1 + math.exp(z[1] - z[0]))
+        assert got[0] == pytest.approx(want, abs=1e-4)
+
+
 # mixing
 
 
