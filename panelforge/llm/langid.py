@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import free_name, id_remainder, quoted
+from panelforge.llm.common import bounded_batches, free_name, id_remainder, quoted
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: The bounded sample of labelled rows: the most frequent labels, documents of each by hash of id, windows of each.
@@ -136,14 +136,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     `left_out` is their number. Rows with a null label, text or id don't count; of the rows of one id and label one counts.
     """
     import numpy as np
+    import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     named = named.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     counted = named.groupBy("label").agg(F.count("*").alias("n"))
     wanted = counted if max_labels is None else counted.orderBy(F.desc("n"), "label").limit(max_labels)
-    wanted = [(r["label"],) for r in wanted.select("label").collect()]
+    wanted = [r["label"] for r in wanted.select("label").collect()]
     left_out = counted.count() - len(wanted)
-    labels = docs.sparkSession.createDataFrame(wanted, "label string")
+    labels = docs.sparkSession.createDataFrame(pa.table({"label": pa.array(wanted, pa.string())}))
     by_hash = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
     chosen = named.select("doc_id", "label").join(F.broadcast(labels), "label").withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= docs_per_label).select("doc_id", "label").distinct()
     # at most so many ids, and for each one text
@@ -182,6 +184,8 @@ def identify(docs: DataFrame, model: ByteConvolution, text_col: str = "text", la
     Columns of `docs` with the names of the two are replaced. Scale: a projection; the model, some hundred kB, goes
     with the task, and texts go through the network 256 at a time, 64 windows at a time.
     """
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("label string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if model.key not in _prepared:

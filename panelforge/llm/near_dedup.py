@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from panelforge.llm.common import Staging, free_name, slices, staged
+from panelforge.llm.common import Staging, bounded_batches, free_name, slices, staged
 from panelforge.llm.words import word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -314,6 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Scale: signatures, shingles and pairs stay with their tasks; keys and bands that many rows share are aggregated
     before they shuffle, and joined by a broadcast of at most a thousand of them. Nothing but counts comes to the driver.
     """
+    bounded_batches(docs.sparkSession)
     with Staging() as made:
         tagged = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         table = staged(signed(tagged), "signed")

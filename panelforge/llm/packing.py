@@ -8,12 +8,14 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices, staged
+from panelforge.llm.common import bounded_batches, slices, staged
 from panelforge.llm.tokens import SLICE, encoder, public_tokenizer
 
 SEQUENCE = 4096
 #: Blocks over which the pieces of one length are ranked.
 RANK_BLOCKS = 1024
+#: The columns of `assignments`.
+PLACE = ("length", "rank_from", "rank_to", "first_sequence", "each", "first_offset", "sequence_tokens")
 PIECE = "row long, doc_id long, start long, length int, doc_tokens long, ids_crc32 long, ids binary"
 
 
@@ -60,6 +62,7 @@ def assignments(patterns: list[tuple[int, dict[int, int]]]) -> list[tuple[int, .
 
 def cut_pieces(docs: DataFrame, path: str, pieces: str | None, space: int, end_id: int, id_col: str, text_col: str, with_ids: bool = True) -> DataFrame:
     """The ids of each document in pieces of `space` and a rest."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def cut(batches):
@@ -100,10 +103,13 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, pieces: str |
     broadcasts the patterns' places. Pieces are ranked within their length in blocks, so that a length which many
     pieces have is spread over tasks.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
     cut = staged(cut_pieces(docs, tokenizer or public_tokenizer("word_bpe_49k.json"), pieces, space, end_id, id_col, text_col, with_ids).drop(*[] if with_ids else ["ids"]), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.createDataFrame(assignments(shortest_pack_first(histogram, space)), "length int, rank_from long, rank_to long, first_sequence long, each long, first_offset long, sequence_tokens int")
+    found = list(zip(*assignments(shortest_pack_first(histogram, space)), strict=True)) or [()] * len(PLACE)
+    places = spark.createDataFrame(pa.table({c: pa.array(x, pa.int64()) for c, x in zip(PLACE, found, strict=True)}))
 
     light = cut.withColumn("block", F.pmod(F.xxhash64("row", "start"), F.lit(RANK_BLOCKS)).cast("int"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

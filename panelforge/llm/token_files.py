@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import new_path, slices
+from panelforge.llm.common import bounded_batches, new_path, slices
 from panelforge.llm.tokens import SLICE, encoder, public_tokenizer
 
 MAGIC, FOOTER = b"PFTOKEN1", "<QQ8s"
@@ -73,6 +73,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     Scale: texts shuffle once, by range of id, and are tokenized where they are written. The dictionary has a bounded
     size; a task holds one document at a time and the index of its file.
     """
+    bounded_batches(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizer("byte_bpe_50k.json")
     dictionary = train_dictionary(docs, tokenizer, pieces, end_id, id_col, text_col)
     fs, root = filesystem(path)
