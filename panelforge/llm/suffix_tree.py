@@ -13,15 +13,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import Staging, id_remainder, release, staged
+from panelforge.llm.common import Staging, bounded_batches, id_remainder, slices, staged
 from panelforge.llm.near_dedup import mixed, of_large_groups
+from panelforge.llm.words import SLICE, word_hashes
 
 DEPTH = 3
 #: How often a context has to occur, and a context with its next token.
 LEAST_CONTEXT, LEAST_JOINT = 5, 2
-#: Share of all training tokens from which a word, a context or an entry goes to the tasks: at most 1 / COMMON of a kind.
-#: What is rarer is joined, so this has no bearing on the result.
-COMMON = 1e-6
+#: Rows of one table (words, contexts or entries of a depth), the most frequent, that go to the tasks at most. What is
+#: rarer is joined, so this has no bearing on the result.
+COMMON = 1_000_000
 #: Bits of a filter, at most, and of one of its blocks. A fuller filter lets more rows pass to a join, and loses none.
 FILTER_BITS, BLOCK_BITS = 1 << 27, 32768
 #: Weight of the shorter context in a next-token distribution, and what a context's divergence has to exceed.
@@ -241,27 +242,19 @@ def fit(training: DataFrame) -> tuple[SuffixTree, DataFrame]:
 
 def tokenized(rows: DataFrame) -> DataFrame:
     """`row, doc_id, held_out, tokens`: the hashes of each text's words and the end token."""
+    bounded_batches(rows.sparkSession)
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
-        cache, end = {}, word_hash(END)
-        for batch in batches:
-            for at, texts in parts(batch):
-                flat, offsets = [], [0]
-                for text in texts:
-                    for w in words(text):
-                        h = cache.get(w)
-                        if h is None:
-                            if len(cache) >= CACHE:
-                                cache.clear()
-                            cache[w] = h = word_hash(w)
-                        flat.append(h)
-                    flat.append(end)
-                    offsets.append(len(flat))
-                own = [batch[c].slice(at, len(texts)) for c in ("row", "doc_id", "held_out")]
-                yield pa.record_batch([*own, pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(np.array(flat, np.int64)))], names=["row", "doc_id", "held_out", "tokens"])
+        end = np.int64(word_hash(END))
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                hashes, offsets = word_hashes(batch["text"])
+                flat = np.insert((hashes >> np.uint64(1)).astype(np.int64), offsets[1:], end)
+                offsets = (offsets + np.arange(len(offsets))).astype(np.int32)
+                yield pa.record_batch([*(batch[c] for c in ("row", "doc_id", "held_out")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["row", "doc_id", "held_out", "tokens"])
 
     return rows.mapInArrow(cut, "row long, doc_id long, held_out boolean, tokens array<long>")
 
@@ -314,13 +307,17 @@ class Filter:
 
 
 class Known:
-    """The values of a table's common hashes."""
+    """The values of a table's most frequent hashes, at most COMMON of them; `whole` if those are all."""
 
-    def __init__(self, df: DataFrame, key: str, value: str):
+    def __init__(self, df: DataFrame, key: str, value: str, n: str):
         import numpy as np
 
-        got = df.select(key, value).toPandas().sort_values(key)
-        self.keys, self.values = got[key].to_numpy(np.int64), got[value].to_numpy(float)
+        step = F.floor(F.log2(n) * 4)  # a row for each step of a count's logarithm
+        steps = df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).sort(F.desc("step")).collect()
+        fits = np.flatnonzero(np.cumsum([r["rows"] for r in steps]) <= COMMON)
+        own = step >= F.lit(steps[fits[-1]]["step"]) if len(fits) else F.lit(False)
+        got = df.filter(own).select(key, value).toPandas().sort_values(key)
+        self.keys, self.values, self.whole = got[key].to_numpy(np.int64), got[value].to_numpy(float), len(fits) == len(steps)
 
     def __call__(self, h):
         """The values, and which hashes have one."""
@@ -379,30 +376,29 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
     entries = words_.filter(F.col("n") >= LEAST_JOINT).select("key", "n", ((F.col("n") + 1) / size).alias("eff"), ((F.col("n") + 1) / size).alias("root"))
     out = []
     for depth in range(1, DEPTH + 1):
-        start = 0
-        seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
-        contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
-        # most keys occur once: only the others shuffle with what they are made of
-        keys = staged(count_grams(training, depth, contexts).filter(F.col("n") >= LEAST_JOINT).select("key"), "keys")
-        keys = spark.sparkContext.broadcast(Filter(keys, "key"))
-        freed(spark)
-        counted = staged(count_grams(training, depth, contexts, keys).filter(F.col("n") >= LEAST_JOINT), "counted")
-        counted = staged(of_large_groups(counted, seen, "ctx", "seen", total).filter("seen is not null"), "counted")
-        shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root", F.col("n").alias("m"))
-        p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
-        counted = staged(of_large_groups(counted, shorter, "suffix", "m", total).select("key", "n", "ctx", "seen", "shorter", "root", p.alias("p")), "counted")
-        clip = lambda x: F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0))
-        of = counted.groupBy("ctx").agg(
-            F.max("seen").alias("times"), F.count("*").alias("freedom"), clip(F.sum("p")).alias("left"), clip(F.sum("shorter")).alias("left_shorter"), F.sum(F.col("p") * F.log(F.col("p") / F.col("shorter"))).alias("gain")
-        )
-        gain = 2 * F.col("times") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
-        kept = of.filter(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom"))).select("ctx", "times", F.log10(F.col("left") / F.col("left_shorter")).alias("back"))
-        kept = staged(kept, "kept")
-        end = 0
-        eff = F.when(F.col("back").isNull(), F.col("shorter")).otherwise(F.col("p"))
-        entries = of_large_groups(counted, kept, "ctx", "times", total).select("key", "n", eff.alias("eff"), "root", F.col("back").isNotNull().alias("kept"))
-        entries = staged(entries, "entries")
-        release([])
+        with Staging() as made:
+            seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
+            contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
+            # most keys occur once: only the others shuffle with what they are made of
+            keys = staged(count_grams(training, depth, contexts).filter(F.col("n") >= LEAST_JOINT).select("key"), "keys")
+            keys = spark.sparkContext.broadcast(Filter(keys, "key"))
+            freed(spark)
+            counted = staged(count_grams(training, depth, contexts, keys).filter(F.col("n") >= LEAST_JOINT), "counted")
+            counted = staged(of_large_groups(counted, seen, "ctx", "seen", total).filter("seen is not null"), "counted")
+            shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root", F.col("n").alias("m"))
+            p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
+            counted = staged(of_large_groups(counted, shorter, "suffix", "m", total).select("key", "n", "ctx", "seen", "shorter", "root", p.alias("p")), "counted")
+            clip = lambda x: F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0))
+            of = counted.groupBy("ctx").agg(
+                F.max("seen").alias("times"), F.count("*").alias("freedom"), clip(F.sum("p")).alias("left"), clip(F.sum("shorter")).alias("left_shorter"), F.sum(F.col("p") * F.log(F.col("p") / F.col("shorter"))).alias("gain")
+            )
+            gain = 2 * F.col("times") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
+            kept = of.filter(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom"))).select("ctx", "times", F.log10(F.col("left") / F.col("left_shorter")).alias("back"))
+            kept = staged(kept, "kept")
+            eff = F.when(F.col("back").isNull(), F.col("shorter")).otherwise(F.col("p"))
+            entries = of_large_groups(counted, kept, "ctx", "times", total).select("key", "n", eff.alias("eff"), "root", F.col("back").isNotNull().alias("kept"))
+            entries = staged(entries, "entries")
+            made.release((kept, entries))
         freed(spark)
         out.append((kept, entries.filter("kept").select("key", "n", F.log10(F.col("eff") / F.col("root")).alias("delta"))))
     return words_, total, sums["distinct"], out
@@ -422,12 +418,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     hashed = staged(tokenized(rows), "tokens")
     vocabulary, total, distinct, tables = states(hashed.filter(~F.col("held_out")))
-    least = max(LEAST_JOINT, math.ceil(COMMON * total))
     model = [
-        (Filter(kept, "ctx"), Filter(entries, "key"), Known(kept.filter(F.col("times") >= least), "ctx", "back"), Known(entries.filter(F.col("n") >= least), "key", "delta"))
+        (Filter(kept, "ctx"), Filter(entries, "key"), Known(kept, "ctx", "back", "times"), Known(entries, "key", "delta", "n"))
         for kept, entries in tables
     ]
-    common = docs.sparkSession.sparkContext.broadcast((model, Known(vocabulary.filter(F.col("n") >= least), "key", "n")))
+    common = docs.sparkSession.sparkContext.broadcast((model, Known(vocabulary, "key", "n", "n")))
     asked = [f"{c}{d}" for d in range(1, DEPTH + 1) for c in ("key", "ctx")]
 
     def score(batches):
@@ -441,6 +436,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 tokens, place, lengths, found = grams(batch)
                 begin, of = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
                 n, known = counts(tokens)
+                found_n = known
                 base = np.where(known, np.log10(n + 1.0), 0.0) - math.log10(total + distinct + 1)
                 # what a state says of each token over the root, from the longest context on, as far as it is known here
                 more, going = np.zeros(len(tokens)), np.ones(len(tokens), bool)
@@ -451,19 +447,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ctx, key = earlier(found[d - 1]), found[d]
                     i = np.flatnonzero(going & (place >= d))
                     i = i[is_state(ctx[i])]
-                    j = i[open_[i]]
-                    ask[f"key{d}"][j], ask[f"ctx{d}"][j] = key[j], ctx[j]
-                    i = i[~open_[i]]
-                    value, has = delta(key[i])
-                    more[i[has]] += value[has]
-                    going[i[has]] = False
-                    i = i[~has]
                     value, has = back(ctx[i])
-                    has &= ~is_entry(key[i])
-                    more[i[has]] += value[has]
-                    j = i[~has]
-                    ask[f"key{d}"][j], ask[f"ctx{d}"][j] = key[j], ctx[j]
-                    open_[j] = True
+                    if back.whole:
+                        i, value, has = i[has], value[has], has[has]
+                    ask[f"key{d}"][i], ask[f"ctx{d}"][i] = key[i], ctx[i]
+                    asks = open_[i].copy()
+                    # which of them may be entries, and what those entries say
+                    j = np.flatnonzero(~asks)
+                    j = j[is_entry(key[i[j]])]
+                    said, entry = delta(key[i[j]])
+                    more[i[j[entry]]] += said[entry]
+                    going[i[j[entry]]] = False
+                    settled = asks.copy()
+                    settled[j[entry]] = True
+                    # the others go on to the shorter context, where it is known that the state has no such entry
+                    no_entry = np.ones(len(i), bool)
+                    if not delta.whole:
+                        no_entry[j[~entry]] = False
+                    on = ~settled & has & no_entry
+                    more[i[on]] += value[on]
+                    new = i[~settled & ~on]
+                    open_[new] = True
+                    done = i[~(asks | (~settled & ~on))]
+                    ask[f"key{d}"][done], ask[f"ctx{d}"][done] = -1, -1
+                known = known | counts.whole  # then the others occur in no training text, and count 0
                 doc = of[~known]
                 order = np.lexsort((tokens[~known], doc))
                 doc, rare = doc[order], tokens[~known][order]
@@ -474,7 +481,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 rare_at, open_at = offsets(doc[starts]), offsets(of[open_])
                 yield pa.record_batch(
                     [
-                        batch["row"], batch["doc_id"], batch["held_out"], pa.array(lengths), pa.array(np.add.reduceat(known.astype(np.int64), begin)),
+                        batch["row"], batch["doc_id"], batch["held_out"], pa.array(lengths), pa.array(np.add.reduceat(found_n.astype(np.int64), begin)),
                         pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(more, begin)),
                         pa.ListArray.from_arrays(rare_at, pa.array(rare[starts])), pa.ListArray.from_arrays(rare_at, pa.array(times.astype(np.int32))),
                         *(pa.ListArray.from_arrays(open_at, pa.array(ask[c][open_])) for c in asked),
@@ -487,22 +494,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     counted = wanted.join(vocabulary, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
-    settled, start = [], 0
+    settled = []
     for d in range(DEPTH, 0, -1):
-        kept, entries = tables[d - 1]
-        key, ctx = f"key{d}", f"ctx{d}"
-        rest = [c for c in asked if int(c[-1]) < d]
-        found = of_large_groups(pending.filter(F.col(ctx) >= 0), entries.withColumnRenamed("key", key), key, "n", total)
-        found = staged(found.drop("n", key), "found")
-        missed = of_large_groups(found.filter("delta is null").drop("delta"), kept.withColumnRenamed("ctx", ctx), ctx, "times", total)
-        missed = staged(missed.select("row", *rest, F.coalesce("back", F.lit(0.0)).alias("delta")), "missed")
-        sums = found.filter("delta is not null").select("row", "delta").unionByName(missed.filter("delta != 0").select("row", "delta"))
-        settled.append(staged(sums.groupBy("row").agg(F.sum("delta").alias("delta")), "settled"))
-        end = 0
-        if rest:
-            pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
-        release([])
-        start = end
+        with Staging() as made:
+            kept, entries = tables[d - 1]
+            key, ctx = f"key{d}", f"ctx{d}"
+            rest = [c for c in asked if int(c[-1]) < d]
+            found = of_large_groups(pending.filter(F.col(ctx) >= 0), entries.withColumnRenamed("key", key), key, "n", total)
+            found = staged(found.drop("n", key), "found")
+            missed = of_large_groups(found.filter("delta is null").drop("delta"), kept.withColumnRenamed("ctx", ctx), ctx, "times", total)
+            missed = staged(missed.select("row", *rest, F.coalesce("back", F.lit(0.0)).alias("delta")), "missed")
+            sums = found.filter("delta is not null").select("row", "delta").unionByName(missed.filter("delta != 0").select("row", "delta"))
+            settled.append(staged(sums.groupBy("row").agg(F.sum("delta").alias("delta")), "settled"))
+            if rest:
+                pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
+            made.release((settled[-1], pending))
         freed(docs.sparkSession)
     joined = functools.reduce(DataFrame.unionByName, settled).groupBy("row").agg(F.sum("delta").alias("delta"))
     gain, delta = F.coalesce("gain", F.lit(0.0)), F.coalesce("delta", F.lit(0.0))

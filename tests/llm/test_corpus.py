@@ -335,9 +335,9 @@ def test_states_are_distributions(make):
         assert total + unseen == pytest.approx(1, abs=1e-6)
 
 
-@pytest.mark.parametrize("common", [1e-6, 1e-2, 2.0])
+@pytest.mark.parametrize("common", [1_000_000, 300, 0])
 def test_tables_score_as_the_tree(docs, monkeypatch, common):
-    monkeypatch.setattr(suffix_tree, "COMMON", common)  # at 2, all is joined
+    monkeypatch.setattr(suffix_tree, "COMMON", common)  # at 0, all is joined
     rows = {r["doc_id"]: r for r in suffix_tree.score_documents(docs).collect()}
     tree, _ = suffix_tree.fit(docs.filter(~suffix_tree.held_out()))
     for r in docs.collect():
