@@ -22,7 +22,9 @@ DEPTH = 3
 LEAST_CONTEXT, LEAST_JOINT = 5, 2
 #: Rows of one table (words, contexts or entries of a depth), the most frequent, that go to the tasks at most. What is
 #: rarer is joined, so this has no bearing on the result.
-COMMON = 1_000_000
+COMMON = 500_000
+#: Training tokens for each bucket in which n-grams are summed.
+BUCKET = 1_000_000
 #: Bits of a filter, at most, and of one of its blocks. A fuller filter lets more rows pass to a join, and loses none.
 FILTER_BITS, BLOCK_BITS = 1 << 27, 32768
 #: Weight of the shorter context in a next-token distribution, and what a context's divergence has to exceed.
@@ -329,10 +331,15 @@ class Known:
         return self.values[at], self.keys[at] == h
 
 
-def count_grams(training: DataFrame, depth: int, contexts=None, keys=None) -> DataFrame:
+def count_grams(training: DataFrame, depth: int, buckets: int, contexts=None, keys=None, least: int = 1) -> DataFrame:
     """`key, n`: how often each context of `depth` words that passes the filter `contexts` (a broadcast) has each next
-    token; depth 0 counts tokens. With a filter of `keys`, only those, and with `ctx` and the key without its first word,
-    `suffix`."""
+    token, if `least` times or more; depth 0 counts tokens. With a filter of `keys`, only those, and with `ctx` and the
+    key without its first word, `suffix`.
+
+    A task sums a batch by itself and sends its keys, as arrays, to `buckets` by hash; a bucket gets a key once for each
+    batch, however often it occurs.
+    """
+    names = ["key", "n", *(["ctx", "suffix"] if keys is not None else [])]
 
     def count(batches):
         import numpy as np
@@ -347,12 +354,29 @@ def count_grams(training: DataFrame, depth: int, contexts=None, keys=None) -> Da
             if keys is not None:
                 at = at[keys.value(key[at])]
             unique, first, n = np.unique(key[at], return_index=True, return_counts=True)
+            bucket = unique % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             columns = {"key": unique, "n": n.astype(np.int64), "ctx": ctx[at][first], "suffix": suffix[at][first]}
-            yield pa.record_batch([pa.array(columns[c]) for c in names], names=names)
+            some = np.flatnonzero(np.diff(ends))
+            cut = lambda x: pa.array([x[order[ends[b] : ends[b + 1]]].tobytes() for b in some], pa.binary())  # noqa: B023, E731
+            yield pa.record_batch([pa.array(some.astype(np.int32)), *(cut(columns[c]) for c in names)], names=["bucket", *names])
 
-    names = ["key", "n", *(["ctx", "suffix"] if keys is not None else [])]
-    counted = training.select("tokens").mapInArrow(count, ", ".join(f"{c} long" for c in names)).groupBy("key")
-    return counted.agg(F.sum("n").alias("n"), *(F.min(c).alias(c) for c in names[2:]))
+    def add(group):
+        import numpy as np
+        import pyarrow as pa
+
+        read = {c: np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in names}
+        order = np.argsort(read["key"], kind="stable")
+        key = read["key"][order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        n = np.add.reduceat(read["n"][order], starts) if len(starts) else np.zeros(0, np.int64)
+        often = n >= least
+        first = order[starts[often]]
+        return pa.table({c: n[often] if c == "n" else read[c][first] for c in names})
+
+    sent = training.select("tokens").mapInArrow(count, ", ".join(["bucket int", *(f"{c} binary" for c in names)]))
+    return sent.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
 
 
 def freed(spark) -> None:
@@ -370,7 +394,8 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
     Contexts and entries are kept by absolute counts and the divergence test alone; no table comes to the driver.
     """
     spark = training.sparkSession
-    words_ = staged(count_grams(training, 0), "words")
+    buckets = max(1, training.agg(F.sum(F.size("tokens"))).first()[0] or 0) // BUCKET + 1
+    words_ = staged(count_grams(training, 0, buckets), "words")
     sums = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     total, size = sums["total"], float(sums["total"] + sums["distinct"] + 1)
     entries = words_.filter(F.col("n") >= LEAST_JOINT).select("key", "n", ((F.col("n") + 1) / size).alias("eff"), ((F.col("n") + 1) / size).alias("root"))
@@ -380,10 +405,10 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
             seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
             contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
             # most keys occur once: only the others shuffle with what they are made of
-            keys = staged(count_grams(training, depth, contexts).filter(F.col("n") >= LEAST_JOINT).select("key"), "keys")
+            keys = staged(count_grams(training, depth, buckets, contexts, least=LEAST_JOINT).select("key"), "keys")
             keys = spark.sparkContext.broadcast(Filter(keys, "key"))
             freed(spark)
-            counted = staged(count_grams(training, depth, contexts, keys).filter(F.col("n") >= LEAST_JOINT), "counted")
+            counted = staged(count_grams(training, depth, buckets, contexts, keys, LEAST_JOINT), "counted")
             counted = staged(of_large_groups(counted, seen, "ctx", "seen", total).filter("seen is not null"), "counted")
             shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root", F.col("n").alias("m"))
             p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
