@@ -9,6 +9,8 @@ from panelforge.functions.series import seeded
 
 #: Blocks of the md5 order, by its first hex digits, in which rows are numbered.
 DIGITS = 3
+#: Ranges of a number in which rows are numbered.
+BLOCKS = 256
 
 
 def numbered(df: DataFrame, id_col: str, seed: int, by: list[str] = (), name: str = "nth") -> DataFrame:
@@ -23,6 +25,26 @@ def numbered(df: DataFrame, id_col: str, seed: int, by: list[str] = (), name: st
     return blocked.join(sizes, [*by, "_block"]).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_h", "_block", "_before")
 
 
+def ordered(df: DataFrame, order_col: str, by: list[str] = (), name: str = "nth") -> DataFrame:
+    """`nth` from 0 in the order of `order_col` within `by`, null first. Rows are numbered in blocks of the order, ranges
+    of a number or first letters of a text, so that no task gets all rows."""
+    column = F.col(order_col)
+    if dict(df.dtypes)[order_col] == "string":
+        block = F.substring(column, 1, DIGITS)
+    else:
+        cuts = df.agg(F.percentile_approx(column.cast("double"), [i / BLOCKS for i in range(1, BLOCKS)])).first()[0] or []
+        block = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < column.cast("double"))) if cuts else F.lit(0)
+    blocked = df.withColumn("_block", F.when(column.isNotNull(), block))
+    sizes = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_block").alias("_of"), "_before")
+    same = F.col("_block").eqNullSafe(F.col("_of"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    within = Window.partitionBy(*by, "_block").orderBy(order_col)
+    return blocked.join(F.broadcast(sizes), same).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_block", "_before", "_of", *(f"_of_{c}" for c in by))
+
+
 def kfold(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
     """`fold`: shuffled folds of equal size; k beyond the rows leaves one out at a time."""
     return numbered(df, id_col, seed).withColumn("fold", F.pmod("nth", F.lit(k)).cast("int")).drop("nth")
@@ -52,7 +74,7 @@ def block_holdout(df: DataFrame, order_col: str, fold: int, seed: int = 0, share
     n = df.count()
     length = 10 if n > 50 else 1
     chunks, held = n // length, int(share * n / length)
-    rows = df.withColumn("_nth", F.row_number().over(Window.orderBy(order_col)) - 1).withColumn("_chunk", F.floor(F.col("_nth") / length))
+    rows = ordered(df, order_col, name="_nth").withColumn("_chunk", F.floor(F.col("_nth") / length))
     every = df.sparkSession.range(chunks).withColumnRenamed("id", "_chunk")
     chosen = every.orderBy(F.md5(F.concat(F.lit(f"{seed}:{fold}:"), F.col("_chunk").cast("string")).cast("binary"))).limit(held).withColumn("_held", F.lit(True))
     return rows.join(chosen, "_chunk", "left").withColumn("held_out", F.coalesce("_held", F.lit(False))).drop("_nth", "_chunk", "_held")

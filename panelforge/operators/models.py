@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,19 +41,18 @@ def _grid(estimator, params: list[dict], train: DataFrame, n_folds: int, seed: i
     return found.bestModel, params[best]
 
 
-def fit_svc_grid(train: DataFrame, n_classes: int = 2, exponents=DEFAULTS.svc_exponents, n_folds: int = 3, max_iter: int = 100, seed: int = 0):
-    """Balanced linear SVC, C = 2^e; more than two classes go one against the rest."""
+def fit_svc_grid(train: DataFrame, n_classes: int | None = None, exponents=DEFAULTS.svc_exponents, n_folds: int = 3, max_iter: int = DEFAULTS.svc_iterations, seed: int = 0):
+    """Balanced linear SVC, C = 2^e; more than two classes go one against the rest, by the same grid."""
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
     n = max(1, train.count())
-    svc = LinearSVC(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=max_iter, tol=1e-5)
-    # one-vs-rest copies the classifier, which then carries its own regularisation
-    estimator = svc if n_classes <= 2 else OneVsRest(classifier=svc.setRegParam(1.0 / n), featuresCol="scaled", labelCol="label", weightCol="weight", parallelism=4)
-    params = [{"regParam": 1.0 / (2.0**e * n)} for e in exponents] if n_classes <= 2 else [{"regParam": 1.0 / n}]
-    return _grid(estimator, params, train, n_folds, seed)
+    n_classes = n_classes or train.select("label").distinct().count()
+    svc = LinearSVC(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=max_iter, tol=DEFAULTS.svc_tolerance)
+    estimator = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="scaled", labelCol="label", weightCol="weight", parallelism=4)
+    return _grid(estimator, [{"regParam": 1.0 / (2.0**e * n)} for e in exponents], train, n_folds, seed)
 
 
-def fit_logistic_grid(train: DataFrame, cs=(0.01, 0.1, 1.0, 10.0), penalties=(0.0, 1.0), n_folds: int = 3, max_iter: int = 100, seed: int = 0):
+def fit_logistic_grid(train: DataFrame, cs=DEFAULTS.logistic_cs, penalties=(0.0, 1.0), n_folds: int = 3, max_iter: int = 100, seed: int = 0):
     """Balanced logistic regression, L2 (0) and L1 (1)."""
     from pyspark.ml.classification import LogisticRegression
 
@@ -60,19 +61,25 @@ def fit_logistic_grid(train: DataFrame, cs=(0.01, 0.1, 1.0, 10.0), penalties=(0.
     return _grid(estimator, [{"regParam": 1.0 / (c * n), "elasticNetParam": p} for c in cs for p in penalties], train, n_folds, seed)
 
 
-def fit_forest_grid(train: DataFrame, depths=(5, 10), impurities=("gini", "entropy"), min_split=(2,), trees: int = DEFAULTS.forest_trees, n_folds: int = 3, seed: int = 0):
-    """Random forest over depth, split size and impurity."""
+def fit_forest_grid(train: DataFrame, depths=DEFAULTS.forest_depths, impurities=("gini", "entropy"), min_split=None, trees: int = DEFAULTS.forest_trees, n_folds: int = 3, seed: int = 0):
+    """Balanced random forest over depth (None: 30, Spark's deepest), split size and impurity. The least rows to split
+    are, by default, ten shares of the number of columns; a leaf has at least half of them."""
     from pyspark.ml.classification import RandomForestClassifier
 
+    if min_split is None:
+        width = len(train.select("features").first()[0])
+        low, high, steps = DEFAULTS.forest_splits
+        min_split = [round(width * (low + (high - low) * i / (steps - 1))) for i in range(steps)]
+    sizes = sorted({max(1, -(-int(m) // 2)) for m in min_split})
     estimator = RandomForestClassifier(featuresCol="scaled", labelCol="label", weightCol="weight", numTrees=trees, seed=seed)
-    return _grid(estimator, [{"maxDepth": d, "impurity": i, "minInstancesPerNode": -(-m // 2)} for d in depths for i in impurities for m in min_split], train, n_folds, seed)
+    return _grid(estimator, [{"maxDepth": 30 if d is None else d, "impurity": i, "minInstancesPerNode": m} for d in depths for i in impurities for m in sizes], train, n_folds, seed)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("subject", F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def forest_select(train: DataFrame, n: int, trees: int = DEFAULTS.forest_trees, seed: int = 0) -> DataFrame:
+def forest_select(train: DataFrame, n: int, trees: int = DEFAULTS.selection_trees, seed: int = 0) -> DataFrame:
     """`feature, importance`: the n most important features of a balanced forest, ties kept.
 
     The least split size starts at a third of the columns and is halved until more than n features matter; at 2 that is
@@ -113,39 +120,127 @@ def sparsity_path(train: DataFrame, test: DataFrame, exponents=DEFAULTS.sparsity
     return train.sparkSession.createDataFrame(out, "c double, kept int, f1_train double, f1_test double")
 
 
-def cross_validate(db: DataFrame, k: int = DEFAULTS.folds, method: str = "logistic", select: int | None = None, null: bool = False, iterations: int = 1, seed: int = 0, **options) -> tuple[DataFrame, DataFrame]:
-    """Fold metrics of train and test, and test predictions, of `subject, features, y`.
+class Results(NamedTuple):
+    """Metrics by iteration, fold and split; test predictions; the settings that each fold's grid chose."""
+
+    metrics: DataFrame
+    predictions: DataFrame
+    settings: DataFrame
+
+
+def fold_features(panel: DataFrame, n_rois: int, blocks: tuple = ("xcorr", "connectivity", "dynamics"), target=None, other=None, length: int = DEFAULTS.win_length, step: int = DEFAULTS.win_step, n_states: int = DEFAULTS.n_states, extra: tuple = (), seed: int = 0):
+    """What `cross_validate` builds the features of a fold with: a function of `subject, y, split`.
 
-    Folds are stratified; selection, scaling and the grid see the training rows alone. `null` shuffles y within the
-    training and the test rows. `iterations` repeats all with other folds.
+    xcorr: correlations with the template of the training subjects (of class `target`, if given; less those with the
+    template of class `other`, if given). connectivity: a subject's own correlations. dynamics: weights of the states of
+    the training subjects' windows, found for each class. `extra`: tables of `subject, features` that follow. Nothing
+    that is fitted sees a test subject. `panel` is long: subject, experiment, roi, t, v. What doesn't depend on a fold is
+    cached, and freed by calling `release` of the function.
     """
-    fit = {"logistic": fit_logistic_grid, "svc": fit_svc_grid, "forest": fit_forest_grid}[method]
-    tables, predictions = [], []
+    from panelforge.operators import features as fx
+    from panelforge.operators.prepare import assemble_features
+    from panelforge.sources.domain import to_series
+
+    series = to_series(panel)
+    z = fx.zscored(panel).persist()
+    alone = {"connectivity": fx.connectivity(series).persist(), "dynamics": fx.dynamic_connectivity(series, length, step).persist()}
+    in_order = lambda value, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col(value).alias("_v")))), lambda x: x["_v"]).alias("features")
+
+    def build(rows: DataFrame) -> DataFrame:
+        known = rows.select("subject", "y", (F.col("split") == "train").alias("training"))
+
+        def against(group) -> DataFrame:
+            member = F.col("training") if group is None else F.col("training") & (F.col("y") == F.lit(group))
+            marked = z.join(known.select("subject", F.coalesce(member, F.lit(False)).alias("member")), "subject")
+            return fx.intersubject(marked, "member", n_rois).withColumn("r", F.coalesce("r", F.lit(0.0)))
+
+        out = []
+        if "xcorr" in blocks:
+            r = against(target)
+            r = r if other is None else fx.template_difference(r, against(other)).withColumnRenamed("difference", "r")
+            out.append(r.groupBy("subject").agg(in_order("r", "experiment", "feature")))
+        if "connectivity" in blocks:
+            own = fx.edges_long(alone["connectivity"].join(known.select("subject"), "subject", "left_semi"))
+            out.append(own.groupBy("subject").agg(in_order("r", "experiment", "edge")))
+        if "dynamics" in blocks:
+            windows = alone["dynamics"].join(known.select("subject"), "subject", "left_semi")
+            states = fx.dynamic_states(windows.join(known.filter("training"), "subject"), "y", n_states, seed)
+            out.append(fx.state_occupancy(windows, states).groupBy("subject").agg(in_order("weight", "experiment", "state")))
+        return assemble_features([*out, *extra])
+
+    build.release = lambda: [df.unpersist() for df in (z, *alone.values())]
+    return build
+
+
+def _biotyped(rows: DataFrame, model: dict) -> DataFrame:
+    """`y` of both sides of a fold by biotypes fitted to its training side; `rows` has arrays `x` and `scores`."""
+    from panelforge.operators.multivariate import apply_biotypes
+
+    train, test = apply_biotypes(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "x", "scores", model)
+    found = train.select("subject", "cluster").unionByName(test.select("subject", "cluster"))
+    return rows.drop("y").join(found.withColumnRenamed("cluster", "y"), "subject")
+
+
+def cross_validate(db: DataFrame, k: int = DEFAULTS.folds, method: str = "logistic", select: int | None = None, null: bool = False, iterations: int = 1, seed: int = 0, features=None, biotypes: dict | None = None, select_trees: int = DEFAULTS.selection_trees, **options) -> Results:
+    """Fold metrics of train and test, test predictions, and chosen settings, of `subject, y` and `features`.
+
+    Folds are stratified. `features` may be a function of a fold's `subject, y, split` instead of a column, such as
+    `fold_features`. Selection, scaling and the grid see the training rows alone. method: logistic, svc, forest, or
+    anomaly, an isolation forest that takes y = 0 for outliers and their share from the training rows. With a model of
+    `estimate_biotypes`, y of each fold is the biotype, fitted to its training rows (`db` then has arrays `x` and
+    `scores`, and y, for the folds, is the biotype of the full sample). `null` shuffles y within the training and the
+    test rows. `iterations` repeats all with other folds. `options` go to the grid.
+    """
+    from panelforge.operators.multivariate import isolation_forest
+    from panelforge.operators.prepare import shuffle_labels
+
+    spark, keys = db.sparkSession, ["i", "fold", "split", "n_features"]
+    tables, predictions, settings = [], [], []
     for i in range(iterations):
         folded = splits.stratified_kfold(db, "subject", "y", k, seed + i).persist()
         for fold in range(k):
             rows = folded.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))
+            if biotypes is not None:
+                rows = _biotyped(rows, biotypes)
             if null:
-                from panelforge.operators.prepare import shuffle_labels
-
                 rows = shuffle_labels(rows, "subject", "y", ["split"], seed + 1000 * i + fold).drop("y").withColumnRenamed("shuffled", "y")
+            if features is not None:
+                rows = rows.drop("features").join(features(rows.select("subject", "y", "split")), "subject")
+            rows = rows.persist()
             train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
             if select is not None:
-                kept = sorted(r["feature"] for r in forest_select(vectors(train), select, 50, seed).collect())
+                kept = sorted(r["feature"] for r in forest_select(vectors(train), select, select_trees, seed).collect())
                 pick = lambda df, kept=kept: df.withColumn("features", F.array(*(F.col("features")[j] for j in kept)))
                 train, test = pick(train), pick(test)
-            model, _ = fit(vectors(train).persist(), seed=seed, **options)
             width = len(train.select("features").first()[0])
-            both = predict(model, vectors(train)).withColumn("split", F.lit("train")).unionByName(predict(model, vectors(test)).withColumn("split", F.lit("test")))
+            if method == "anomaly":
+                share = train.agg(F.avg((F.col("y") == 0).cast("double"))).first()[0]
+                trees = {"sample": width, "seed": seed} | options
+                guess = lambda df, train=train, share=share, trees=trees: isolation_forest(train, share, rows=df, **trees).select("subject", F.col("y").cast("int").alias("actual"), (1 - F.col("outlier")).alias("predicted"))
+                best = {}
+            else:
+                fitted = vectors(train).persist()
+                model, best = {"logistic": fit_logistic_grid, "svc": fit_svc_grid, "forest": fit_forest_grid}[method](fitted, seed=seed, **options)
+                fitted.unpersist()
+                guess = lambda df, model=model: predict(model, vectors(df))
+            both = guess(train).withColumn("split", F.lit("train")).unionByName(guess(test).withColumn("split", F.lit("test")))
             both = both.withColumns({"i": F.lit(i), "fold": F.lit(fold), "n_features": F.lit(width)})
-            tables.append(metrics.confusion_table(both, ["i", "fold", "split", "n_features"]))
+            # a row for each pair of classes; predictions, when they are read, follow from the fitted model
+            tables += metrics.confusion_table(both, keys).collect()
             predictions.append(both.filter("split = 'test'").select("i", "fold", "subject", F.col("actual").alias("y_actual"), F.col("predicted").alias("y_predictions")))
+            settings.append((i, fold, {name: str(value) for name, value in best.items()}))
+            rows.unpersist()
+        folded.unpersist()
+    confusion = spark.createDataFrame([tuple(r) for r in tables], "i int, fold int, split string, n_features int, actual int, predicted int, n long")
     join = lambda dfs: dfs[0] if len(dfs) == 1 else join(dfs[: len(dfs) // 2]).unionByName(join(dfs[len(dfs) // 2 :]))
-    return metrics.classification_metrics(join(tables), ["i", "fold", "split", "n_features"]), join(predictions)
+    names = sorted({name for _, _, best in settings for name in best})
+    chosen = spark.createDataFrame([(i, fold, *(best.get(c) for c in names)) for i, fold, best in settings], ", ".join(["i int, fold int", *(f"{c} string" for c in names)]))
+    return Results(metrics.classification_metrics(confusion, keys), join(predictions), chosen)
 
 
-def diagnostics(train: DataFrame, test: DataFrame, bins: int = 20) -> dict:
-    """First-fold report: distributions of y and X, top three components by class, and the sparsity path."""
+def diagnostics(train: DataFrame, test: DataFrame, bins: int = 20, exponents=DEFAULTS.sparsity_exponents, max_iter: int = 50) -> dict:
+    """First-fold report: distributions of y and X, top three components by class, the sparsity path, and the matrix itself
+    (`subject, y, split, features`), which `sources.files.dump_matrix` writes."""
     from panelforge.operators.multivariate import pca_reduce
     from panelforge.operators.summaries import histogram
 
@@ -154,5 +249,6 @@ def diagnostics(train: DataFrame, test: DataFrame, bins: int = 20) -> dict:
         "y": train.groupBy("y").count(),
         "x": histogram(long, "value", bins),
         "scores": pca_reduce(train, 3)[0].select("subject", "y", "comps"),
-        "path": sparsity_path(vectors(train), vectors(test), (-6, 0, 6), max_iter=15),
+        "path": sparsity_path(vectors(train), vectors(test), exponents, max_iter=max_iter),
+        "matrix": train.select("subject", "y", F.lit("train").alias("split"), "features").unionByName(test.select("subject", "y", F.lit("test").alias("split"), "features")),
     }

@@ -91,21 +91,23 @@ def select_group(df: DataFrame, column: str | None, group) -> DataFrame:
     return df if column is None or group is None else df.filter(F.col(column) == group)
 
 
-def reorder(matrix: DataFrame, order: DataFrame, symmetric: bool = True) -> DataFrame:
-    """A long matrix `i, j, v` with rows (and columns) moved by `old, new`; a matrix that isn't square is an error."""
+def reorder(matrix: DataFrame, order: DataFrame, symmetric: bool = True, by: list[str] = ()) -> DataFrame:
+    """A long matrix `i, j, v`, or one for each of `by`, with rows (and columns) moved by `old, new`; a matrix that isn't
+    square is an error."""
     rows = matrix.join(order.select(F.col("old").alias("i"), F.col("new").alias("new_i")), "i")
     if not symmetric:
-        return rows.select(F.col("new_i").alias("i"), "j", "v")
-    shape = matrix.agg(F.count_distinct("i").alias("rows"), F.count_distinct("j").alias("columns"))
-    both = rows.join(order.select(F.col("old").alias("j"), F.col("new").alias("new_j")), "j").crossJoin(F.broadcast(shape))
+        return rows.select(*by, F.col("new_i").alias("i"), "j", "v")
+    shape = matrix.groupBy(*by).agg(F.count_distinct("i").alias("rows"), F.count_distinct("j").alias("columns"))
+    both = rows.join(order.select(F.col("old").alias("j"), F.col("new").alias("new_j")), "j")
+    both = both.join(shape, list(by)) if by else both.crossJoin(F.broadcast(shape))
     v = F.when(F.col("rows") == F.col("columns"), F.col("v")).otherwise(F.raise_error(F.lit("the matrix is not square")).cast("double"))
-    return both.select(F.col("new_i").alias("i"), F.col("new_j").alias("j"), v.alias("v"))
+    return both.select(*by, F.col("new_i").alias("i"), F.col("new_j").alias("j"), v.alias("v"))
 
 
 def shuffle_labels(df: DataFrame, id_col: str, column: str, within: list[str], seed: int = 0) -> DataFrame:
     """`column` shuffled among the rows of each group of `within`: the row that is n-th by id gets the value of the row
     that is n-th by md5 of seed and id."""
-    by_id = Window.partitionBy(*within).orderBy(id_col)
-    by_hash = Window.partitionBy(*within).orderBy(seeded(seed, id_col), id_col)
-    there = df.select(*within, F.row_number().over(by_hash).alias("nth"), F.col(column).alias("shuffled"))
-    return df.withColumn("nth", F.row_number().over(by_id)).join(there, [*within, "nth"]).drop("nth")
+    from panelforge.operators.folds import numbered, ordered
+
+    there = numbered(df.select(*within, id_col, column), id_col, seed, within).select(*within, "nth", F.col(column).alias("shuffled"))
+    return ordered(df, id_col, within).join(there, [*within, "nth"]).drop("nth")

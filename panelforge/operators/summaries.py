@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.series import guarded_corr
 
-MOST_BINS = 10_000
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -45,10 +44,10 @@ def fit_gauss(x, y, start=(1.0, 0.0, 1.0), steps: int = 200):
     raise ValueError("the Gaussian fit didn't converge")
 
 
-def find_outliers(df: DataFrame, column: str, n_sigma: float = 1.0) -> DataFrame:
+def find_outliers(df: DataFrame, column: str, n_sigma: float = 1.0, most_bins: int | None = None) -> DataFrame:
     """`y`: 0 up to the cutoff mu - n_sigma * sigma of a Gaussian fitted to the standardised histogram, else 1.
 
-    The histogram has a tenth as many bins as rows, MOST_BINS at most; the cutoff is carried over as a percentile.
+    The histogram has a tenth as many bins as rows, `most_bins` at most if that is given; the cutoff is carried over as a percentile.
     """
     import numpy as np
 
@@ -57,7 +56,7 @@ def find_outliers(df: DataFrame, column: str, n_sigma: float = 1.0) -> DataFrame
 
     z = standardize(df.select(column).dropna(), [column])
     n = z.count()
-    bins = max(3, min(MOST_BINS, n // 10))
+    bins = max(3, n // 10 if most_bins is None else min(most_bins, n // 10))
     rows = {r["bin"]: (r["left_edge"], r["density"]) for r in histogram(z, f"z_{column}", bins).collect()}
     ends = z.agg(F.min(f"z_{column}"), F.max(f"z_{column}")).first()
     width = (ends[1] - ends[0]) / bins
@@ -103,10 +102,11 @@ def cluster_score_summary(db: DataFrame, columns: list[str], cluster: str) -> Da
     return long.groupBy("variable", cluster).agg(F.min("value").alias("low"), *(F.percentile("value", F.lit(p)).alias(f"q{int(100 * p)}") for p in q), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
-def summarize_folds(folds: DataFrame, metrics: list[str]) -> DataFrame:
-    """`metric, mean, sem` over folds; sem is the sample deviation by the root of the count."""
-    long = folds.select(*(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([], metrics, "metric", "value")
-    return long.groupBy("metric").agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"))
+def summarize_folds(folds: DataFrame, metrics: list[str], keys: list[str] = ()) -> DataFrame:
+    """`metric, mean, sem` over folds, for each of `keys`; sem is the sample deviation by the root of the count."""
+    keys = list(keys)
+    long = folds.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(keys, metrics, "metric", "value")
+    return long.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("sem"))
 
 
 def summarize_hyperparameters(folds: DataFrame, categorical: list[str], numeric: list[str]) -> DataFrame:

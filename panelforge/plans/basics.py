@@ -102,8 +102,7 @@ def reorder_symmetric(spark: SparkSession, d: str) -> DataFrame:
     other = p.select("subject", "t", F.col("roi").alias("j"), F.col("v").alias("w"))
     m = p.join(other, ["subject", "t"]).groupBy("subject", F.col("roi").alias("i"), "j").agg(fx.guarded_corr("v", "w").alias("v"))
     order = spark.range(7).select(F.col("id").cast("int").alias("old"), (6 - F.col("id")).cast("int").alias("new"))
-    moved = m.join(order.select(F.col("old").alias("i"), F.col("new").alias("a")), "i").select("subject", "a", "j", "v").join(order.select(F.col("old").alias("j"), F.col("new").alias("b")), "j")
-    return moved.select("subject", F.col("a").alias("i"), F.col("b").alias("j"), rounded("v").alias("v"))
+    return prepare.reorder(m, order, by=["subject"]).withColumn("v", rounded("v"))
 
 
 @query(f"""WITH {DB}, a AS (SELECT subject, grp, nation, row_number() OVER (PARTITION BY nation ORDER BY subject) AS nth, row_number() OVER (PARTITION BY nation ORDER BY md5('7:' || subject), subject) AS other FROM db)

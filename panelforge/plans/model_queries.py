@@ -60,7 +60,7 @@ def logistic_cv(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def forest_cv(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(spark, d, models.fit_forest_grid, depths=(5,), trees=50)
+    return _fitted(spark, d, models.fit_forest_grid, depths=(5,), impurities=("gini",), min_split=(2,), trees=50)
 
 
 @query
@@ -70,7 +70,7 @@ def forest_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    return mv.isolation_forest(domain.features_wide(spark, d), 0.05).select("subject", rounded("score").alias("score"), "outlier")
+    return mv.isolation_forest(domain.features_wide(spark, d), 0.05, trees=200).select("subject", rounded("score").alias("score"), "outlier")
 
 
 @query
@@ -81,17 +81,17 @@ def sparsity_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return models.diagnostics(*_split(_binary(spark, d)))["scores"].select("subject", "y", rounded(F.col("comps")[0]).alias("pc1"))
+    return models.diagnostics(*_split(_binary(spark, d)), exponents=(0,), max_iter=15)["scores"].select("subject", "y", rounded(F.col("comps")[0]).alias("pc1"))
 
 
 @query
 def cross_validate(spark: SparkSession, d: str) -> DataFrame:
-    """Connectivity of the event panel against a percentile split of the users' mean value."""
-    panel = domain.events_panel(spark, d)
-    x = features.connectivity(domain.to_series(panel)).select("subject", F.col("edges").alias("features"))
+    """Correlations with templates, connectivity and states of the event panel, each fitted to a fold's training users,
+    against a percentile split of the users' mean value."""
+    panel = domain.events_panel(spark, d).persist()
     y = prepare.split_at_percentile(panel.groupBy("subject").agg(F.avg("v").alias("score")), "score").select("subject", "y")
-    # iterative fits read the features again and again
-    return models.cross_validate(x.join(y, "subject").persist(), 3, "logistic", cs=(0.1,), penalties=(0.0,), max_iter=20)[0]
+    built = models.fold_features(panel, 5, length=10, step=2, n_states=3)
+    return models.cross_validate(y.persist(), 3, "logistic", features=built, cs=(0.1,), penalties=(0.0,), max_iter=20).metrics
 
 
 @query

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.series import rounded
-from panelforge.operators import features, folds
+from panelforge.operators import features, prepare, folds
 from panelforge.plans.basics import CONN, TAPER, R, _corr
 from panelforge.sources import domain
 from panelforge.sources.domain import EV, LI, VOX, table
@@ -66,7 +66,8 @@ def _even(spark: SparkSession, d: str, z: DataFrame) -> DataFrame:
 
 @query(f"WITH {LI}, {Z.format('qty')} SELECT experiment, roi, t, {R('avg(z)')} AS mean FROM z JOIN supplier ON subject = s_suppkey WHERE s_nationkey % 2 = 0 GROUP BY 1, 2, 3")
 def select_group_template(spark: SparkSession, d: str) -> DataFrame:
-    z = _even(spark, d, features.zscored(domain.lineitem_panel(spark, d, ("qty",)))).filter("even")
+    z = _even(spark, d, features.zscored(domain.lineitem_panel(spark, d, ("qty",))))
+    z = prepare.select_group(z, "even", True)
     return features.template_sums(z, []).select("experiment", "roi", "t", rounded(F.col("s") / F.col("n")).alias("mean"))
 
 

@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, `spark.checkpoint.dir`; a local session without one gets a
+    temporary folder."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-files-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 #: Cells of a subject table that mean "missing".
 MISSING = ["", "#N/A", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null", "-nan", "-NaN", "#NA", "None"]
 
@@ -57,12 +71,23 @@ def read_voxels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(folds: DataFrame, path: str) -> None:
-    """Fold metrics, and their mean and standard error, as CSV below `path`."""
+    """Fold metrics, their mean and standard error by iteration `i` and `split`, and final tables, as CSV below `path`.
+
+    The final tables, `means` and `sems`, have a row for each iteration and split and a column for each metric.
+    """
     from panelforge.operators.summaries import summarize_folds
 
-    folds.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/folds")
+    def write(df: DataFrame, name: str) -> None:
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+    write(folds, "folds")
     metrics = [c for c, kind in folds.dtypes if kind in ("double", "bigint", "int") and c not in ("k", "fold", "i")]
-    summarize_folds(folds, metrics).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary")
+    keys = [c for c in ("i", "split") if c in folds.columns]
+    summary = summarize_folds(folds, metrics, keys)
+    write(summary.orderBy(*keys, "metric"), "summary")
+    for name, value in (("means", "mean"), ("sems", "sem")):
+        wide = summary.groupBy(*keys).pivot("metric", metrics).agg(F.first(value))
+        write(wide.orderBy(*keys) if keys else wide, name)
 
 
 def write_predictions(db: DataFrame, predictions: DataFrame, id_col: str, path: str) -> None:
@@ -71,7 +96,7 @@ def write_predictions(db: DataFrame, predictions: DataFrame, id_col: str, path:
 
 
 #: What a biotype model has to hold.
-MODEL_KEYS = ("reg", "n_cc", "n_clst", "clusters", "cancorrs", "centroids", "comps_x", "comps_y", "ws_x", "ws_y", "idx_x", "y_names")
+MODEL_KEYS = ("reg", "n_cc", "n_clst", "clusters", "cancorrs", "centroids", "comps_x", "comps_y", "ws_x", "ws_y", "idx_x", "x", "y", "y_names", "cca")
 
 
 def save_model(spark: SparkSession, model: dict, path: str) -> None:

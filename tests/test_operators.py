@@ -239,12 +239,86 @@ def test_cross_validation_finds_a_planted_signal_and_not_noise(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(60, 3))
     df = spark.createDataFrame([(i, r.tolist(), int(r[0] > 0)) for i, r in enumerate(x)], "subject long, features array<double>, y int")
-    m, predictions = models.cross_validate(df, 2, cs=(1.0,), penalties=(0.0,), max_iter=10)
+    m, predictions, settings = models.cross_validate(df, 2, cs=(1.0,), penalties=(0.0,), max_iter=10)
     assert all(r["accuracy"] > 0.8 for r in m.filter("split = 'test'").collect()) and predictions.count() == 60
-    noise, _ = models.cross_validate(df, 2, null=True, cs=(1.0,), penalties=(0.0,), max_iter=10)
+    noise, _, _ = models.cross_validate(df, 2, null=True, cs=(1.0,), penalties=(0.0,), max_iter=10)
     assert np.mean([r["accuracy"] for r in noise.filter("split = 'test'").collect()]) < 0.75
 
 
+def test_fold_features_see_no_test_subject(spark):
+    rng = np.random.default_rng(12)
+    shape = rng.normal(size=(3, 40))
+    cells = [(i, "e", r, t, float(shape[r, t] * (1 + i % 2) + rng.normal())) for i in range(24) for r in range(3) for t in range(40)]
+    panel = spark.createDataFrame(cells, "subject long, experiment string, roi int, t int, v double").persist()
+    rows = spark.createDataFrame([(i, i % 2, "test" if i < 8 else "train") for i in range(24)], "subject long, y int, split string")
+    build = models.fold_features(panel, 3, length=10, step=5, n_states=2)
+    got = {r["subject"]: r["features"] for r in build(rows).collect()}
+    assert len(got) == 24 and {len(v) for v in got.values()} == {6 + 3 + 4}
+    # whatever the other test subjects are, a subject's features are the same
+    changed = panel.withColumn("v", F.when(F.col("subject").between(1, 7), F.rand(3)).otherwise(F.col("v")))
+    again = {r["subject"]: r["features"] for r in models.fold_features(changed, 3, length=10, step=5, n_states=2)(rows).collect()}
+    assert all(again[i] == pytest.approx(got[i]) for i in [0, *range(8, 24)]) and again[1] != pytest.approx(got[1])
+
+
+def test_cross_validation_of_anomalies_and_settings(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(70, 3)), rng.normal(size=(10, 3)) + 9])
+    df = spark.createDataFrame([(i, r.tolist(), int(i < 70)) for i, r in enumerate(x)], "subject long, features array<double>, y int")
+    found = models.cross_validate(df, 2, "anomaly", trees=100, sample=32)
+    assert all(r["accuracy"] > 0.85 for r in found.metrics.filter("split = 'test'").collect())
+    found = models.cross_validate(df, 2, "logistic", cs=(0.01, 1.0), penalties=(0.0,), max_iter=10, n_folds=2, iterations=2)
+    assert found.settings.count() == 4 and set(found.settings.columns) == {"i", "fold", "regParam", "elasticNetParam"}
+    assert summaries.summarize_hyperparameters(found.settings, ["elasticNetParam"], []).first()["summary"] == "0.0"
+    files.write_results(found.metrics, str(tmp_path))
+    means = {(r["i"], r["split"]): float(r["accuracy"]) for r in spark.read.option("header", True).csv(str(tmp_path / "means")).collect()}
+    rows = found.metrics.collect()
+    for (i, split), mean in means.items():
+        assert mean == pytest.approx(np.mean([r["accuracy"] for r in rows if r["i"] == int(i) and r["split"] == split]))
+    assert len(means) == 4
+
+
+def test_svc_grid_of_three_classes(spark):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, (rng.normal(size=2) + 6 * np.array([i % 3 == 1, i % 3 == 2])).tolist(), i % 3) for i in range(60)], "subject long, features array<double>, y int")
+    rows = models.vectors(df).persist()
+    model, best = models.fit_svc_grid(rows, exponents=(-2, 0), n_folds=2, max_iter=20)
+    assert best["regParam"] in (4 / 60, 1 / 60)
+    size = lambda m: np.linalg.norm([c.coefficients.toArray() for c in m.stages[-1].models])
+    weak, strong = (models.fit_svc_grid(rows, exponents=(e,), max_iter=20)[0] for e in (-20, 0))
+    assert size(weak) < size(strong) / 100
+    got = models.predict(model, models.vectors(df)).collect()
+    assert np.mean([r["actual"] == r["predicted"] for r in got]) > 0.95
+
+
+def test_explained_variance_and_cca_without_kernel(spark):
+    rng = np.random.default_rng(15)
+    a = rng.normal(size=(50, 4)) + 100
+    a[:, 3] = 7.0
+    b = a[:, :3] @ rng.normal(size=(3, 3)) + rng.normal(size=(50, 3))
+    df = spark.createDataFrame([(i, p.tolist(), q.tolist()) for i, (p, q) in enumerate(zip(a, b, strict=True))], "subject int, x array<double>, y array<double>")
+    model = mv.kcca(df, "x", "y", 0.5, 2, kernel=False)
+    wx, wy = model["ws_x"], model["ws_y"]
+    assert np.diag(wx.T @ (a.T @ a + 0.5 * np.eye(4)) @ wx) == pytest.approx([0.5, 0.5]) and np.diag(wy.T @ (b.T @ b + 0.5 * np.eye(3)) @ wy) == pytest.approx([0.5, 0.5])
+    got = {(r["side"], r["cc"], r["feature"]): r["explained"] for r in mv.explained_variance(df, "x", "y", model).collect()}
+    for side, v, o, w, other in (("x", a, b, wx, wy), ("y", b, a, wy, wx)):
+        for k in range(2):
+            e = np.abs(v - o @ np.outer(other[:, k], np.linalg.pinv(w[:, k : k + 1])[0]))
+            for f in range(v.shape[1]):
+                want = abs(v[:, f].var() - e[:, f].var()) / v[:, f].var() if v[:, f].var() > 1e-12 else 0.0
+                assert got[side, k, f] == pytest.approx(want)
+
+
+def test_rows_in_order_by_blocks(spark):
+    rng = np.random.default_rng(16)
+    values = rng.permutation(1000).tolist()
+    df = spark.createDataFrame([(int(v), f"g{v % 3}", f"{v:04d}") for v in values] + [(None, "g0", None)], "id long, g string, s string")
+    for column in ("id", "s"):
+        rows = folds.ordered(df, column).collect()
+        assert [r["id"] for r in sorted(rows, key=lambda r: r["nth"])] == [None, *range(1000)] and sorted(r["nth"] for r in rows) == list(range(1001))
+    for r in folds.ordered(df.dropna(), "id", ["g"]).collect():
+        assert r["nth"] == r["id"] // 3
+
+
 def test_files(spark, tmp_path):
     for s in ("a", "b"):
         (tmp_path / f"{s}.csv").write_text("1,2,3\n4,x,6\n")
