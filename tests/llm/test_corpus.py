@@ -476,3 +476,20 @@ def test_spans_as_by_hand(make, docs, messy, empty):
     assert more[4] == ["DE89 3704 0044 0532 0130 00"] and more[5] == ["123-45-6789", "123-45-6780"]
     assert pii.find_pii(empty).count() == 0
     assert pii.redact(df).filter("doc_id = 0").first()["text"].count("<email>") == 3
+
+
+def test_ibans_context_and_redaction(make, messy):
+    texts = {
+        1: "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", 2: "GB82 WEST 1234 5698 7654 32 UK", 3: "DE89370400440532013000 The end", 4: "XDE89370400440532013000", 5: "DE893704004405320130001",
+        6: "a ship of 1.2.3.4 sails", 7: "the ip: 1.2.3.4", 8: "1.2.3.4 is the host", 9: "123-45-6789 (ssn)", 10: "essn 123-45-6789", 11: "card 4111 1111 1111 1111, tel +49 30 1234567, a@b.cd from 10.0.0.1",
+    }
+    df = make([(i, t, "en", "a") for i, t in texts.items()])
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert [[s["text"] for s in found[i] if s["kind"] == "iban"] for i in range(1, 6)] == [["DE89 3704 0044 0532 0130 00"], ["GB82 WEST 1234 5698 7654 32"], ["DE89370400440532013000"], [], []]
+    assert [round(found[i][0]["score"], 2) for i in (6, 7, 8)] == [0.6, 0.9, 0.9]
+    assert [[s["kind"] for s in found[i]] for i in (9, 10)] == [["ssn"], []]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[11] == "card <card>, tel <phone>, <email> from <ip>" and clean[1] == "IBAN <iban> BIC COBADEFFXXX" and clean[6] == "a ship of <ip> sails"
+    out = pii.redact(messy)
+    assert out.columns == messy.columns and out.filter("text is null").count() == messy.filter("text is null").count()
+    assert pii.digest(pii.find_pii(df)).filter("doc_id = 7").first()["scores"] == "90"
