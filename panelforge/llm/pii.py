@@ -13,6 +13,7 @@ IBANS = {
     23: "GI|IQ|IL|OM|SO|TL|AE", 24: "AD|CZ|MD|PK|RO|SA|SK|ES|SE|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MR|MC|SM",
     28: "AL|AZ|BY|CY|DO|SV|GT|HU|LB|NI|PL", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
 }
+IBAN = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBANS.items())
 #: Kinds in the order of the output, with their patterns. The possessive forms and the look-behinds match the same
 #: text as the plain forms of the contract, since each class ends where the next begins; they keep long runs of one
 #: class linear and off the regex engine's stack.
@@ -21,7 +22,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBANS.items()),
+    "iban": rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -197,7 +198,7 @@ k AS (SELECT doc_id,
 {_sql_spans("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"regexp_full_match(h.m, '" + OCTET + r"(\." + OCTET + r"){3}')")} AS ip,
 {_sql_spans("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")} AS card,
 {_sql_spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15")} AS phone,
-{_sql_spans("iban", PATTERNS["iban"], f"{_MOD97} AND NOT regexp_matches({_BESIDE}, '[A-Za-z0-9]')")} AS iban,
+{_sql_spans("iban", IBAN, f"{_MOD97} AND NOT regexp_matches({_BESIDE}, '[A-Za-z0-9]')")} AS iban,
 {_sql_spans("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "true")} AS ssn
 FROM d),
 b AS (SELECT *, list_concat(list_concat(email, ip), list_concat(card, phone)) AS base FROM k),
