@@ -318,8 +318,8 @@ class Known:
         steps = df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).sort(F.desc("step")).collect()
         fits = np.flatnonzero(np.cumsum([r["rows"] for r in steps]) <= COMMON)
         own = step >= F.lit(steps[fits[-1]]["step"]) if len(fits) else F.lit(False)
-        got = df.filter(own).select(key, value).toPandas().sort_values(key)
-        self.keys, self.values, self.whole = got[key].to_numpy(np.int64), got[value].to_numpy(float), len(fits) == len(steps)
+        got = df.filter(own).select(F.col(key).cast("long").alias("k"), F.col(value).cast("double").alias("v")).toArrow().sort_by("k")
+        self.keys, self.values, self.whole = got["k"].to_numpy(), got["v"].to_numpy(), len(fits) == len(steps)
 
     def __call__(self, h):
         """The values, and which hashes have one."""
@@ -409,6 +409,8 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
             keys = spark.sparkContext.broadcast(Filter(keys, "key"))
             freed(spark)
             counted = staged(count_grams(training, depth, buckets, contexts, keys, LEAST_JOINT), "counted")
+            for used in (contexts, keys):
+                used.destroy()
             counted = staged(of_large_groups(counted, seen, "ctx", "seen", total).filter("seen is not null"), "counted")
             shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root", F.col("n").alias("m"))
             p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
