@@ -443,7 +443,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settle most tokens; each other token is a row that is joined with the tables by hash.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    hashed = staged(tokenized(rows), "tokens")
+    with Staging() as read:
+        hashed = staged(tokenized(rows), "tokens")
     vocabulary, total, distinct, tables = states(hashed.filter(~F.col("held_out")))
     model = [
         (Filter(kept, "ctx"), Filter(entries, "key"), Known(kept, "ctx", "back", "times"), Known(entries, "key", "delta", "n"))
@@ -518,6 +519,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, more double, rare array<long>, times array<int>, " + ", ".join(f"{c} array<long>" for c in asked)
     scored = staged(hashed.mapInArrow(score, schema), "scored")
+    common.destroy()
+    read.release()
     wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     counted = wanted.join(vocabulary, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
