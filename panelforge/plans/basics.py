@@ -195,7 +195,18 @@ def residualize_one(spark: SparkSession, d: str) -> DataFrame:
     return standard.residualize(domain.database(spark, d), ["c_acctbal"], ["nation"]).select("subject", rounded("res_c_acctbal").alias("res_c_acctbal"))
 
 
-@query()
+def residual_steps(columns: list[str]) -> str:
+    """CTEs r1, r2, ... after `r0`: each takes out of the later columns what the first one left explains; the last has the last column's residual."""
+    steps = []
+    for k, by in enumerate(columns[:-1]):
+        rest = columns[k + 1 :]
+        fit = ", ".join(f"regr_slope({x}, {by}) AS s_{x}, regr_intercept({x}, {by}) AS i_{x}" for x in rest)
+        steps.append(f"r{k + 1} AS (SELECT subject, {', '.join(f'{x} - s_{x} * {by} - i_{x} AS {x}' for x in rest)} FROM r{k}, (SELECT {fit} FROM r{k}))")
+    return ", ".join(steps)
+
+
+@query(f"""WITH {DB}, r0 AS (SELECT subject, CASE WHEN n_orders IS NOT NULL THEN {_z('nation')} END AS a, CASE WHEN n_orders IS NOT NULL THEN {_z('c_acctbal')} END AS b, {_z('n_orders')} AS c, {_z('total_spend')} AS y FROM db),
+{residual_steps(['a', 'b', 'c', 'y'])} SELECT subject, {R('y')} AS res_total_spend FROM r3""")
 def residualize_many(spark: SparkSession, d: str) -> DataFrame:
     return standard.residualize(domain.database(spark, d), ["total_spend"], ["nation", "c_acctbal", "n_orders"]).select("subject", rounded("res_total_spend").alias("res_total_spend"))
 

@@ -5,4 +5,4 @@ from __future__ import annotations
 from panelforge.plans import basics, file_queries, model_queries, series_queries
 
 QUERIES = basics.QUERIES | series_queries.QUERIES | model_queries.QUERIES | file_queries.QUERIES
-SQL = basics.SQL | series_queries.SQL | file_queries.SQL
+SQL = basics.SQL | series_queries.SQL | model_queries.SQL | file_queries.SQL

@@ -1,4 +1,4 @@
-"""Queries of models and multivariate statistics; SQL can't express them, tests hold them against dense computations."""
+"""Queries of models and multivariate statistics; SQL expresses residuals, tests hold the others against dense computations."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from panelforge.functions.series import rounded
 from panelforge.operators import features, folds, models, prepare, standard
 from panelforge.operators import multivariate as mv
+from panelforge.plans.basics import R, _corr, _z, residual_steps
 from panelforge.sources import domain
+from panelforge.sources.domain import LI
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -187,3 +189,9 @@ def residual_connectivity(spark: SparkSession, d: str) -> DataFrame:
     edges = features.connectivity(domain.to_series(domain.lineitem_panel(spark, d, ("qty",)))).select("subject", F.col("edges")[0].alias("edge0"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("subject"), F.col("s_nationkey").cast("double").alias("nation"), "s_acctbal")
     return standard.residualize(edges.join(s, "subject"), ["edge0"], ["nation", "s_acctbal"]).select("subject", rounded("res_edge0").alias("res_edge0"))
+
+
+SQL["residual_connectivity"] = f"""WITH {LI}, e AS (SELECT a.subject, {_corr('a.v', 'b.v')} AS edge0 FROM qty a JOIN qty b ON a.subject = b.subject AND a.t = b.t AND a.roi = 0 AND b.roi = 1 GROUP BY a.subject),
+db AS (SELECT subject, edge0, s_nationkey, s_acctbal FROM e JOIN supplier ON subject = s_suppkey),
+r0 AS (SELECT subject, {_z('s_nationkey')} AS a, {_z('s_acctbal')} AS b, {_z('edge0')} AS y FROM db),
+{residual_steps(['a', 'b', 'y'])} SELECT subject, {R('y')} AS res_edge0 FROM r2"""

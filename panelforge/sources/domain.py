@@ -37,13 +37,12 @@ def lineitem_panel(spark: SparkSession, sf_dir: str, experiments: tuple = ("qty"
     """Panels `qty` and `price`, long: a supplier's line numbers by month."""
     li = table(spark, sf_dir, "lineitem")
     month = (F.year("l_shipdate") - LI_START) * 12 + F.month("l_shipdate") - 1
-    out = None
-    for name in experiments:
-        value = {"qty": "l_quantity", "price": "l_extendedprice"}[name]
-        sums = li.groupBy(F.col("l_suppkey").alias("subject"), (F.col("l_linenumber") - 1).cast("int").alias("roi"), month.alias("t")).agg(F.sum(value).alias("v"))
-        panel = _dense(sums, name, 7, LI_T)
-        out = panel if out is None else out.unionByName(panel)
-    return out
+    value = {"qty": "l_quantity", "price": "l_extendedprice"}
+    sums = li.groupBy(F.col("l_suppkey").alias("subject"), (F.col("l_linenumber") - 1).cast("int").alias("roi"), month.alias("t")).agg(*(F.sum(value[e]).alias(e) for e in experiments))
+    grid = sums.select("subject").distinct().select("subject", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("roi")).select("subject", "roi", F.explode(F.sequence(F.lit(0), F.lit(LI_T - 1))).alias("t"))
+    cells = F.array(*(F.struct(F.lit(e).alias("experiment"), F.coalesce(e, F.lit(0.0)).alias("v")) for e in experiments))
+    dense = grid.join(sums, ["subject", "roi", "t"], "left").select("subject", "roi", "t", F.explode(cells).alias("x"))
+    return dense.select("subject", "x.experiment", "roi", "t", "x.v")
 
 
 def to_series(panel: DataFrame) -> DataFrame:
