@@ -121,16 +121,21 @@ def training_templates(z_panel: DataFrame, keys: list[str]) -> DataFrame:
     return sums.join(total, [*keys, "experiment", "roi", "t"]).select("fold", *keys, "experiment", "roi", "t", ((F.col("all_s") - F.col("s")) / rest).alias("mean"))
 
 
+def against_template(z_panel: DataFrame, in_template: str) -> DataFrame:
+    """`subject, experiment, roi, t, z, mean`: each row with the mean of the subjects that `in_template` (a boolean column)
+    marks, the subject itself left out: (S - z) / (n - 1), from one sum. The template has a row for each region and time."""
+    template = template_sums(z_panel.filter(in_template), [])
+    own, present = F.when(F.col(in_template), F.col("z")).otherwise(0.0), F.col(in_template).cast("int")
+    mean = (F.col("s") - own) / F.nullif(F.col("n") - present, F.lit(0))
+    return z_panel.join(F.broadcast(template), ["experiment", "roi", "t"]).select("subject", "experiment", "roi", "t", "z", mean.alias("mean"))
+
+
 def intersubject(z_panel: DataFrame, in_template: str, n_rois: int, full: bool = False) -> DataFrame:
     """`subject, experiment, feature, roi_i, roi_j, r`: template region i with the subject's region j, for i <= j.
 
-    The template is the mean of the subjects that `in_template` (a boolean column) marks, the subject itself left out:
-    (S - z) / (n - 1), from one sum. The template, a row for each region and time, joins by time; long form, in the JVM.
+    By a join on time, n_rois squared rows for each: for few regions, in the JVM alone.
     """
-    member = z_panel.filter(in_template)
-    template = template_sums(member, []).select("experiment", F.col("roi").alias("roi_i"), "t", "s", "n")
-    own = z_panel.select("subject", "experiment", F.col("roi").alias("roi_i"), "t", F.when(F.col(in_template), F.col("z")).otherwise(0.0).alias("own"), F.col(in_template).cast("int").alias("present"))
-    rest = own.join(F.broadcast(template), ["experiment", "roi_i", "t"]).withColumn("mean", (F.col("s") - F.col("own")) / F.nullif(F.col("n") - F.col("present"), F.lit(0)))
+    rest = against_template(z_panel, in_template).select("subject", "experiment", F.col("roi").alias("roi_i"), "t", "mean")
     mine = z_panel.select("subject", "experiment", "t", F.col("roi").alias("roi_j"), "z")
     pairs = rest.join(mine, ["subject", "experiment", "t"])
     pairs = pairs if full else pairs.filter("roi_i <= roi_j")
@@ -138,6 +143,34 @@ def intersubject(z_panel: DataFrame, in_template: str, n_rois: int, full: bool =
     return pairs.groupBy("subject", "experiment", "roi_i", "roi_j").agg(guarded_corr("mean", "z").alias("r")).withColumn("feature", feature)
 
 
+def intersubject_matrices(z_panel: DataFrame, in_template: str, n_rois: int, full: bool = False) -> DataFrame:
+    """The same by matrices, for many regions: a task holds one subject's series at a time; all of one length."""
+    cells = F.array_sort(F.collect_list(F.struct("t", "z", F.coalesce("mean", F.lit(0.0)).alias("mean"))))
+    series = against_template(z_panel, in_template).groupBy("subject", "experiment", "roi").agg(cells.alias("x"))
+    series = series.select("subject", "experiment", "roi", F.col("x.z").alias("z"), F.col("x.mean").alias("mean"))
+
+    def one(group):
+        import numpy as np
+        import pyarrow as pa
+
+        group = group.sort_by("roi")
+        roi = group["roi"].to_numpy().astype(np.int32)
+        r = _corr(*(np.array(group[c].to_pylist(), dtype=float) for c in ("mean", "z")))
+        i, j = np.indices(r.shape).reshape(2, -1) if full else np.triu_indices(len(r))
+        names = {c: pa.array([group[c][0].as_py()] * len(i), group.schema.field(c).type) for c in ("subject", "experiment")}
+        return pa.table(names | {"roi_i": pa.array(roi[i]), "roi_j": pa.array(roi[j]), "r": pa.array(r[i, j])})
+
+    kind = z_panel.schema["subject"].dataType.simpleString()
+    out = series.groupBy("subject", "experiment").applyInArrow(one, f"subject {kind}, experiment string, roi_i int, roi_j int, r double")
+    return out.withColumn("feature", F.col("roi_i") * n_rois + F.col("roi_j") if full else edge_index(F.col("roi_i"), F.col("roi_j"), n_rois, 0))
+
+
+def homologous_corr(z_panel: DataFrame, in_template: str, n_rois: int) -> DataFrame:
+    """The features of each region with the template's same region alone: no pairs are made."""
+    own = against_template(z_panel, in_template).groupBy("subject", "experiment", "roi").agg(guarded_corr("mean", "z").alias("r"))
+    return own.select("subject", "experiment", F.col("roi").alias("roi_i"), F.col("roi").alias("roi_j"), "r", edge_index(F.col("roi"), F.col("roi"), n_rois, 0).alias("feature"))
+
+
 def intersubject_arrow(series: DataFrame, template: dict, in_template: str) -> DataFrame:
     """The same by matrices: `template` holds, for each experiment, the sums (regions x time) and the count."""
 

@@ -152,7 +152,7 @@ def fold_features(panel: DataFrame, n_rois: int, blocks: tuple = ("xcorr", "conn
         def against(group) -> DataFrame:
             member = F.col("training") if group is None else F.col("training") & (F.col("y") == F.lit(group))
             marked = z.join(known.select("subject", F.coalesce(member, F.lit(False)).alias("member")), "subject")
-            return fx.intersubject(marked, "member", n_rois).withColumn("r", F.coalesce("r", F.lit(0.0)))
+            return fx.intersubject_matrices(marked, "member", n_rois)
 
         out = []
         if "xcorr" in blocks:

@@ -91,6 +91,12 @@ EVEN = "g AS (SELECT s_suppkey AS subject, s_nationkey % 2 = 0 AS even FROM supp
 
 @query(f"WITH {LI}, {Z.format('qty')}, {EVEN}, r AS (WITH {_inter('even')}) SELECT subject, experiment, feature::INT AS feature, {R('r')} AS r FROM r")
 def intersubject_corr(spark: SparkSession, d: str) -> DataFrame:
+    z = _even(spark, d, features.zscored(domain.lineitem_panel(spark, d, ("qty",))))
+    return features.intersubject_matrices(z, "even", 7).select("subject", "experiment", "feature", rounded("r").alias("r"))
+
+
+@query(SQL["intersubject_corr"])
+def intersubject_join(spark: SparkSession, d: str) -> DataFrame:
     z = _even(spark, d, features.zscored(domain.lineitem_panel(spark, d, ("qty",))))
     return features.intersubject(z, "even", 7).select("subject", "experiment", "feature", rounded("r").alias("r"))
 
@@ -98,14 +104,14 @@ def intersubject_corr(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LI}, {Z.format('qty')}, {EVEN}, r AS (WITH {_inter('even')}) SELECT subject, experiment, feature::INT AS feature, {R('r')} AS r FROM r WHERE i = j")
 def homologous_corr(spark: SparkSession, d: str) -> DataFrame:
     z = _even(spark, d, features.zscored(domain.lineitem_panel(spark, d, ("qty",))))
-    return features.homologous(features.intersubject(z, "even", 7)).select("subject", "experiment", "feature", rounded("r").alias("r"))
+    return features.homologous_corr(z, "even", 7).select("subject", "experiment", "feature", rounded("r").alias("r"))
 
 
 @query(f"""WITH {LI}, {Z.format('qty')}, {EVEN}, a AS (WITH {_inter('even')}), b AS (WITH {_inter('NOT even')})
 SELECT a.subject, a.experiment, a.feature::INT AS feature, {R('a.r - b.r')} AS difference FROM a JOIN b USING (subject, experiment, feature)""")
 def two_template_difference(spark: SparkSession, d: str) -> DataFrame:
     z = _even(spark, d, features.zscored(domain.lineitem_panel(spark, d, ("qty",)))).withColumn("odd", ~F.col("even"))
-    out = features.template_difference(features.intersubject(z, "even", 7), features.intersubject(z, "odd", 7))
+    out = features.template_difference(features.intersubject_matrices(z, "even", 7), features.intersubject_matrices(z, "odd", 7))
     return out.withColumn("difference", rounded("difference"))
 
 

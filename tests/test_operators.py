@@ -113,6 +113,14 @@ def test_leave_one_out_template(spark):
     for (s, i, j), r in got.items():
         mean = np.delete(z, s, 0)[:, i].mean(0)
         assert r == pytest.approx(np.corrcoef(mean, z[s, j])[0, 1], abs=1e-9)
+    by_matrices = {(r["subject"], r["roi_i"], r["roi_j"]): r for r in features.intersubject_matrices(panel, "inside", 2).collect()}
+    assert {k: r["r"] for k, r in by_matrices.items()} == pytest.approx(got, abs=1e-9)
+    assert {k[1:]: r["feature"] for k, r in by_matrices.items()} == {(0, 0): 0, (0, 1): 1, (1, 1): 2}
+    same = {(r["subject"], r["roi_i"], r["roi_j"]): r["r"] for r in features.homologous_corr(panel, "inside", 2).collect()}
+    assert same == pytest.approx({k: r for k, r in got.items() if k[1] == k[2]}, abs=1e-9)
+    assert all(r["r"] == 0 for r in features.intersubject_matrices(panel.filter("subject = 0"), "inside", 2).collect())  # no one else
+    full = {(r["roi_i"], r["roi_j"]): r["feature"] for r in features.intersubject_matrices(panel, "inside", 2, full=True).collect()}
+    assert full == {(0, 0): 0, (0, 1): 1, (1, 0): 2, (1, 1): 3}
     sums = {"e": (z.sum(0).tolist(), 5)}
     arrow = features.intersubject_arrow(features.series_of(panel).withColumn("inside", F.lit(True)), sums, "inside").collect()
     for row in arrow:
