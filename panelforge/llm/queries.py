@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, suffix_tree, token_files
+from panelforge.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, spelling, suffix_tree, token_files
 from panelforge.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words, a null id is empty text, repeated rows count each; an empty table gives no rows."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -59,10 +64,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
 }
 SQL = {
     "op3_mix": mixing.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_pii": pii.ORACLE,
+    "op11_spelling": spelling.ORACLE,
 }
