@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, spelling, suffix_tree, token_files
+from panelforge.llm import alignment, exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, quality, spelling, suffix_tree, token_files
 from panelforge.llm.common import table
 
 
@@ -53,6 +53,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts, and those that a tokenizer doesn't spell, have zeros; repeated rows count each."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts score as empty ones; repeated rows score alike; without trusted positives all score 0.5."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
@@ -65,6 +75,8 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_token_files": op10_token_files,
     "op11_spelling": op11_spelling,
+    "op12_alignment": op12_alignment,
+    "op13_quality": op13_quality,
 }
 SQL = {
     "op3_mix": mixing.ORACLE,
