@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from panelforge.llm.common import Staging, bounded_batches, free_name, quoted, s
 from panelforge.llm.tokens import KIND, LEAD, PLAIN, SPACE, public_tokenizer
 
 #: Bytes of text in one slice; distinct pieces that a task remembers.
-SLICE, KNOWN = 1 << 21, 200_000
+SLICE, KNOWN = 1 << 22, 400_000
 #: Bits of a level for each key; pairs of a shard; counts in one piece of a dense vector; pieces that a task holds.
 SPREAD, SHARD, CHUNK, CHUNKS = 2, 1 << 16, 1 << 15, 128
 #: Pairs whose hash, keys and counts go to the tasks together, about 20 bytes each. More take further rounds.
@@ -30,6 +31,9 @@ TABLE = 1 << 22
 #: Partial vectors that meet at each node of the tree, at the least.
 FAN = 64
 MARK = "▁"
+WIDE_MARK = MARK.encode()
+#: Pieces that are encoded as one text, which begins with another.
+TOGETHER, FIRST = 2000, b" a"
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -62,8 +66,7 @@ class Aligner:
         self.cuts = np.zeros(256, bool)
         self.cuts[32] = not any(MARK in n.lstrip(MARK) for n in names)
         self.cuts[10] = not any("\n" in n and len(n) > 1 for n in names)
-        self.lookup = None
-        self.strings = False
+        self.lookup, self.strings, self.use = None, False, None
         self.forget()
 
     def forget(self) -> None:
@@ -78,20 +81,69 @@ class Aligner:
         self.keys = np.zeros(0, np.uint64)
         self.groups: list[bytes] = []
 
+    def keep(self, pieces: int) -> None:
+        """Only the first pieces that were learned."""
+        links = int(self.n_groups[:pieces].sum())
+        for piece in list(itertools.islice(reversed(self.known), len(self.known) - pieces)):
+            del self.known[piece]
+        self.keys, self.groups = self.keys[:links], self.groups[:pieces]
+        for name in ("n_a", "n_b", "n_groups", "n_best", "count_sum", "sound"):
+            setattr(self, name, getattr(self, name)[:pieces])
+
+    def _ids(self, text: str):
+        """Ids of both of a text that starts with a space or line feed, which is the one that the second model adds or
+        else stands behind it."""
+        import numpy as np
+
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        b = [self.space] if text == " " else self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _spelled(self, piece: bytes, a, b) -> bool:
+        return b"".join([self.a_bytes[i] for i in a.tolist()]) == piece and b"".join([self.b_bytes[i] for i in b.tolist()]) == piece
+
+    def _encoded(self, pieces: list[bytes]):
+        """The pieces in some order, with the ids of both, how many each piece has, and which are spelled by both.
+
+        Pieces that could follow each other in a text are encoded as one text; where that isn't spelled as it should be,
+        one by one.
+        """
+        import numpy as np
+
+        data, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        kind = KIND[data]
+        last = kind[ends - 1]
+        follow = self.cuts[data[ends - sizes]] & (sizes > 1) & ((last > SPACE) & (last <= PLAIN) | (kind[np.maximum(ends - 2, 0)] == LEAD))
+        marks = np.flatnonzero((data[:-2] == WIDE_MARK[0]) & (data[1:-1] == WIDE_MARK[1]) & (data[2:] == WIDE_MARK[2]))
+        follow[np.searchsorted(ends, marks, "right")] = False
+        together, alone = list(itertools.compress(pieces, follow)), list(itertools.compress(pieces, ~follow))
+        out, order = [], []
+        for at in range(0, len(together), TOGETHER):
+            part = together[at : at + TOGETHER]
+            text = FIRST + b"".join(part)
+            a, b = self._ids(text.decode())
+            bounds = len(FIRST) + np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
+            end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            at_a, at_b = np.searchsorted(end_a, bounds), np.searchsorted(end_b, bounds)
+            whole = len(end_a) and len(end_b) and end_a[-1] == end_b[-1] == len(text)
+            if not whole or (end_a[at_a] != bounds).any() or (end_b[at_b] != bounds).any() or not self._spelled(text, a, b):
+                alone += part
+                continue
+            order += part
+            out.append((a[at_a[0] + 1 :], b[at_b[0] + 1 :], np.diff(at_a), np.diff(at_b), np.ones(len(part), bool)))
+        none = np.zeros(0, np.int64)
+        for piece in alone:
+            a, b = self._ids(piece.decode())
+            sound = self._spelled(piece, a, b)
+            a, b = (a, b) if sound else (none, none)
+            out.append((a, b, np.array([len(a)]), np.array([len(b)]), np.array([sound])))
+        return [*order, *alone], *(np.concatenate(x) for x in zip(*out, strict=True))
+
     def _learn(self, pieces: list[bytes]) -> None:
         import numpy as np
 
-        texts = [p.decode() for p in pieces]
-        found_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        # the model adds a space: it stands for the piece's own, or else is a token by itself
-        found_b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        found_b = [(b if t[0] == " " else b[1:]) if len(t) > 1 or t != " " else [self.space] for t, b in zip(texts, found_b, strict=True)]
-        join = lambda ids, names: b"".join([names[i] for i in ids])
-        sound = np.array([join(a, self.a_bytes) == p and join(b, self.b_bytes) == p for p, a, b in zip(pieces, found_a, found_b, strict=True)], bool)
-        found_a = [a if fine else [] for a, fine in zip(found_a, sound, strict=True)]
-        found_b = [b if fine else [] for b, fine in zip(found_b, sound, strict=True)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found_a, found_b))
-        a, b = (np.fromiter(itertools.chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((found_a, n_a), (found_b, n_b)))
+        pieces, a, b, n_a, n_b, sound = self._encoded(pieces)
         # the bytes of all sound pieces in a row: tokens end together where the running sums are equal
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         _, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
@@ -104,24 +156,26 @@ class Aligner:
             self.count_sum = np.concatenate([self.count_sum, total(counts)])
             self.n_best = np.concatenate([self.n_best, total(best.astype(np.int64))])
         if self.strings:
-            name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            begin_a, begin_b = np.concatenate([[0], last_a + 1])[: len(last_a)].tolist(), np.concatenate([[0], last_b + 1])[: len(last_b)].tolist()
-            each = [",".join(name_a[i : j + 1]) + "|" + ",".join(name_b[k : m + 1]) for i, j, k, m in zip(begin_a, last_a.tolist(), begin_b, last_b.tolist(), strict=True)]
-            self.groups += [";".join(each[i:j]).encode() for i, j in itertools.pairwise(ends.tolist())]
+            text, bounds = written(a, b, last_a, last_b)
+            bounds = bounds[ends].tolist()
+            self.groups += [text[i : max(i, j - 1)] for i, j in itertools.pairwise(bounds)]
         self.known.update(zip(pieces, range(base, base + len(pieces)), strict=True))
         self.keys = np.concatenate([self.keys, keys])
         self.sound = np.concatenate([self.sound, sound])
         self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
         self.n_groups = np.concatenate([self.n_groups, n_groups])
 
-    def pieces(self, texts, before_forget=None):
+    def pieces(self, texts):
         """The number of each piece of some texts in turn, and where each text's begin (and the last ones end).
 
-        A null or empty text has none. `before_forget` is called when the memory is full, before it starts anew.
+        A null or empty text has none. Numbers beyond KNOWN hold until the next call: the first pieces are remembered,
+        and the most frequent are soon among them.
         """
         import numpy as np
         import pyarrow as pa
 
+        if len(self.known) > KNOWN:
+            self.keep(KNOWN)
         texts = texts.cast(pa.large_utf8()).fill_null("")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         begin, end = int(offsets[0]), int(offsets[-1])
@@ -141,11 +195,6 @@ class Aligner:
         coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         found = coded.dictionary.to_pylist()
         new = [p for p in found if p not in self.known]
-        if len(self.known) + len(new) > KNOWN and self.known:
-            if before_forget is not None:
-                before_forget()
-            self.forget()
-            new = found
         if new:
             self._learn(new)
         numbers = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))[coded.indices.to_numpy()]
@@ -161,18 +210,38 @@ class Aligner:
         return (bad[ends[1:]] == bad[ends[:-1]]) & (ends[1:] > ends[:-1])
 
 
+def written(a, b, last_a, last_b):
+    """Groups as text, `a1,a2|b1;` each, and where each begins (and the last ends)."""
+    import numpy as np
+
+    # all ids of both sides, a group's first ones before its second ones
+    group = np.concatenate([np.searchsorted(last_a, np.arange(len(a))) * 2, np.searchsorted(last_b, np.arange(len(b))) * 2 + 1])
+    order = np.argsort(group, kind="stable")
+    group, ids = group[order], np.concatenate([a, b])[order]
+    digits = 1 + sum((ids >= 10**d).astype(np.int64) for d in range(1, 10))
+    ends = np.cumsum(digits + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, ord(","), np.uint8)
+    for d in range(int(digits.max(initial=0))):
+        some = digits > d
+        out[ends[some] - 2 - d] = 48 + ids[some] // 10**d % 10
+    final = np.append(group[1:] != group[:-1], True)[: len(group)]
+    out[ends[final] - 1] = np.where(group[final] % 2 == 0, ord("|"), ord(";"))
+    return out.tobytes(), np.concatenate([[0], ends[final & (group % 2 == 1)]])
+
+
 _aligners: dict = {}
 
 
-def aligner(byte_tokenizer: str, piece_tokenizer: str) -> Aligner:
-    """One for each Python worker, which has forgotten all pieces."""
+def aligner(byte_tokenizer: str, piece_tokenizer: str, lookup: PairTable | None = None, strings: bool = False) -> Aligner:
+    """One for each Python worker; what it knows of pieces holds for tasks with the same table of counts."""
     key = (byte_tokenizer, piece_tokenizer)
     if key not in _aligners:
         _aligners.clear()
         _aligners[key] = Aligner(*key)
-    out = _aligners[key]
-    out.lookup, out.strings = None, False
-    out.forget()
+    out, use = _aligners[key], (getattr(lookup, "name", None), strings)
+    if out.use != use:
+        out.use, out.lookup, out.strings = use, lookup, strings
+        out.forget()
     return out
 
 
@@ -227,6 +296,7 @@ class PairTable:
         self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits))]).astype(np.int64)
         self.keys = np.concatenate([keys for _, _, keys in parts] or [np.zeros(0, np.uint64)])
         self.counts = self.best = None
+        self.name = uuid.uuid4().hex
 
     def holds(self, keys):
         """Whether the shard of each key is in here."""
@@ -281,26 +351,26 @@ def count_pairs(docs: DataFrame, byte_tokenizer: str, piece_tokenizer: str, text
         import numpy as np
         import pyarrow as pa
 
-        found, out = aligner(byte_tokenizer, piece_tokenizer), []
-        seen = np.zeros(0, np.int64)
+        found = aligner(byte_tokenizer, piece_tokenizer)
+        seen, rare = np.zeros(KNOWN, np.int64), []
 
-        def tell():
-            nonlocal seen
-            seen = np.concatenate([seen, np.zeros(len(found.sound) - len(seen), np.int64)])
-            keys, at = np.unique(found.keys, return_inverse=True)
-            n = np.bincount(at, weights=np.repeat(seen, found.n_groups), minlength=len(keys)).astype(np.int64)
-            out.append(pa.record_batch([pa.array(keys[n > 0].astype(np.int64)), pa.array(n[n > 0])], names=["key", "n"]))
-            seen = np.zeros(0, np.int64)
+        def summed(parts):
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+            return keys[n > 0], n[n > 0]
 
         for texts in (p["text"] for batch in batches for p in slices(batch, "text", SLICE)):
-            numbers, ends = found.pieces(texts, before_forget=tell)
-            numbers = numbers[np.repeat(found.whole(numbers, ends), np.diff(ends))]
-            seen = np.bincount(numbers, minlength=len(found.sound)) + np.concatenate([seen, np.zeros(len(found.sound) - len(seen), np.int64)])
-            while out:
-                yield out.pop()
-        tell()
-        yield out.pop()
-        found.forget()
+            numbers, ends = found.pieces(texts)
+            here = np.bincount(numbers[np.repeat(found.whole(numbers, ends), np.diff(ends))], minlength=len(found.sound))
+            seen[: min(KNOWN, len(here))] += here[:KNOWN]
+            if len(here) > KNOWN:  # pieces that are forgotten at the next call
+                links = int(found.n_groups[:KNOWN].sum())
+                rare.append((found.keys[links:], np.repeat(here[KNOWN:], found.n_groups[KNOWN:])))
+                if sum(len(k) for k, _ in rare) > KNOWN:
+                    rare = [summed(rare)]
+        found.keep(min(KNOWN, len(found.known)))
+        keys, n = summed([*rare, (found.keys, np.repeat(seen[: len(found.n_groups)], found.n_groups))])
+        yield pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "key long, n long")
 
@@ -433,8 +503,7 @@ def _looked_up(text_col: str, byte_tokenizer: str, piece_tokenizer: str, table:
         import numpy as np
         import pyarrow as pa
 
-        found = aligner(byte_tokenizer, piece_tokenizer)
-        found.lookup, found.strings = table, first
+        found = aligner(byte_tokenizer, piece_tokenizer, table, first)
         for series in batches:
             parts = []
             for rows in slices(pa.record_batch([pa.array(series, pa.string(), from_pandas=True)], names=["text"]), "text", SLICE):
@@ -455,7 +524,6 @@ def _looked_up(text_col: str, byte_tokenizer: str, piece_tokenizer: str, table:
                 parts.append(pd.DataFrame(cells))
             names = [x.split()[0] for x in schema.split(", ")]
             yield pd.concat(parts)[names] if parts else pd.DataFrame({c: [] for c in names})
-        found.forget()
 
     return look_up(F.col(text_col).cast("string"))
 

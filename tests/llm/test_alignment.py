@@ -97,18 +97,35 @@ def test_documents_in_several_rounds(spark, libraries):
     assert out.columns[: len(docs.columns)] == docs.columns
 
 
-def test_memory_starts_anew(libraries, monkeypatch):
-    """Counts are told before pieces are forgotten."""
+def test_memory_is_bounded(spark, libraries, make, monkeypatch):
+    """Pieces beyond the memory are learned again, and counted all the same."""
     import pyarrow as pa
 
     monkeypatch.setattr(alignment, "KNOWN", 50)
-    found, told = alignment.Aligner(public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model")), []
+    found = alignment.Aligner(public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
     for k in range(5):
-        texts = pa.array([f"some words {k * 30 + i} again" for i in range(30)])
-        numbers, ends = found.pieces(texts, before_forget=lambda: told.append(len(found.known)))
-        got = np.diff(np.concatenate([[0], np.cumsum(found.n_groups[numbers])])[ends])
+        texts = pa.array([f"some words {k * 30 + i} again▁ " for i in range(30)] + [f"some words {k * 30 + i} again\n more" for i in range(30)])
+        numbers, ends = found.pieces(texts)
+        got = np.diff(np.concatenate([[0], np.cumsum(found.n_groups[numbers])])[ends]) * found.whole(numbers, ends)
         assert got.tolist() == [len(groups_of(libraries, t)) for t in texts.to_pylist()]
-    assert told
+    found.keep(50)
+    assert len(found.known) == len(found.sound) == 50 and len(found.keys) == found.n_groups.sum()
+    docs = [(i, t) for i, t in enumerate(odd_texts()[:60])]
+    counted = collections.Counter()
+    monkeypatch.setattr(alignment, "SLICE", 400)
+
+    class Frame:  # the function that tasks run, here, with the small memory
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            for batch in f(iter([pa.record_batch([pa.array([t for _, t in docs])], names=["text"])])):
+                counted.update(dict(zip(batch["key"].to_pylist(), batch["n"].to_pylist(), strict=True)))
+
+    frame = Frame()
+    frame.sparkSession = spark
+    alignment.count_pairs(frame, public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+    assert counted == collections.Counter((g[0][-1] << 32) + g[1][-1] for _, t in docs for g in groups_of(libraries, t))
 
 
 def test_perfect_hash():
