@@ -171,23 +171,44 @@ def homologous_corr(z_panel: DataFrame, in_template: str, n_rois: int) -> DataFr
     return own.select("subject", "experiment", F.col("roi").alias("roi_i"), F.col("roi").alias("roi_j"), "r", edge_index(F.col("roi"), F.col("roi"), n_rois, 0).alias("feature"))
 
 
-def intersubject_arrow(series: DataFrame, template: dict, in_template: str) -> DataFrame:
-    """The same by matrices: `template` holds, for each experiment, the sums (regions x time) and the count."""
+def intersubject_by_fold(z_panel: DataFrame, members: DataFrame, k: int, n_rois: int) -> DataFrame:
+    """`fold, subject, experiment, feature, r` of every subject in each of k folds, in one job: template region i with the
+    subject's region j, i <= j, where a fold's template is the mean of the `members` (`subject, fold, member`) of the
+    other folds that are marked, the subject itself left out.
+
+    All templates are differences of one sum by (fold, experiment, region, time): total less fold, and less the subject.
+    They go to the tasks, k + 1 matrices of one subject's size for each experiment; a task holds one subject at a time.
+    """
+    import numpy as np
+
+    marked = z_panel.join(members.select("subject", "fold", "member"), "subject")
+    sums = template_sums(marked.filter("member"), ["fold"])
+    subjects = {(r["experiment"], r["fold"]): r["n"] for r in marked.filter("member").groupBy("experiment", "fold").agg(F.count_distinct("subject").alias("n")).collect()}
+    length = {r["experiment"]: r["t"] + 1 for r in z_panel.groupBy("experiment").agg(F.max("t").alias("t")).collect()}
+    folds_of = {name: np.zeros((k, n_rois, t)) for name, t in length.items()}
+    for r in sums.select("fold", "experiment", "roi", "t", "s").toLocalIterator():
+        folds_of[r["experiment"]][r["fold"], r["roi"], r["t"]] = r["s"]
+    counts = {name: np.array([subjects.get((name, f), 0) for f in range(k)]) for name in length}
+    series = marked.groupBy("subject", "experiment", "roi").agg(F.first("fold").alias("fold"), F.first("member").alias("member"), F.transform(F.array_sort(F.collect_list(F.struct("t", "z"))), lambda x: x["z"]).alias("z"))
 
     def one(group):
-        import numpy as np
         import pyarrow as pa
 
-        m, name = _matrix(group), group["experiment"][0].as_py()
-        std = m.std(1, keepdims=True)
-        z = np.divide(m - m.mean(1, keepdims=True), std, out=np.zeros_like(m), where=std > 0)
-        sums, n = template[name]
-        present = bool(group[in_template][0].as_py())
-        mean = (np.asarray(sums) - z * present) / max(1, n - present)
-        return pa.table({"subject": group["subject"][:1], "experiment": group["experiment"][:1], "edges": [_corr(mean, z)[np.triu_indices(len(m))].tolist()]})
+        group = group.sort_by("roi")
+        name, own, member = (group[c][0].as_py() for c in ("experiment", "fold", "member"))
+        z = np.array(group["z"].to_pylist(), dtype=float)
+        upper, out = np.triu_indices(len(z)), []
+        total, n = folds_of[name].sum(0), counts[name].sum()
+        for f in range(k):
+            present = bool(member) and f != own
+            mean = (total - folds_of[name][f] - z * present) / max(1, n - counts[name][f] - present)
+            out.append(_corr(mean, z)[upper])
+        m = len(upper[0])
+        same = {c: pa.array([group[c][0].as_py()] * (k * m), group.schema.field(c).type) for c in ("subject", "experiment")}
+        return pa.table({"fold": pa.array(np.repeat(np.arange(k, dtype=np.int32), m))} | same | {"feature": pa.array(np.tile(np.arange(m, dtype=np.int32), k)), "r": pa.array(np.concatenate(out))})
 
-    kind = series.schema["subject"].dataType.simpleString()
-    return series.groupBy("subject", "experiment").applyInArrow(one, f"subject {kind}, experiment string, edges array<double>")
+    kind = z_panel.schema["subject"].dataType.simpleString()
+    return series.groupBy("subject", "experiment").applyInArrow(one, f"fold int, subject {kind}, experiment string, feature int, r double")
 
 
 def homologous(features: DataFrame) -> DataFrame:

@@ -9,40 +9,43 @@ from panelforge.functions.series import seeded
 
 #: Blocks of the md5 order, by its first hex digits, in which rows are numbered.
 DIGITS = 3
-#: Ranges of a number in which rows are numbered.
-BLOCKS = 256
+#: Ranges in which rows are numbered, and values of a text's sample for each.
+BLOCKS, PER_BLOCK = 256, 16
 
 
-def numbered(df: DataFrame, id_col: str, seed: int, by: list[str] = (), name: str = "nth") -> DataFrame:
-    """`nth` from 0 in md5 order within `by`. Rows are numbered in blocks of the order, and the blocks' sizes added up, so
-    that no task gets all rows of a class."""
-    h = seeded(seed, id_col)
-    blocked = df.withColumn("_h", h).withColumn("_block", F.substring("_h", 1, DIGITS))
+def _numbered_in_blocks(blocked: DataFrame, by: list[str], within_order: list, name: str) -> DataFrame:
+    """`name` from 0 within `by`, in the order of `_block` and of `within_order` in a block; nulls are values like others."""
     sizes = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*by, "_block").orderBy("_h", id_col)
-    return blocked.join(sizes, [*by, "_block"]).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_h", "_block", "_before")
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_block").alias("_of"), "_before")
+    same = F.col("_block").eqNullSafe(F.col("_of"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    within = Window.partitionBy(*by, "_block").orderBy(*within_order)
+    return blocked.join(sizes, same).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_block", "_before", "_of", *(f"_of_{c}" for c in by))
+
+
+def numbered(df: DataFrame, id_col: str, seed: int, by: list[str] = (), name: str = "nth") -> DataFrame:
+    """`nth` from 0 in md5 order within `by`, rows with a null id first. Rows are numbered in blocks of the order, and the
+    blocks' sizes added up, so that no task gets all rows of a class."""
+    blocked = df.withColumn("_h", seeded(seed, id_col)).withColumn("_block", F.substring("_h", 1, DIGITS))
+    return _numbered_in_blocks(blocked, list(by), ["_h", id_col], name).drop("_h")
 
 
 def ordered(df: DataFrame, order_col: str, by: list[str] = (), name: str = "nth") -> DataFrame:
     """`nth` from 0 in the order of `order_col` within `by`, null first. Rows are numbered in blocks of the order, ranges
-    of a number or first letters of a text, so that no task gets all rows."""
+    of a number or of a text, so that no task gets all rows. The ranges of a text part a sample of its values, those of
+    least hash, evenly."""
     column = F.col(order_col)
     if dict(df.dtypes)[order_col] == "string":
-        block = F.substring(column, 1, DIGITS)
+        texts = df.select(column.alias("t")).filter("t IS NOT NULL").orderBy(F.xxhash64("t"), "t").limit(BLOCKS * PER_BLOCK)
+        sample = sorted((r["t"] for r in texts.collect()), key=lambda t: t.encode())
+        cuts, value = sorted({sample[i * len(sample) // BLOCKS] for i in range(1, BLOCKS)} if sample else ()), column
     else:
-        cuts = df.agg(F.percentile_approx(column.cast("double"), [i / BLOCKS for i in range(1, BLOCKS)])).first()[0] or []
-        block = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < column.cast("double"))) if cuts else F.lit(0)
-    blocked = df.withColumn("_block", F.when(column.isNotNull(), block))
-    sizes = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_block").alias("_of"), "_before")
-    same = F.col("_block").eqNullSafe(F.col("_of"))
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    within = Window.partitionBy(*by, "_block").orderBy(order_col)
-    return blocked.join(F.broadcast(sizes), same).withColumn(name, F.col("_before") + F.row_number().over(within) - 1).drop("_block", "_before", "_of", *(f"_of_{c}" for c in by))
+        value = column.cast("double")
+        cuts = sorted(set(df.agg(F.percentile_approx(value, [i / BLOCKS for i in range(1, BLOCKS)])).first()[0] or []))
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)) if cuts else F.lit(0)
+    return _numbered_in_blocks(df.withColumn("_block", F.when(column.isNotNull(), block)), list(by), [order_col], name)
 
 
 def kfold(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:
@@ -66,15 +69,33 @@ def half_split(df: DataFrame, id_col: str, i: int = 0, seed: int = 0) -> DataFra
     return numbered(df, id_col, seed + i).crossJoin(F.broadcast(n)).withColumn("half", (F.col("nth") >= F.floor(F.col("_total") / 2)).cast("int")).drop("nth", "_total")
 
 
+def _chunked(df: DataFrame, order_col: str) -> tuple:
+    """Rows with the number of their chunk in order, and the numbers of chunks and of rows in one."""
+    n = df.count()
+    length = 10 if n > 50 else 1
+    return ordered(df, order_col, name="_nth").withColumn("_chunk", F.floor(F.col("_nth") / length)).drop("_nth"), n // length, int(n), length
+
+
+def _held_chunks(df: DataFrame, chunks: int, held: int, fold: int, seed: int) -> DataFrame:
+    every = df.sparkSession.range(chunks).withColumnRenamed("id", "_chunk")
+    return every.orderBy(F.md5(F.concat(F.lit(f"{seed}:{fold}:"), F.col("_chunk").cast("string")).cast("binary"))).limit(held)
+
+
 def block_holdout(df: DataFrame, order_col: str, fold: int, seed: int = 0, share: float = 0.2) -> DataFrame:
     """`held_out`: a random share of consecutive chunks of ten rows (one, for 50 rows or fewer); the tail isn't chunked.
 
     The chunks of a fold are the first by md5 of seed, fold and chunk.
     """
-    n = df.count()
-    length = 10 if n > 50 else 1
-    chunks, held = n // length, int(share * n / length)
-    rows = ordered(df, order_col, name="_nth").withColumn("_chunk", F.floor(F.col("_nth") / length))
-    every = df.sparkSession.range(chunks).withColumnRenamed("id", "_chunk")
-    chosen = every.orderBy(F.md5(F.concat(F.lit(f"{seed}:{fold}:"), F.col("_chunk").cast("string")).cast("binary"))).limit(held).withColumn("_held", F.lit(True))
-    return rows.join(chosen, "_chunk", "left").withColumn("held_out", F.coalesce("_held", F.lit(False))).drop("_nth", "_chunk", "_held")
+    rows, chunks, n, length = _chunked(df, order_col)
+    chosen = _held_chunks(df, chunks, int(share * n / length), fold, seed).withColumn("_held", F.lit(True))
+    return rows.join(chosen, "_chunk", "left").withColumn("held_out", F.coalesce("_held", F.lit(False))).drop("_chunk", "_held")
+
+
+def block_holdouts(df: DataFrame, order_col: str, n_folds: int, seed: int = 0, share: float = 0.2) -> DataFrame:
+    """`order_col, held`: the folds of `block_holdout` that hold a row out. Only that column is ordered, once for all."""
+    rows, chunks, n, length = _chunked(df.select(order_col), order_col)
+    chosen = [_held_chunks(df, chunks, int(share * n / length), f, seed).withColumn("_fold", F.lit(f)) for f in range(n_folds)]
+    for c in chosen[1:]:
+        chosen[0] = chosen[0].unionByName(c)
+    folds = chosen[0].groupBy("_chunk").agg(F.sort_array(F.collect_list("_fold")).alias("held"))
+    return rows.join(folds, "_chunk", "left").select(order_col, F.coalesce("held", F.array().cast("array<int>")).alias("held"))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.config import DEFAULTS
 from panelforge.operators import folds as splits
-from panelforge.operators import metrics
+from panelforge.operators import linear, metrics, wide
 from panelforge.operators.ranking import balanced_weights, top_features
 
 
+#: Spark's deepest tree, where there is no limit.
+DEEPEST = 30
+
+
 def vectors(df: DataFrame, y: str = "y") -> DataFrame:
     """ML vectors of `features`, a double `label`, and balanced class weights (a broadcast of a row for each class)."""
     from pyspark.ml.functions import array_to_vector
@@ -22,43 +27,60 @@ def vectors(df: DataFrame, y: str = "y") -> DataFrame:
     return out.withColumn("vector", array_to_vector(F.transform("features", lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))))).withColumn("label", F.col(y).cast("double"))
 
 
+class MacroF1(Evaluator):
+    """The mean over classes of F1, from the confusion table."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        import numpy as np
+
+        counts = dataset.groupBy("label", "prediction").count().collect()
+        classes = sorted({r["label"] for r in counts} | {r["prediction"] for r in counts})
+        table = np.zeros((len(classes), len(classes)))
+        for r in counts:
+            table[classes.index(r["label"]), classes.index(r["prediction"])] += r["count"]
+        return linear.macro_f1(table)
+
+    def isLargerBetter(self) -> bool:  # noqa: N802
+        return True
+
+
 def _grid(estimator, params: list[dict], train: DataFrame, n_folds: int, seed: int):
-    """The estimator, after scaling, with the setting of the best macro F1 over folds."""
+    """The estimator, after scaling, with the setting of the best macro F1 over stratified folds; ties take the first."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import CrossValidator
 
     scaler = StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True)
     pipeline = Pipeline(stages=[scaler, estimator])
-    core = estimator.getClassifier() if hasattr(estimator, "getClassifier") else estimator
-    maps = [{core.getParam(k): v for k, v in p.items()} for p in params] or ParamGridBuilder().build()
-    score = MulticlassClassificationEvaluator(metricName="f1", labelCol="label", predictionCol="prediction")
+    maps = [{estimator.getParam(k): v for k, v in p.items()} for p in params]
     if len(maps) == 1:
-        return pipeline.copy(maps[0]).fit(train), {k: v for k, v in params[0].items()}
-    found = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=score, numFolds=n_folds, parallelism=4, seed=seed).fit(train)
+        return pipeline.copy(maps[0]).fit(train), dict(params[0])
+    folded = splits.stratified_kfold(train, "subject", "label", n_folds, seed)
+    found = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=n_folds, foldCol="fold", parallelism=4, seed=seed).fit(folded)
     best = max(range(len(params)), key=lambda i: (found.avgMetrics[i], -i))
     return found.bestModel, params[best]
 
 
-def fit_svc_grid(train: DataFrame, n_classes: int | None = None, exponents=DEFAULTS.svc_exponents, n_folds: int = 3, max_iter: int = DEFAULTS.svc_iterations, seed: int = 0):
-    """Balanced linear SVC, C = 2^e; more than two classes go one against the rest, by the same grid."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
+def _linear_grid(train: DataFrame, kind: str, settings: list[tuple], n_folds: int, max_iter: int, tolerance: float, seed: int):
+    folded = splits.stratified_kfold(train, "subject", "label", n_folds, seed) if len(settings) > 1 else train
+    return linear.grid(folded, "fold" if len(settings) > 1 else None, kind, settings, max_iter, tolerance)
 
-    n = max(1, train.count())
-    n_classes = n_classes or train.select("label").distinct().count()
-    svc = LinearSVC(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=max_iter, tol=DEFAULTS.svc_tolerance)
-    estimator = svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol="scaled", labelCol="label", weightCol="weight", parallelism=4)
-    return _grid(estimator, [{"regParam": 1.0 / (2.0**e * n)} for e in exponents], train, n_folds, seed)
 
+def fit_svc_grid(train: DataFrame, n_classes: int | None = None, exponents=DEFAULTS.svc_exponents, n_folds: int = 3, max_iter: int = DEFAULTS.svc_iterations, seed: int = 0):
+    """Balanced linear SVC with the squared hinge loss, C = 2^e, by the macro F1 of folds; more than two classes go one
+    against the rest. All settings, folds and classes share each pass over the rows, `max_iter` passes at most."""
+    n, exponents = max(1, train.count()), list(exponents)
+    model, best, _ = _linear_grid(train, "squared_hinge", [(2.0**e, False) for e in exponents], n_folds, max_iter, DEFAULTS.svc_tolerance, seed)
+    return model, {"regParam": 1.0 / (2.0 ** exponents[best] * n)}
 
-def fit_logistic_grid(train: DataFrame, cs=DEFAULTS.logistic_cs, penalties=(0.0, 1.0), n_folds: int = 3, max_iter: int = 100, seed: int = 0):
-    """Balanced logistic regression, L2 (0) and L1 (1)."""
-    from pyspark.ml.classification import LogisticRegression
 
-    n = max(1, train.count())
-    estimator = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", maxIter=max_iter)
-    return _grid(estimator, [{"regParam": 1.0 / (c * n), "elasticNetParam": p} for c in cs for p in penalties], train, n_folds, seed)
+def fit_logistic_grid(train: DataFrame, cs=DEFAULTS.logistic_cs, penalties=(0.0, 1.0), n_folds: int = 3, max_iter: int = 100, seed: int = 0):
+    """Balanced logistic regression, L2 (0) and L1 (1), by the macro F1 of folds, fitted as `fit_svc_grid` does."""
+    if set(penalties) - {0.0, 1.0}:
+        raise ValueError("penalties are 0 for L2 and 1 for L1")
+    n, params = max(1, train.count()), [(c, p) for c in cs for p in penalties]
+    model, best, _ = _linear_grid(train, "logistic", [(c, p == 1.0) for c, p in params], n_folds, max_iter, 1e-4, seed)
+    return model, {"regParam": 1.0 / (params[best][0] * n), "elasticNetParam": params[best][1]}
 
 
 def fit_forest_grid(train: DataFrame, depths=DEFAULTS.forest_depths, impurities=("gini", "entropy"), min_split=None, trees: int = DEFAULTS.forest_trees, n_folds: int = 3, seed: int = 0):
@@ -72,52 +94,50 @@ def fit_forest_grid(train: DataFrame, depths=DEFAULTS.forest_depths, impurities=
         min_split = [round(width * (low + (high - low) * i / (steps - 1))) for i in range(steps)]
     sizes = sorted({max(1, -(-int(m) // 2)) for m in min_split})
     estimator = RandomForestClassifier(featuresCol="scaled", labelCol="label", weightCol="weight", numTrees=trees, seed=seed)
-    return _grid(estimator, [{"maxDepth": 30 if d is None else d, "impurity": i, "minInstancesPerNode": m} for d in depths for i in impurities for m in sizes], train, n_folds, seed)
+    return _grid(estimator, [{"maxDepth": DEEPEST if d is None else d, "impurity": i, "minInstancesPerNode": m} for d in depths for i in impurities for m in sizes], train, n_folds, seed)
 
 
 def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("subject", F.col("label").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def forest_select(train: DataFrame, n: int, trees: int = DEFAULTS.selection_trees, seed: int = 0) -> DataFrame:
+def forest_select(train: DataFrame, n: int, trees: int = DEFAULTS.selection_trees, seed: int = 0, depth: int | None = None) -> DataFrame:
     """`feature, importance`: the n most important features of a balanced forest, ties kept.
 
-    The least split size starts at a third of the columns and is halved until more than n features matter; at 2 that is
-    an error.
+    Columns that don't vary are left out first. The least split size starts at a third of the others and is halved until
+    more than n features matter; at 2 that is an error. depth: None for Spark's deepest, 30.
     """
+    import numpy as np
     from pyspark.ml.classification import RandomForestClassifier
-
-    width = len(train.select("features").first()[0])
-    size = max(2, round(0.33 * width))
+    from pyspark.ml.feature import VectorSlicer
+
+    rows, mean = wide.means(train, ["features"])
+    varying = np.flatnonzero(wide.sum_over_rows(train, ["features"], lambda v: ((v - mean) ** 2).sum(0))[""] > 1e-12 * rows * np.maximum(mean**2, 1e-12)).tolist()
+    if not varying:
+        raise ValueError("no feature varies")
+    some = VectorSlicer(inputCol="vector", outputCol="varying", indices=varying).transform(train) if len(varying) < len(mean) else train.withColumn("varying", F.col("vector"))
+    size = max(2, round(0.33 * len(varying)))
     while True:
-        forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, minInstancesPerNode=-(-size // 2), maxDepth=10, seed=seed)
-        found = forest.fit(train).featureImportances.toArray()
+        forest = RandomForestClassifier(featuresCol="varying", labelCol="label", weightCol="weight", numTrees=trees, minInstancesPerNode=-(-size // 2), maxDepth=DEEPEST if depth is None else depth, seed=seed)
+        found = forest.fit(some).featureImportances.toArray()
         if (found > 0).sum() > n:
             break
         if size == 2:
             raise ValueError(f"no more than {(found > 0).sum()} features matter")
         size = max(2, size // 2)
-    scores = train.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "feature int, importance double")
+    scores = train.sparkSession.createDataFrame([(i, float(v)) for i, v in zip(varying, found, strict=True)], "feature int, importance double")
     return top_features(scores, n)
 
 
 def sparsity_path(train: DataFrame, test: DataFrame, exponents=DEFAULTS.sparsity_exponents, max_iter: int = 50) -> DataFrame:
-    """`c, kept, f1_train, f1_test` of L1 logistic regressions."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-
+    """`c, kept, f1_train, f1_test` of L1 logistic regressions, which are fitted and scored together."""
     import numpy as np
 
-    n, out = max(1, train.count()), []
-    for e in exponents:
-        lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (2.0**e * n), maxIter=max_iter)
-        model = Pipeline(stages=[StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), lr]).fit(train)
-        kept = int((np.abs(model.stages[-1].coefficientMatrix.toArray()).sum(0) > 0).sum())
-        both = predict(model, train).withColumn("split", F.lit("train")).unionByName(predict(model, test).withColumn("split", F.lit("test")))
-        f1 = {r["split"]: r["f1_macro"] for r in metrics.classification_metrics(metrics.confusion_table(both, ["split"]), ["split"]).collect()}
-        out.append((2.0**e, kept, f1.get("train", 0.0), f1.get("test", 0.0)))
-    return train.sparkSession.createDataFrame(out, "c double, kept int, f1_train double, f1_test double")
+    cs = [2.0**e for e in exponents]
+    fitted = linear.path(train, "logistic", [(c, True) for c in cs], max_iter)
+    scores = [[linear.macro_f1(t) for t in linear.confusions(df, fitted)] for df in (train, test)]
+    kept = [int((np.abs(m.coefficients).sum(1) > 0).sum()) for m in fitted]
+    return train.sparkSession.createDataFrame(list(zip(cs, kept, *scores, strict=True)), "c double, kept int, f1_train double, f1_test double")
 
 
 class Results(NamedTuple):
@@ -140,25 +160,28 @@ def fold_features(panel: DataFrame, n_rois: int, blocks: tuple = ("xcorr", "conn
     from panelforge.operators import features as fx
     from panelforge.operators.prepare import assemble_features
     from panelforge.sources.domain import to_series
+    from panelforge.sources.files import kept
 
     series = to_series(panel)
     z = fx.zscored(panel).persist()
     alone = {"connectivity": fx.connectivity(series).persist(), "dynamics": fx.dynamic_connectivity(series, length, step).persist()}
     in_order = lambda value, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.col(value).alias("_v")))), lambda x: x["_v"]).alias("features")
 
-    def build(rows: DataFrame) -> DataFrame:
-        known = rows.select("subject", "y", (F.col("split") == "train").alias("training"))
+    def against_all(folded: DataFrame, k: int) -> DataFrame:
+        """`fold, subject, features`: xcorr of all folds, in one job for each template."""
 
         def against(group) -> DataFrame:
-            member = F.col("training") if group is None else F.col("training") & (F.col("y") == F.lit(group))
-            marked = z.join(known.select("subject", F.coalesce(member, F.lit(False)).alias("member")), "subject")
-            return fx.intersubject_matrices(marked, "member", n_rois)
-
-        out = []
-        if "xcorr" in blocks:
-            r = against(target)
-            r = r if other is None else fx.template_difference(r, against(other)).withColumnRenamed("difference", "r")
-            out.append(r.groupBy("subject").agg(in_order("r", "experiment", "feature")))
+            member = F.lit(True) if group is None else F.coalesce(F.col("y") == F.lit(group), F.lit(False))
+            return fx.intersubject_by_fold(z, folded.select("subject", "fold", member.alias("member")), k, n_rois)
+
+        r = against(target)
+        if other is not None:
+            keys = ["fold", "subject", "experiment", "feature"]
+            r = r.join(against(other).withColumnRenamed("r", "less"), keys).withColumn("r", F.col("r") - F.col("less"))
+        return r.groupBy("fold", "subject").agg(in_order("r", "experiment", "feature"))
+
+    def assembled(known: DataFrame, xcorr) -> DataFrame:
+        out = [xcorr()] if "xcorr" in blocks else []
         if "connectivity" in blocks:
             own = fx.edges_long(alone["connectivity"].join(known.select("subject"), "subject", "left_semi"))
             out.append(own.groupBy("subject").agg(in_order("r", "experiment", "edge")))
@@ -168,6 +191,23 @@ def fold_features(panel: DataFrame, n_rois: int, blocks: tuple = ("xcorr", "conn
             out.append(fx.state_occupancy(windows, states).groupBy("subject").agg(in_order("weight", "experiment", "state")))
         return assemble_features([*out, *extra])
 
+    def build(rows: DataFrame) -> DataFrame:
+        # the training side is one fold of two, the test side the other: features are those of leaving the latter out
+        known = rows.select("subject", "y", (F.col("split") == "train").alias("training"))
+        pair = known.select("subject", "y", F.when(F.col("training"), 1).otherwise(0).alias("fold"))
+        return assembled(known, lambda: against_all(pair, 2).filter("fold = 0").drop("fold"))
+
+    def build_all(folded: DataFrame, k: int):
+        """The same for all of k folds: a function of the fold and its rows. The templates' features are computed once."""
+        xcorr = kept(against_all(folded, k), "fold-features") if "xcorr" in blocks else None
+
+        def of_fold(fold: int, rows: DataFrame) -> DataFrame:
+            known = rows.select("subject", "y", (F.col("split") == "train").alias("training"))
+            return assembled(known, lambda: xcorr.filter(F.col("fold") == fold).drop("fold"))
+
+        return of_fold
+
+    build.all_folds = build_all
     build.release = lambda: [df.unpersist() for df in (z, *alone.values())]
     return build
 
@@ -181,6 +221,16 @@ def _biotyped(rows: DataFrame, model: dict) -> DataFrame:
     return rows.drop("y").join(found.withColumnRenamed("cluster", "y"), "subject")
 
 
+def anomalies(train: DataFrame, share: float, **options):
+    """A function that takes the highest `share` of isolation scores for outliers, 0, by trees and a cutoff of `train`."""
+    from panelforge.operators.isolation import grow_isolation_forest, isolation_scores
+    from panelforge.operators.quantiles import exact_quantiles
+
+    forest = grow_isolation_forest(train, **options)
+    cut = exact_quantiles(isolation_scores(train, forest), "score", [1 - share]).first()["q0"]
+    return lambda df: isolation_scores(df, forest).select("subject", F.col("y").cast("int").alias("actual"), (F.col("score") <= cut).cast("int").alias("predicted"))
+
+
 def cross_validate(db: DataFrame, k: int = DEFAULTS.folds, method: str = "logistic", select: int | None = None, null: bool = False, iterations: int = 1, seed: int = 0, features=None, biotypes: dict | None = None, select_trees: int = DEFAULTS.selection_trees, **options) -> Results:
     """Fold metrics of train and test, test predictions, and chosen settings, of `subject, y` and `features`.
 
@@ -191,13 +241,14 @@ def cross_validate(db: DataFrame, k: int = DEFAULTS.folds, method: str = "logist
     `scores`, and y, for the folds, is the biotype of the full sample). `null` shuffles y within the training and the
     test rows. `iterations` repeats all with other folds. `options` go to the grid.
     """
-    from panelforge.operators.multivariate import isolation_forest
     from panelforge.operators.prepare import shuffle_labels
 
     spark, keys = db.sparkSession, ["i", "fold", "split", "n_features"]
     tables, predictions, settings = [], [], []
     for i in range(iterations):
         folded = splits.stratified_kfold(db, "subject", "y", k, seed + i).persist()
+        # labels that change with the fold need templates of their own
+        at_once = features.all_folds(folded, k) if hasattr(features, "all_folds") and biotypes is None and not null else None
         for fold in range(k):
             rows = folded.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))
             if biotypes is not None:
@@ -205,7 +256,8 @@ def cross_validate(db: DataFrame, k: int = DEFAULTS.folds, method: str = "logist
             if null:
                 rows = shuffle_labels(rows, "subject", "y", ["split"], seed + 1000 * i + fold).drop("y").withColumnRenamed("shuffled", "y")
             if features is not None:
-                rows = rows.drop("features").join(features(rows.select("subject", "y", "split")), "subject")
+                known = rows.select("subject", "y", "split")
+                rows = rows.drop("features").join(features(known) if at_once is None else at_once(fold, known), "subject")
             rows = rows.persist()
             train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
             if select is not None:
@@ -216,7 +268,7 @@ def cross_validate(db: DataFrame, k: int = DEFAULTS.folds, method: str = "logist
             if method == "anomaly":
                 share = train.agg(F.avg((F.col("y") == 0).cast("double"))).first()[0]
                 trees = {"sample": width, "seed": seed} | options
-                guess = lambda df, train=train, share=share, trees=trees: isolation_forest(train, share, rows=df, **trees).select("subject", F.col("y").cast("int").alias("actual"), (1 - F.col("outlier")).alias("predicted"))
+                guess = anomalies(train, share, **trees)
                 best = {}
             else:
                 fitted = vectors(train).persist()

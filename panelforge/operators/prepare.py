@@ -77,8 +77,11 @@ def split_at_percentile(db: DataFrame, column: str, q: float = 0.5) -> DataFrame
     """`y`: 0 below the percentile (linear interpolation), 1 from it on."""
     if not 0 <= q <= 1:
         raise ValueError("a percentile lies between 0 and 1")
-    cut = db.agg(F.percentile(column, F.lit(q)).alias("cut"))
-    return db.crossJoin(F.broadcast(cut)).withColumn("y", F.when(F.col(column) < F.col("cut"), 0).when(F.col(column) >= F.col("cut"), 1))
+    from panelforge.operators.quantiles import exact_quantiles
+
+    cut = exact_quantiles(db, column, [q]).select(F.col("q0").alias("cut"))
+    one = db.sparkSession.range(1).join(cut, how="left").select("cut")  # without a value there is no cut
+    return db.crossJoin(F.broadcast(one)).withColumn("y", F.when(F.col(column) < F.col("cut"), 0).when(F.col(column) >= F.col("cut"), 1))
 
 
 def infer_kind(db: DataFrame, columns: list[str], most: int = 9) -> DataFrame:
@@ -106,8 +109,11 @@ def reorder(matrix: DataFrame, order: DataFrame, symmetric: bool = True, by: lis
 
 def shuffle_labels(df: DataFrame, id_col: str, column: str, within: list[str], seed: int = 0) -> DataFrame:
     """`column` shuffled among the rows of each group of `within`: the row that is n-th by id gets the value of the row
-    that is n-th by md5 of seed and id."""
+    that is n-th by md5 of seed and id. Null ids and null groups count like others."""
     from panelforge.operators.folds import numbered, ordered
 
-    there = numbered(df.select(*within, id_col, column), id_col, seed, within).select(*within, "nth", F.col(column).alias("shuffled"))
-    return ordered(df, id_col, within).join(there, [*within, "nth"]).drop("nth")
+    there = numbered(df.select(*within, id_col, column), id_col, seed, within).select(*(F.col(c).alias(f"_of_{c}") for c in within), F.col("nth").alias("_of_nth"), F.col(column).alias("shuffled"))
+    same = F.col("nth") == F.col("_of_nth")
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return ordered(df, id_col, within).join(there, same).drop("nth", "_of_nth", *(f"_of_{c}" for c in within))

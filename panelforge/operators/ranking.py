@@ -7,22 +7,80 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.series import guarded_corr
+from panelforge.operators import blocks as blocks_of_pairs
+from panelforge.operators.wide import sum_over_rows
 
+#: Ranges in which the values of a feature are ranked.
+BLOCKS = 64
 
-def average_rank(x: DataFrame, by: str = "feature", value: str = "value") -> DataFrame:
-    """`rank`, ties averaged: equal values are counted before they are ranked, so ties cost one row."""
-    counts = x.groupBy(by, value).agg(F.count("*").alias("ties"))
-    before = F.sum("ties").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("ties") + 1) / 2).drop("ties")
+
+def average_rank(x: DataFrame, by: str = "feature", value: str = "value", blocks: int = BLOCKS) -> DataFrame:
+    """`rank`, ties averaged, within `by`. Rows with a null value, or a null `by`, have no rank and are left out.
+
+    Equal values are counted before they are ranked, so ties cost one row. A feature's values are ranked in ranges that
+    part them about evenly, `blocks` at most, and the ranges' sizes are added up: no task gets all of a feature.
+    """
+    counts = x.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("ties"))
+    cuts = counts.groupBy(by).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), [i / blocks for i in range(1, blocks)], 8 * blocks)).alias("cuts"))
+    placed = counts.join(cuts, by).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    sizes = placed.groupBy(by, "block").agg(F.sum("ties").alias("size"))
+    earlier = F.sum("size").over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("ties").over(Window.partitionBy(by, "block").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    numbered = placed.join(sizes.select(by, "block", F.coalesce(earlier, F.lit(0)).alias("earlier")), [by, "block"])
+    ranks = numbered.select(by, value, (F.col("earlier") + F.coalesce(before, F.lit(0)) + (F.col("ties") + 1) / 2).alias("rank"))
     return x.join(ranks, [by, value])
 
 
+def _rank_rows(x: DataFrame, by: str, value: str, name: str) -> tuple:
+    """`subject, name`: the ranks of all features of a subject in one array, NaN where there is none; and the features."""
+    names = sorted(r[by] for r in x.select(by).distinct().collect() if r[by] is not None)  # as wide as a row
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(by)) if len(names) <= 64 else None
+    ranked = average_rank(x, by, value)
+    if place is None:
+        numbers = x.sparkSession.createDataFrame(list(enumerate(names, 1)), f"place long, `{by}` {x.schema[by].dataType.simpleString()}")
+        ranked = ranked.join(numbers, by)
+    else:
+        ranked = ranked.withColumn("place", place)
+    cells = ranked.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("place", "rank"))).alias("cells"))
+    whole = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.coalesce(F.col("cells")[i.cast("long")], F.lit(float("nan"))))
+    return cells.select("subject", whole.alias(name)), names
+
+
 def spearman(x: DataFrame, y: DataFrame) -> DataFrame:
-    """`feature, score, rho, n` of long features (`subject, feature, value`) with long scores (`subject, score, y`)."""
-    left = average_rank(x).select("subject", "feature", F.col("rank").alias("rx"))
-    right = average_rank(y, "score", "y").select("subject", "score", F.col("rank").alias("ry"))
-    return left.join(right, "subject").groupBy("feature", "score").agg(guarded_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """`feature, score, rho, n` of long features (`subject, feature, value`) with long scores (`subject, score, y`), each
+    pair over the subjects that have both, one value of each.
+
+    The ranks of a subject stand in one array; rho comes from sums of products of such arrays, a matrix of features by
+    scores, so no row is made for a feature, score and subject. A pair without a common subject is left out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    left, features = _rank_rows(x, "feature", "value", "rx")
+    right, scores = _rank_rows(y, "score", "y", "ry")
+    p, q = len(features), len(scores)
+    kinds = (x.schema["feature"].dataType, y.schema["score"].dataType)
+    schema = f"feature {kinds[0].simpleString()}, score {kinds[1].simpleString()}, rho double, n long"
+    both = left.join(right, "subject")
+    n_rows = both.count() if p and q else 0
+    if not n_rows:
+        return x.sparkSession.createDataFrame([], schema)
+    middle = (n_rows + 1) / 2  # about the mean of ranks, so that sums of squares keep their digits
+
+    def partial(a, b):
+        in_a, in_b = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
+        a, b = np.where(in_a > 0, a - middle, 0), np.where(in_b > 0, b - middle, 0)
+        return np.stack([in_a.T @ in_b, a.T @ in_b, in_a.T @ b, (a * a).T @ in_b, in_a.T @ (b * b), a.T @ b])
+
+    n, sx, sy, xx, yy, xy = sum_over_rows(both, ["rx", "ry"], partial, bad=True)[""].reshape(6, p, q)
+    some = n > 0
+    up = xy - np.divide(sx * sy, n, out=np.zeros_like(n), where=some)
+    spread = lambda s, ss: np.maximum(ss - np.divide(s * s, n, out=np.zeros_like(n), where=some), 0)
+    down = np.sqrt(spread(sx, xx) * spread(sy, yy))
+    rho = np.divide(up, down, out=np.zeros_like(n), where=down > 1e-9)
+    i, j = np.nonzero(some)
+    cells = {"feature": [features[k] for k in i], "score": [scores[k] for k in j], "rho": rho[i, j], "n": n[i, j].astype(np.int64)}
+    return x.sparkSession.createDataFrame(pa.table(cells), schema)
 
 
 def t_tail(t: float, df: float) -> float:
@@ -112,15 +170,13 @@ def balanced_weights(db: DataFrame, y: str) -> DataFrame:
 
 
 def pairwise_distance(x: DataFrame, method: str = "euclidean") -> DataFrame:
-    """`i, j, distance` for i < j, of long features; every pair is wanted, so the table grows with the square."""
-    stats = x.groupBy("subject").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    own = x.join(stats, "subject").withColumn("z", F.coalesce((F.col("value") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0)), F.lit(0.0))) if method == "correlation" else x.withColumn("z", F.col("value"))
-    left = own.select(F.col("subject").alias("i"), "feature", F.col("z").alias("a"))
-    right = own.select(F.col("subject").alias("j"), "feature", F.col("z").alias("b"))
-    pairs = left.join(right, "feature").filter("i < j").groupBy("i", "j")
-    if method == "correlation":
-        return pairs.agg(F.sqrt(F.greatest(2 * (1 - F.avg(F.col("a") * F.col("b"))), F.lit(0.0))).alias("distance"))
-    return pairs.agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("distance"))
+    """`i, j, distance` for i < j, of long features, each pair over the features that both have; see `blocks`."""
+    return blocks_of_pairs.entries(blocks_of_pairs.pair_distances(x, method), "distance")
+
+
+def gower_centered(x: DataFrame, method: str = "euclidean") -> DataFrame:
+    """`i, j, g`: the doubly centred -d^2/2 of the distances of long features, of all pairs in both orders."""
+    return blocks_of_pairs.entries(blocks_of_pairs.centre(blocks_of_pairs.pair_distances(x, method)), "g", both=True)
 
 
 def gower_center(distances: DataFrame) -> DataFrame:

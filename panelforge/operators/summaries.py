@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.series import guarded_corr
-
+from panelforge.operators.quantiles import exact_quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -19,22 +19,29 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     return counted.select("bin", "n", (F.col("n") / (F.col("total") * F.nullif(width, F.lit(0.0)))).alias("density"), (F.col("low") + F.col("bin") * width).alias("left_edge"))
 
 
-def fit_gauss(x, y, start=(1.0, 0.0, 1.0), steps: int = 200):
-    """A, mu and sigma of a Gaussian by damped least squares; an error if it doesn't converge."""
+def gauss_step(p, damp: float, sums):
+    """A damped Gauss-Newton step for A, mu and sigma from the sums j j' (upper half) and j r."""
     import numpy as np
 
-    p, damp = np.array(start, dtype=float), 1e-3
-    value = lambda q: q[0] * np.exp(-((x - q[1]) ** 2) / (2 * q[2] ** 2))
-    cost = ((value(p) - y) ** 2).sum()
+    a = np.zeros((3, 3))
+    a[np.triu_indices(3)] = sums[:6]
+    a = a + np.triu(a, 1).T
+    return np.asarray(p) + np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), np.asarray(sums[6:9]), rcond=None)[0]
+
+
+def fit_gauss(sums_at, start=(1.0, 0.0, 1.0), steps: int = 200):
+    """A, mu and sigma of a Gaussian by damped least squares; an error if it doesn't converge.
+
+    `sums_at(p)` gives, over all points, the sums of the products of derivatives and residuals, nine numbers, and last
+    the squared residuals.
+    """
+    p, damp, sums = list(start), 1e-3, sums_at(start)
     for _ in range(steps):
-        g = np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2))
-        j = np.stack([g, p[0] * g * (x - p[1]) / p[2] ** 2, p[0] * g * (x - p[1]) ** 2 / p[2] ** 3], 1)
-        a, b = j.T @ j, j.T @ (y - value(p))
-        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), b, rcond=None)[0]
-        new = ((value(p + step) - y) ** 2).sum() if abs((p + step)[2]) > 1e-9 else np.inf
-        if new < cost:
-            done = cost - new < 1e-12 * max(cost, 1e-300)
-            p, cost, damp = p + step, new, damp / 5
+        new = gauss_step(p, damp, sums)
+        found = sums_at(new) if abs(new[2]) > 1e-9 else None
+        if found is not None and found[9] < sums[9]:
+            done = sums[9] - found[9] < 1e-12 * max(sums[9], 1e-300)
+            p, sums, damp = new, found, damp / 5
             if done:
                 return p
         else:
@@ -44,24 +51,40 @@ def fit_gauss(x, y, start=(1.0, 0.0, 1.0), steps: int = 200):
     raise ValueError("the Gaussian fit didn't converge")
 
 
+def gauss_terms(x, y, p) -> list:
+    """What `fit_gauss` sums, of columns or of arrays: the products of the derivatives, those with the residual, its square."""
+    import numpy as np
+
+    a, mu, sigma = (float(v) for v in p)
+    exp = F.exp if isinstance(x, Column) else np.exp
+    g = exp(-((x - mu) * (x - mu)) / (2 * sigma * sigma))
+    j = [g, a * g * (x - mu) / sigma**2, a * g * (x - mu) * (x - mu) / sigma**3]
+    r = y - a * g
+    return [j[i] * j[k] for i in range(3) for k in range(i, 3)] + [d * r for d in j] + [r * r]
+
+
 def find_outliers(df: DataFrame, column: str, n_sigma: float = 1.0, most_bins: int | None = None) -> DataFrame:
     """`y`: 0 up to the cutoff mu - n_sigma * sigma of a Gaussian fitted to the standardised histogram, else 1.
 
-    The histogram has a tenth as many bins as rows, `most_bins` at most if that is given; the cutoff is carried over as a percentile.
+    The histogram has a tenth as many bins as rows, `most_bins` at most if that is given. It stays a table: each step of
+    the fit sums its ten numbers over the bins, and over those without a value by a sequence. The cutoff is carried over
+    as a percentile.
     """
-    import numpy as np
-
     from panelforge.operators.prepare import split_at_percentile
     from panelforge.operators.standard import standardize
 
     z = standardize(df.select(column).dropna(), [column])
-    n = z.count()
+    n, low, high = z.agg(F.count("*"), F.min(f"z_{column}"), F.max(f"z_{column}")).first()
     bins = max(3, n // 10 if most_bins is None else min(most_bins, n // 10))
-    rows = {r["bin"]: (r["left_edge"], r["density"]) for r in histogram(z, f"z_{column}", bins).collect()}
-    ends = z.agg(F.min(f"z_{column}"), F.max(f"z_{column}")).first()
-    width = (ends[1] - ends[0]) / bins
-    x = ends[0] + (np.arange(bins) + 0.5) * width
-    _, mu, sigma = fit_gauss(x, np.array([rows.get(k, (0, 0.0))[1] for k in range(bins)]))
+    counted = histogram(z, f"z_{column}", bins).select("bin", "density")
+    width = (high - low) / bins
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counted, "bin", "left")
+    points = every.select((F.lit(low) + (F.col("bin") + 0.5) * width).alias("x"), F.coalesce("density", F.lit(0.0)).alias("y")).persist()
+    try:
+        sums = lambda p: list(points.agg(*(F.sum(t).alias(f"s{k}") for k, t in enumerate(gauss_terms(F.col("x"), F.col("y"), p)))).first())
+        _, mu, sigma = fit_gauss(sums)
+    finally:
+        points.unpersist()
     cutoff = float(mu - n_sigma * abs(sigma))
     below = z.agg(F.avg((F.col(f"z_{column}") <= cutoff).cast("double"))).first()[0]
     return split_at_percentile(df, column, below).withColumn("y", F.when(F.col(column) <= F.col("cut"), 0).otherwise(1))
@@ -69,7 +92,7 @@ def find_outliers(df: DataFrame, column: str, n_sigma: float = 1.0, most_bins: i
 
 def significance_cutoffs(df: DataFrame, column: str, two_sided: bool = True) -> DataFrame:
     low, high = (0.025, 0.975) if two_sided else (0.05, 0.95)
-    return df.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(high)).alias("high"))
+    return exact_quantiles(df, column, [low, high]).select(F.col("q0").alias("low"), F.col("q1").alias("high"))
 
 
 def cluster_centroids(x: DataFrame, label: str = "label") -> DataFrame:
@@ -98,8 +121,8 @@ def cluster_score_summary(db: DataFrame, columns: list[str], cluster: str) -> Da
 
     z = standardize(db, columns).select(cluster, *(F.col(f"z_{c}").alias(c) for c in columns))
     long = z.unpivot([cluster], columns, "variable", "value").filter("value is not null")
-    q = [0.25, 0.5, 0.75]
-    return long.groupBy("variable", cluster).agg(F.min("value").alias("low"), *(F.percentile("value", F.lit(p)).alias(f"q{int(100 * p)}") for p in q), F.max("value").alias("high"), F.count("*").alias("n"))
+    found = exact_quantiles(long, "value", [0.0, 0.25, 0.5, 0.75, 1.0], ["variable", cluster])
+    return found.select("variable", cluster, *(F.col(f"q{k}").alias(name) for k, name in enumerate(("low", "q25", "q50", "q75", "high"))), "n")
 
 
 def summarize_folds(folds: DataFrame, metrics: list[str], keys: list[str] = ()) -> DataFrame:

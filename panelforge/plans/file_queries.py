@@ -9,7 +9,7 @@ from panelforge.functions.series import rounded
 from panelforge.operators import folds, summaries
 from panelforge.plans.basics import R
 from panelforge.sources import domain, files
-from panelforge.sources.domain import DB, VOX, X
+from panelforge.sources.domain import DB, LI, VOX, X
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -81,3 +81,14 @@ def matrix_dump(spark: SparkSession, d: str) -> DataFrame:
     files.dump_matrix(wide.select("subject", "features"), wide.select("subject", "label"), path)
     x, y = (spark.read.parquet(f"{path}/{name}") for name in ("x", "y"))
     return x.join(y, "subject").select("subject", "label", F.posexplode("features").alias("feature", "value")).withColumn("value", rounded("value"))
+
+
+@query(f"WITH {LI} SELECT subject, experiment, roi, t, {R('v')} AS v FROM both_panels")
+def timeseries_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two panels, each subject's series written as a CSV matrix and read by the paths of a subject table."""
+    series = domain.to_series(domain.lineitem_panel(spark, d))
+    paths = files.write_timeseries(series, files.scratch(spark, "series"))
+    db = paths.groupBy("subject").pivot("experiment", ["qty", "price"]).agg(F.first("path"))
+    panel = files.read_timeseries(db, "subject", ["qty", "price"])
+    long = panel.select("subject", "experiment", "roi", F.posexplode("series").alias("t", "v"))
+    return long.select("subject", "experiment", "roi", F.col("t").cast("int").alias("t"), rounded("v").alias("v"))

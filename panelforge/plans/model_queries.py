@@ -46,18 +46,18 @@ def pca_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _fitted(spark: SparkSession, d: str, fit, **options) -> DataFrame:
     train, test = _split(_binary(spark, d))
-    model, _ = fit(models.vectors(train).persist(), **options)
+    model, _ = fit(models.vectors(train), **options)
     return models.predict(model, models.vectors(test))
 
 
 @query
 def svc_cv(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(spark, d, models.fit_svc_grid, exponents=(-8, 0), n_folds=2, max_iter=10)
+    return _fitted(spark, d, models.fit_svc_grid, max_iter=100)
 
 
 @query
 def logistic_cv(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(spark, d, models.fit_logistic_grid, cs=(0.1, 10.0), n_folds=2, max_iter=15)
+    return _fitted(spark, d, models.fit_logistic_grid)
 
 
 @query
@@ -72,13 +72,13 @@ def forest_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    return mv.isolation_forest(domain.features_wide(spark, d), 0.05, trees=200).select("subject", rounded("score").alias("score"), "outlier")
+    return mv.isolation_forest(domain.features_wide(spark, d), 0.05, trees=1000).select("subject", rounded("score").alias("score"), "outlier")
 
 
 @query
 def sparsity_path(spark: SparkSession, d: str) -> DataFrame:
     train, test = _split(_binary(spark, d))
-    return models.sparsity_path(models.vectors(train).persist(), models.vectors(test).persist(), (-6, -2, 2, 6), max_iter=20)
+    return models.sparsity_path(models.vectors(train), models.vectors(test), max_iter=60)
 
 
 @query
@@ -93,7 +93,9 @@ def cross_validate(spark: SparkSession, d: str) -> DataFrame:
     panel = domain.events_panel(spark, d).persist()
     y = prepare.split_at_percentile(panel.groupBy("subject").agg(F.avg("v").alias("score")), "score").select("subject", "y")
     built = models.fold_features(panel, 5, length=10, step=2, n_states=3)
-    return models.cross_validate(y.persist(), 3, "logistic", features=built, cs=(0.1,), penalties=(0.0,), max_iter=20).metrics
+    found = models.cross_validate(y.persist(), 3, "logistic", features=built, max_iter=30)
+    built.release()
+    return found.metrics
 
 
 @query

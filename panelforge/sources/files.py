@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, `spark.checkpoint.dir`; a local session without one gets a
     temporary folder."""
@@ -22,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again: computed once, and it survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Cells of a subject table that mean "missing".
 MISSING = ["", "#N/A", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null", "-nan", "-NaN", "#NA", "None"]
 
@@ -37,22 +45,69 @@ def read_database(spark: SparkSession, path: str, schema: StructType | str | Non
     return clean.select(*(F.col(f.name) if isinstance(f.dataType, StringType) else F.col(f.name).try_cast(f.dataType).alias(f.name) for f in want))
 
 
+def _opened(path: str):
+    """A path's file system, through which any executor reaches it, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
+
+
 def read_timeseries(db: DataFrame, id_col: str, path_cols: list[str]) -> DataFrame:
     """The panel `subject, experiment, roi, series` of the CSV matrices (a row a region) that `path_cols` name.
 
-    A cell that isn't a number is NaN. Series of one experiment must have one length and one number of regions.
+    A cell that isn't a number is NaN; a null path has no rows, and a file that isn't there is an error. Series of one
+    experiment must have one length and one number of regions.
+
+    Scale: subjects and paths are rows that are dealt over the tasks, and each task opens its files one by one, through
+    the file system that executors share; the driver sees no path.
     """
-    spark = db.sparkSession
+    kind = db.schema[id_col].dataType.simpleString()
     named = db.select(F.col(id_col).alias("subject"), F.explode(F.array(*(F.struct(F.lit(c).alias("experiment"), F.col(c).alias("path")) for c in path_cols))).alias("x"))
-    named = named.select("subject", "x.experiment", "x.path").filter("path is not null")
-    # one path for each subject and experiment, as the reader needs them by name
-    paths = [r["path"] for r in named.select("path").distinct().toLocalIterator()]
-    text = spark.read.text(paths, wholetext=True).select("value", F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path"))
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    rows = named.join(text, "path").select("subject", "experiment", F.posexplode(lines).alias("roi", "line"))
-    number = lambda c: F.coalesce(F.trim(c).try_cast("double"), F.lit(float("nan")))
-    panel = rows.select("subject", "experiment", "roi", F.transform(F.split("line", ","), number).alias("series"))
-    return checked_panel(panel)
+    named = named.select("subject", "x.experiment", "x.path").filter("path is not null").repartition("path")
+
+    def read(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def number(cell: str) -> float:
+            try:
+                return float(cell)
+            except ValueError:
+                return float("nan")
+
+        for batch in batches:
+            for k, path in enumerate(batch["path"].to_pylist()):
+                source, place = _opened(path)
+                with source.open_input_stream(place) as file:
+                    lines = [x for x in file.read().decode().replace("\r", "").split("\n") if x.strip()]
+                series = [np.array([number(c) for c in x.split(",")]) for x in lines]
+                same = {c: batch[c].take(pa.array(np.full(len(lines), k))) for c in ("subject", "experiment")}
+                yield pa.record_batch([same["subject"], same["experiment"], pa.array(range(len(lines)), pa.int32()), pa.array(series, pa.list_(pa.float64()))], names=["subject", "experiment", "roi", "series"])
+
+    return checked_panel(named.mapInArrow(read, f"subject {kind}, experiment string, roi int, series array<double>"))
+
+
+def write_timeseries(panel: DataFrame, path: str) -> DataFrame:
+    """`subject, experiment, path`: each subject's series (`subject, experiment, roi, series`) as a CSV matrix, a row a
+    region in order, written where its task runs. A task that is run again writes the same files."""
+    kind = panel.schema["subject"].dataType.simpleString()
+    root = path if "://" in path else f"file://{path}"
+
+    def write(group):
+        import hashlib
+
+        import pyarrow as pa
+
+        group = group.sort_by("roi")
+        subject, experiment = group["subject"][0].as_py(), group["experiment"][0].as_py()
+        name = f"{root}/{hashlib.md5(f'{experiment}:{subject}'.encode()).hexdigest()}.csv"
+        target, place = _opened(name)
+        target.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with target.open_output_stream(place) as out:
+            out.write("".join(",".join(map(repr, row)) + "\n" for row in group["series"].to_pylist()).encode())
+        return pa.table([group["subject"][:1], group["experiment"][:1], pa.array([name])], names=["subject", "experiment", "path"])
+
+    return kept(panel.groupBy("subject", "experiment").applyInArrow(write, f"subject {kind}, experiment string, path string"), "series-paths")
 
 
 def checked_panel(panel: DataFrame) -> DataFrame:
