@@ -155,3 +155,42 @@ def test_outliers_by_sums(spark):
     cut = np.quantile(v, share)
     assert len(rows) == 1001 and all(r["y"] == int(r["v"] > cut) for r in rows if r["v"] is not None)
     assert 80 < sum(r["y"] == 0 for r in rows if r["v"] is not None) < 150
+
+
+def test_isolation_forest_is_the_same_on_any_partitioning(spark):
+    """Samples are of all rows, of the size asked for, and those of least hash."""
+    from panelforge.operators import isolation
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(290, 5)), rng.normal(size=(10, 5)) + 8])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "subject int, features array<double>")
+    runs = []
+    for parts in (1, 7):
+        got = isolation.isolation_forest(df.repartition(parts), 10 / 300, trees=60, sample=40).collect()
+        runs.append({r["subject"]: (round(r["score"], 12), r["outlier"]) for r in got})
+    assert runs[0] == runs[1] and len(runs[0]) == 300
+    assert sum(o for _, o in runs[0].values()) == 10 and all(runs[0][i][1] == 1 for i in range(290, 300))
+    forest = isolation.grow_isolation_forest(df, trees=3, sample=None)
+    assert forest.sample == 5 and len(forest.trees) == 3
+    whole = isolation.grow_isolation_forest(df, trees=2, sample=1000)
+    assert whole.sample == 300
+    feature, cut, child, depth = whole.trees[0]
+    inner = feature >= 0
+    assert len(feature) == 2 * inner.sum() + 1 and (depth[~inner] > 0).all()
+
+
+def test_templates_of_all_folds_at_once(spark):
+    """Equal to the templates of each fold by itself: all others' mean, the subject left out."""
+    from panelforge.operators import features
+
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(9, 3, 20))
+    cells = [(s, e, r, t, float(z[s, r, t] * (1 + (e == "b")) + t * (e == "b"))) for s in range(9) for e in "ab" for r in range(3) for t in range(20)]
+    panel = features.zscored(spark.createDataFrame(cells, "subject int, experiment string, roi int, t int, v double"))
+    members = spark.createDataFrame([(s, s % 3, s % 4 != 0) for s in range(9)], "subject int, fold int, member boolean")
+    got = {(r["fold"], r["subject"], r["experiment"], r["feature"]): r["r"] for r in features.intersubject_by_fold(panel, members, 3, 3).collect()}
+    assert len(got) == 3 * 9 * 2 * 6
+    for f in range(3):
+        marked = panel.join(members, "subject").withColumn("inside", F.col("member") & (F.col("fold") != f))
+        for r in features.intersubject_matrices(marked, "inside", 3).collect():
+            assert got[f, r["subject"], r["experiment"], r["feature"]] == pytest.approx(r["r"], abs=1e-9)

@@ -9,7 +9,7 @@ from panelforge.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 
-SLOW = {"svc_cv", "logistic_cv", "forest_cv", "sparsity_path", "diagnostics", "cross_validate"}
+SLOW = {"cross_validate", "forest_cv"}
 
 
 @pytest.fixture(scope="module")
