@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import blocks as blocks_of_pairs
-from panelforge.operators.wide import sum_over_rows
+from panelforge.operators.wide import bounded_batches, few_tasks, sum_over_rows
+from panelforge.sources.files import kept
 
-#: Ranges in which the values of a feature are ranked.
-BLOCKS = 64
+#: Ranges in which the values of a feature are ranked, and values up to which one range does.
+BLOCKS, WHOLE = 64, 50_000
 
 
-def average_rank(x: DataFrame, by: str = "feature", value: str = "value", blocks: int = BLOCKS) -> DataFrame:
+def average_rank(x: DataFrame, by: str = "feature", value: str = "value", blocks: int = BLOCKS, whole: int = WHOLE) -> DataFrame:
     """`rank`, ties averaged, within `by`. Rows with a null value, or a null `by`, have no rank and are left out.
 
-    Equal values are counted before they are ranked, so ties cost one row. A feature's values are ranked in ranges that
-    part them about evenly, `blocks` at most, and the ranges' sizes are added up: no task gets all of a feature.
+    Equal values are counted before they are ranked, so ties cost one row. A feature of more than `whole` values is ranked
+    in ranges that part them about evenly, `blocks` at most, and the ranges' sizes are added up: no task gets all of it.
     """
     counts = x.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("ties"))
-    cuts = counts.groupBy(by).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), [i / blocks for i in range(1, blocks)], 8 * blocks)).alias("cuts"))
+    parts = F.percentile_approx(F.col(value).cast("double"), [i / blocks for i in range(1, blocks)], 8 * blocks)
+    cuts = counts.groupBy(by).agg(F.when(F.count("*") > whole, F.array_distinct(parts)).otherwise(F.array().cast("array<double>")).alias("cuts"))
     placed = counts.join(cuts, by).withColumn("block", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
     sizes = placed.groupBy(by, "block").agg(F.sum("ties").alias("size"))
     earlier = F.sum("size").over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
@@ -41,9 +43,23 @@ def _rank_rows(x: DataFrame, by: str, value: str, name: str) -> tuple:
         ranked = ranked.join(numbers, by)
     else:
         ranked = ranked.withColumn("place", place)
-    cells = ranked.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("place", "rank"))).alias("cells"))
-    whole = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.coalesce(F.col("cells")[i.cast("long")], F.lit(float("nan"))))
-    return cells.select("subject", whole.alias(name)), names
+    cells = ranked.groupBy("subject").agg(F.collect_list(F.struct("place", "rank")).alias("cells"))
+    kind, width = x.schema["subject"].dataType.simpleString(), len(names)
+
+    def dense(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = np.full((batch.num_rows, width), np.nan)
+            flat = batch["cells"].flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch["cells"].offsets)))
+            out[row, flat.field("place").to_numpy(zero_copy_only=False) - 1] = flat.field("rank").to_numpy(zero_copy_only=False)
+            ends = pa.array(np.arange(0, out.size + 1, width, dtype=np.int32))
+            yield pa.record_batch([batch["subject"], pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=["subject", name])
+
+    bounded_batches(x)
+    return cells.mapInArrow(dense, f"subject {kind}, {name} array<double>"), names
 
 
 def spearman(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -61,8 +77,8 @@ def spearman(x: DataFrame, y: DataFrame) -> DataFrame:
     p, q = len(features), len(scores)
     kinds = (x.schema["feature"].dataType, y.schema["score"].dataType)
     schema = f"feature {kinds[0].simpleString()}, score {kinds[1].simpleString()}, rho double, n long"
-    both = left.join(right, "subject")
-    n_rows = both.count() if p and q else 0
+    both = kept(left.join(right, "subject"), "ranks") if p and q else None
+    n_rows = both.count() if both is not None else 0
     if not n_rows:
         return x.sparkSession.createDataFrame([], schema)
     middle = (n_rows + 1) / 2  # about the mean of ranks, so that sums of squares keep their digits
@@ -72,7 +88,7 @@ def spearman(x: DataFrame, y: DataFrame) -> DataFrame:
         a, b = np.where(in_a > 0, a - middle, 0), np.where(in_b > 0, b - middle, 0)
         return np.stack([in_a.T @ in_b, a.T @ in_b, in_a.T @ b, (a * a).T @ in_b, in_a.T @ (b * b), a.T @ b])
 
-    n, sx, sy, xx, yy, xy = sum_over_rows(both, ["rx", "ry"], partial, bad=True)[""].reshape(6, p, q)
+    n, sx, sy, xx, yy, xy = sum_over_rows(both, ["rx", "ry"], partial, cells=6 * p * q, few=few_tasks(both), bad=True)[""].reshape(6, p, q)
     some = n > 0
     up = xy - np.divide(sx * sy, n, out=np.zeros_like(n), where=some)
     spread = lambda s, ss: np.maximum(ss - np.divide(s * s, n, out=np.zeros_like(n), where=some), 0)

@@ -72,7 +72,7 @@ def test_ranks_in_ranges(spark, n_blocks):
     rng = np.random.default_rng(1)
     data = {0: rng.normal(size=300), 1: rng.integers(0, 5, 300).astype(float), 2: np.zeros(300)}
     rows = [(s, f, float(v)) for f, values in data.items() for s, v in enumerate(values)] + [(900, 0, None), (901, None, 1.0)]
-    got = ranking.average_rank(spark.createDataFrame(rows, "subject int, feature int, value double"), blocks=n_blocks).collect()
+    got = ranking.average_rank(spark.createDataFrame(rows, "subject int, feature int, value double"), blocks=n_blocks, whole=20).collect()
     assert len(got) == 900
     for f, values in data.items():
         assert [r["rank"] for r in sorted((r for r in got if r["feature"] == f), key=lambda r: r["subject"])] == ranks(values).tolist()
