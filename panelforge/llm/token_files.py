@@ -24,6 +24,8 @@ MAGIC, FOOTER = b"PFTOKEN1", "<QQ8s"
 #: Documents of at most so many characters train the dictionary: so many of them, by hash of id. Bytes of the dictionary.
 SAMPLE_CHARS, SAMPLE_DOCS, DICTIONARY = 4000, 1000, 1 << 16
 LEVEL = 3
+#: Distinct pieces whose ids a worker remembers from task to task, some 200 bytes each.
+REMEMBERED = 600_000
 #: Uncompressed bytes of ids in one file, beyond which the next begins, and bytes of rows in one batch of a reader.
 FILE_BYTES, BATCH_BYTES = 1 << 27, 1 << 23
 
@@ -88,7 +90,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         import zstandard
         from pyspark import TaskContext
 
-        found_by = encoder(tokenizer, pieces, end_id)
+        found_by = encoder(tokenizer, pieces, end_id, REMEMBERED)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)).compress
         fs, root = filesystem(path)
         part, made = TaskContext.get().partitionId(), []
@@ -121,7 +123,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                     out = None
         if out is not None:
             close()
-        found_by.forget()
         columns = list(zip(*made, strict=True)) or [()] * 5
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "file", "name", "n_docs", "n_tokens"])

@@ -36,12 +36,12 @@ class Encoder:
     space beyond ASCII part nothing.
     """
 
-    def __init__(self, path: str, pieces: str | None, end_id: int = 2):
+    def __init__(self, path: str, pieces: str | None, end_id: int = 2, most: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pieces, self.end_id = pieces, end_id
+        self.pieces, self.end_id, self.most = pieces, end_id, most
         self.between = self._ids(BETWEEN.decode())
         self.forget()
 
@@ -112,7 +112,7 @@ class Encoder:
             numeric = np.add.reduceat(NUMERIC[np.frombuffer(b"".join(pieces), np.uint8)], np.cumsum(sizes) - sizes)
             plain = (numeric == 0) & (sizes <= LONG)
             new = [i for i, p in enumerate(pieces) if p not in self.known]
-            if len(self.known) + len(new) > KNOWN:
+            if len(self.known) + len(new) > self.most:
                 self.forget()
                 new = range(len(pieces))
             self._learn([pieces[i] for i in new], plain[list(new)])
@@ -135,13 +135,14 @@ class Encoder:
 _encoders: dict = {}
 
 
-def encoder(path: str, pieces: str | None, end_id: int = 2) -> Encoder:
-    """One for each Python worker; it forgets its pieces when a task begins."""
-    key = (path, pieces, end_id)
+def encoder(path: str, pieces: str | None, end_id: int = 2, remembered: int = 0) -> Encoder:
+    """One for each Python worker; it forgets its pieces when a task begins, unless so many are to be `remembered`."""
+    key = (path, pieces, end_id, remembered)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(path, pieces, end_id)
-    _encoders[key].forget()
+        _encoders[key] = Encoder(path, pieces, end_id, remembered or KNOWN)
+    if not remembered:
+        _encoders[key].forget()
     return _encoders[key]
 
 

@@ -390,6 +390,21 @@ def test_ids_of_odd_characters(name, pieces):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == [*found.ids, 2], texts[k]
 
 
+def test_remembered_pieces_are_not_encoded_again(monkeypatch):
+    name = tokens.public_tokenizer("byte_bpe_50k.json")
+    texts = ["Some words, and ten 10 more.", None, "été à côté " * 3]
+    first = tokens.encoder(name, "spaced", 2, 1000).encode(pa.array(texts))
+    with monkeypatch.context() as m:  # another task of the same worker
+        m.setattr(tokens.Encoder, "_ids", lambda *_: pytest.fail("encoded again"))
+        again = tokens.encoder(name, "spaced", 2, 1000).encode(pa.array(texts))
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    assert len(tokens.encoder(name, "spaced").known) == 0  # without it, a task starts anew
+    few, many = tokens.encoder(name, "spaced", 2, 4), [f"w{'x' * k} y{'z' * k} {k}" for k in range(1, 40)]
+    for text in many:
+        assert few.encode(pa.array([text]))[0].tolist() == tokens.Encoder(name, "spaced").encode(pa.array([text]))[0].tolist()
+        assert len(few.known) <= 4
+
+
 def test_packs_are_whole_and_full(docs, messy, empty):
     for df in (docs, messy):
         rows = packing.pack_documents(df).collect()
