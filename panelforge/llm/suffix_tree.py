@@ -10,7 +10,7 @@ import functools
 import math
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import Staging, bounded_batches, id_remainder, slices, staged
@@ -261,8 +261,8 @@ def tokenized(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "row long, doc_id long, held_out boolean, tokens array<long>")
 
 
-def grams(batch):
-    """The tokens of a batch, their places in their texts, how many each text has, and the hashes of the 1 to DEPTH + 1
+def grams(batch, longest: int = DEPTH + 1):
+    """The tokens of a batch, their places in their texts, how many each text has, and the hashes of the 1 to `longest`
     tokens that end at each token: that of k tokens holds from place k - 1 on."""
     import numpy as np
 
@@ -271,7 +271,7 @@ def grams(batch):
     tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     found = [tokens]
-    for k in range(2, DEPTH + 2):
+    for k in range(2, longest + 1):
         before = np.concatenate([[0], found[-1][:-1]]).astype(np.uint64)[: len(tokens)]
         found.append((mixed(mixed(before + np.uint64(k)) ^ tokens.astype(np.uint64)) >> np.uint64(1)).astype(np.int64))
     return tokens, place, lengths, found
@@ -284,19 +284,56 @@ def earlier(x):
     return np.concatenate([[-1], x[:-1]])[: len(x)]
 
 
+def bucket_of(key, buckets: int):
+    """Which of some buckets a hash of 63 bits belongs to, by its upper 31 bits: sorted hashes are in order of bucket."""
+    import numpy as np
+
+    return ((key.astype(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(31)
+
+
+def sent(bucket, buckets: int, columns: dict):
+    """A row for each bucket that has any of some values, with its part of each array of `columns`; `bucket` ascends."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.searchsorted(bucket, np.arange(buckets + 1).astype(bucket.dtype))
+    some = np.flatnonzero(np.diff(ends))
+    cut = lambda x: pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary())
+    return pa.record_batch([pa.array(some.astype(np.int32)), *map(cut, columns.values())], names=["bucket", *columns])
+
+
 class Filter:
     """A Bloom filter of a column of hashes: two bits of one block for each."""
 
+    #: Blocks whose bits are set together.
+    TOGETHER = 64
+
     def __init__(self, df: DataFrame, column: str):
         import numpy as np
 
         n = self.blocks = max(1, min(FILTER_BITS, 16 * df.count()) // BLOCK_BITS + 1)
-        h = F.col(column)
-        cells = F.array(*(F.shiftright(h, k).bitwiseAND(F.lit(BLOCK_BITS - 1)) for k in (33, 48)))
-        rows = df.select(F.pmod(h, F.lit(n)).cast("int").alias("block"), F.explode(cells).alias("cell")).groupBy("block").agg(F.bitmap_construct_agg(F.col("cell").cast("long")).alias("bits"))
-        self.bits = np.zeros((n, BLOCK_BITS // 8), np.uint8)
-        for r in rows.toLocalIterator():
-            self.bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+        together, block_bits = self.TOGETHER, BLOCK_BITS
+
+        def send(batches):
+            for batch in batches:
+                h = batch["h"].to_numpy()
+                of = (h % n) // together
+                order = np.argsort(of, kind="stable")
+                yield sent(of[order], n // together + 1, {"h": h[order]})
+
+        def mark(group):
+            import pyarrow as pa
+
+            h = np.frombuffer(b"".join(group["h"].to_pylist()), np.int64)
+            bits = np.zeros((together, block_bits), bool)
+            for k in (33, 48):
+                bits[h % n % together, (h >> k) & (block_bits - 1)] = True
+            return pa.table({"bucket": group["bucket"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        rows = df.select(F.col(column).alias("h")).mapInArrow(send, "bucket int, h binary").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").toArrow()
+        self.bits = np.zeros((-(-n // together) * together, BLOCK_BITS // 8), np.uint8)
+        for bucket, bits in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+            self.bits[bucket * together : (bucket + 1) * together] = np.frombuffer(bits, np.uint8).reshape(together, -1)
 
     def __call__(self, h):
         import numpy as np
@@ -331,36 +368,91 @@ class Known:
         return self.values[at], self.keys[at] == h
 
 
+class Repeated:
+    """A Bloom filter of the keys of `depth` + 1 tokens that occur twice or more after a context that passes the filter
+    `contexts` (a broadcast); each of `buckets` has bits of its own.
+
+    A task sends 32 bits of each key to the key's bucket, where its other bits are the same or nearly so, and those that
+    it has twice or more often two times; what a bucket gets twice is set.
+    """
+
+    def __init__(self, training: DataFrame, depth: int, buckets: int, contexts):
+        import numpy as np
+
+        low, most = np.uint64(0xFFFFFFFF), max(64, FILTER_BITS // buckets)
+
+        def send(batches):
+            for batch in batches:
+                _, place, _, found = grams(batch, depth + 1)
+                at = np.flatnonzero(place >= depth)
+                key = found[depth][at[contexts.value(earlier(found[depth - 1])[at])]]
+                x = np.sort(bucket_of(key, buckets) << np.uint64(32) | key.astype(np.uint64) & low)
+                more = np.ones(len(x), bool)
+                more[2:] = x[2:] != x[:-2]
+                x = x[more]
+                yield sent(x >> np.uint64(32), buckets, {"low": (x & low).astype(np.uint32)})
+
+        def mark(group):
+            import pyarrow as pa
+
+            x = np.sort(np.frombuffer(b"".join(group["low"].to_pylist()), np.uint32))
+            x = np.unique(x[1:][x[1:] == x[:-1]])
+            bits = np.zeros(-(-max(64, min(most, 16 * len(x))) // 8) * 8, bool)
+            for cell in self.cells(x, np.uint64(len(bits))):
+                bits[cell] = True
+            return pa.table({"bucket": group["bucket"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+        rows = training.select("tokens").mapInArrow(send, "bucket int, low binary").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").toArrow()
+        found = dict(zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True))
+        bits = [np.frombuffer(found.get(k, bytes(8)), np.uint8) for k in range(buckets)]
+        self.sizes = np.array([8 * len(b) for b in bits], np.uint64)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
+        self.bits = np.concatenate(bits)
+
+    @staticmethod
+    def cells(x, size):
+        """Two bits of `size` for each 32 bits."""
+        import numpy as np
+
+        for odd in (0x9E3779B1, 0x85EBCA77):
+            yield ((((x.astype(np.uint64) * np.uint64(odd)) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).astype(np.int64)
+
+    def __call__(self, key):
+        import numpy as np
+
+        bucket, out = bucket_of(key, len(self.sizes)).astype(np.int64), np.ones(len(key), bool)
+        for cell in self.cells(key.astype(np.uint64) & np.uint64(0xFFFFFFFF), self.sizes[bucket]):
+            cell += self.starts[bucket]
+            out &= (self.bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
 def count_grams(training: DataFrame, depth: int, buckets: int, contexts=None, keys=None, least: int = 1) -> DataFrame:
-    """`key, n`: how often each context of `depth` words that passes the filter `contexts` (a broadcast) has each next
-    token, if `least` times or more; depth 0 counts tokens. With a filter of `keys`, only those, and with `ctx` and the
-    key without its first word, `suffix`.
+    """`key, n`: how often each token occurs, for depth 0; else each context of `depth` words that passes the filter
+    `contexts` with each next token, if the key of both passes the filter `keys` (both are broadcasts), `least` times or
+    more, and with `ctx` and the key without its first word, `suffix`.
 
     A task sums a batch by itself and sends its keys, as arrays, to `buckets` by hash; a bucket gets a key once for each
     batch, however often it occurs.
     """
-    names = ["key", "n", *(["ctx", "suffix"] if keys is not None else [])]
+    names = ["key", "n", *(["ctx", "suffix"] if depth else [])]
 
     def count(batches):
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
-            _, place, _, found = grams(batch)
-            key, suffix, ctx = found[depth], found[max(0, depth - 1)], earlier(found[max(0, depth - 1)])
-            at = np.flatnonzero(place >= depth)
-            if contexts is not None:
+            _, place, _, found = grams(batch, depth + 1)
+            if depth:
+                at = np.flatnonzero(place >= depth)
+                ctx = earlier(found[depth - 1])
                 at = at[contexts.value(ctx[at])]
-            if keys is not None:
-                at = at[keys.value(key[at])]
-            unique, first, n = np.unique(key[at], return_index=True, return_counts=True)
-            bucket = unique % buckets
-            order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            columns = {"key": unique, "n": n.astype(np.int64), "ctx": ctx[at][first], "suffix": suffix[at][first]}
-            some = np.flatnonzero(np.diff(ends))
-            cut = lambda x: pa.array([x[order[ends[b] : ends[b + 1]]].tobytes() for b in some], pa.binary())  # noqa: B023, E731
-            yield pa.record_batch([pa.array(some.astype(np.int32)), *(cut(columns[c]) for c in names)], names=["bucket", *names])
+                at = at[keys.value(found[depth][at])]
+                unique, first, n = np.unique(found[depth][at], return_index=True, return_counts=True)
+                columns = {"key": unique, "n": n.astype(np.int64), "ctx": ctx[at[first]], "suffix": found[depth - 1][at[first]]}
+            else:
+                unique, n = np.unique(found[0], return_counts=True)
+                columns = {"key": unique, "n": n.astype(np.int64)}
+            yield sent(bucket_of(unique, buckets), buckets, columns)
 
     def add(group):
         import numpy as np
@@ -375,8 +467,8 @@ def count_grams(training: DataFrame, depth: int, buckets: int, contexts=None, ke
         first = order[starts[often]]
         return pa.table({c: n[often] if c == "n" else read[c][first] for c in names})
 
-    sent = training.select("tokens").mapInArrow(count, ", ".join(["bucket int", *(f"{c} binary" for c in names)]))
-    return sent.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
+    dealt = training.select("tokens").mapInArrow(count, ", ".join(["bucket int", *(f"{c} binary" for c in names)]))
+    return dealt.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
 
 
 def freed(spark) -> None:
@@ -399,35 +491,38 @@ def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
     sums = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     total, size = sums["total"], float(sums["total"] + sums["distinct"] + 1)
     entries = words_.filter(F.col("n") >= LEAST_JOINT).select("key", "n", ((F.col("n") + 1) / size).alias("eff"), ((F.col("n") + 1) / size).alias("root"))
-    out = []
+    out, read = [], Staging()
     for depth in range(1, DEPTH + 1):
         with Staging() as made:
             seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
             contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
             # most keys occur once: only the others shuffle with what they are made of
-            keys = staged(count_grams(training, depth, buckets, contexts, least=LEAST_JOINT).select("key"), "keys")
-            keys = spark.sparkContext.broadcast(Filter(keys, "key"))
+            keys = spark.sparkContext.broadcast(Repeated(training, depth, buckets, contexts))
             freed(spark)
             counted = staged(count_grams(training, depth, buckets, contexts, keys, LEAST_JOINT), "counted")
             for used in (contexts, keys):
                 used.destroy()
-            counted = staged(of_large_groups(counted, seen, "ctx", "seen", total).filter("seen is not null"), "counted")
-            shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root", F.col("n").alias("m"))
+            # a context has at most as many next tokens as there are words, and a suffix as many words before it
+            shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root")
             p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
-            counted = staged(of_large_groups(counted, shorter, "suffix", "m", total).select("key", "n", "ctx", "seen", "shorter", "root", p.alias("p")), "counted")
+            counted = counted.join(shorter, "suffix").join(seen, "ctx").select("ctx", "key", "n", "seen", "shorter", "root", p.alias("p"))
             clip = lambda x: F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0))
-            of = counted.groupBy("ctx").agg(
-                F.max("seen").alias("times"), F.count("*").alias("freedom"), clip(F.sum("p")).alias("left"), clip(F.sum("shorter")).alias("left_shorter"), F.sum(F.col("p") * F.log(F.col("p") / F.col("shorter"))).alias("gain")
-            )
-            gain = 2 * F.col("times") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
-            kept = of.filter(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom"))).select("ctx", "times", F.log10(F.col("left") / F.col("left_shorter")).alias("back"))
-            kept = staged(kept, "kept")
+            of = Window.partitionBy("ctx")
+            summed = counted.select(
+                "*", F.count("*").over(of).alias("freedom"), clip(F.sum("p").over(of)).alias("left"), clip(F.sum("shorter").over(of)).alias("left_shorter"),
+                F.sum(F.col("p") * F.log(F.col("p") / F.col("shorter"))).over(of).alias("gain"),
+            )
+            gain = 2 * F.col("seen") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
+            back = F.when(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom")), F.log10(F.col("left") / F.col("left_shorter")))
             eff = F.when(F.col("back").isNull(), F.col("shorter")).otherwise(F.col("p"))
-            entries = of_large_groups(counted, kept, "ctx", "times", total).select("key", "n", eff.alias("eff"), "root", F.col("back").isNotNull().alias("kept"))
-            entries = staged(entries, "entries")
-            made.release((kept, entries))
+            entries = staged(summed.withColumn("back", back).select("ctx", "key", "n", "seen", eff.alias("eff"), "root", "back"), "entries")
+            kept = staged(entries.filter("back is not null").groupBy("ctx").agg(F.max("seen").alias("times"), F.max("back").alias("back")), "kept")
+            told = staged(entries.filter("back is not null").select("key", "n", F.log10(F.col("eff") / F.col("root")).alias("delta")), "told")
+            made.release((kept, told, *([entries] if depth < DEPTH else [])))
+            read.release()  # the entries of the depth before
+            read.tables, made.tables = [(path, df) for path, df in made.tables if df is entries], [(path, df) for path, df in made.tables if df is not entries]
         freed(spark)
-        out.append((kept, entries.filter("kept").select("key", "n", F.log10(F.col("eff") / F.col("root")).alias("delta"))))
+        out.append((kept, told))
     return words_, total, sums["distinct"], out
 
 
@@ -518,12 +613,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, more double, rare array<long>, times array<int>, " + ", ".join(f"{c} array<long>" for c in asked)
-    scored = staged(hashed.mapInArrow(score, schema), "scored")
+    with Staging() as answered:
+        scored = staged(hashed.mapInArrow(score, schema), "scored")
     common.destroy()
     read.release()
+    documents = staged(scored.drop("rare", "times", *asked), "documents")
     wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     counted = wanted.join(vocabulary, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
+    counted = staged(counted, "known")
+    with Staging() as asks:
+        pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
+        pending = staged(pending, "pending")
+    answered.release()
     settled = []
     for d in range(DEPTH, 0, -1):
         with Staging() as made:
@@ -532,17 +633,22 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = [c for c in asked if int(c[-1]) < d]
             found = of_large_groups(pending.filter(F.col(ctx) >= 0), entries.withColumnRenamed("key", key), key, "n", total)
             found = staged(found.drop("n", key), "found")
+            freed(docs.sparkSession)
             missed = of_large_groups(found.filter("delta is null").drop("delta"), kept.withColumnRenamed("ctx", ctx), ctx, "times", total)
             missed = staged(missed.select("row", *rest, F.coalesce("back", F.lit(0.0)).alias("delta")), "missed")
             sums = found.filter("delta is not null").select("row", "delta").unionByName(missed.filter("delta != 0").select("row", "delta"))
             settled.append(staged(sums.groupBy("row").agg(F.sum("delta").alias("delta")), "settled"))
             if rest:
-                pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
-            made.release((settled[-1], pending))
+                with Staging() as further:
+                    pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
+                    asks.release()
+                    asks.tables, further.tables = further.tables, []
+            made.release((settled[-1],))
         freed(docs.sparkSession)
+    asks.release()
     joined = functools.reduce(DataFrame.unionByName, settled).groupBy("row").agg(F.sum("delta").alias("delta"))
     gain, delta = F.coalesce("gain", F.lit(0.0)), F.coalesce("delta", F.lit(0.0))
-    out = scored.drop("rare", "times", *asked).join(counted, "row", "left").join(joined, "row", "left")
+    out = documents.join(counted, "row", "left").join(joined, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("base_score") + gain + F.col("more") + delta).alias("score"),

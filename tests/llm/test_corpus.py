@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, queries, suffix_tree, token_files, tokens
+from panelforge.llm import common, exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, packing, pii, queries, suffix_tree, token_files, tokens
 from panelforge.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -347,6 +347,32 @@ def test_tables_score_as_the_tree(docs, monkeypatch, common):
         assert got["score"] - got["base_score"] == pytest.approx(tree.log10(tokens).sum() - root, abs=1e-6)
 
 
+def test_the_tree_leaves_only_what_its_result_reads(spark, docs):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = {x.name for x in folder.iterdir()}
+    rows = suffix_tree.score_documents(docs)
+    left = {x.name.rsplit("-", 1)[0] for x in folder.iterdir() if x.name not in before}
+    assert left == {"words", "documents", "known", "settled", "kept", "told"}
+    assert rows.count() == docs.count()
+
+
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_filter_of_repeated_keys(spark, docs, monkeypatch, bits):
+    monkeypatch.setattr(suffix_tree, "FILTER_BITS", bits)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(False).alias("held_out"), "text")
+    hashed = suffix_tree.tokenized(rows)
+    n = collections.Counter()
+    for batch in hashed.toArrow().to_batches():
+        _, place, _, found = suffix_tree.grams(batch, 3)
+        n.update(found[2][place >= 2].tolist())
+    every = type("Every", (), {"value": staticmethod(lambda h: np.ones(len(h), bool))})
+    keys = suffix_tree.Repeated(hashed, 2, 7, every)
+    passed = dict(zip(n, keys(np.fromiter(n, np.int64, len(n))).tolist(), strict=True))
+    assert all(passed[k] for k, times in n.items() if times > 1)
+    once = [passed[k] for k, times in n.items() if times == 1]
+    assert len(once) > 100 and (bits == 64 or np.mean(once) < 0.1)
+
+
 def test_rare_contexts_of_a_large_corpus_are_states(make):
     # 60 of 240,060 tokens: far less than the shares of 1e-4 that contexts had to have
     texts = [(i, " ".join(f"w{(i * 37 + j * j) % 997}" for j in range(400)), "en", "s") for i in range(600)]
