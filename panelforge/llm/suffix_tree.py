@@ -1,38 +1,41 @@
 """LM scoring by a probabilistic suffix tree over words: contexts of variable length, kept by a divergence test.
 
-The contexts and their next tokens are Spark tables by hash (`states`); what is common goes to the tasks, and the rest is
-joined. `SuffixTree` and `fit` hold the same model on the driver, for small corpora and to test the tables against.
+Each token goes, with the three words before it, to the bucket of its contexts, where these are counted, tested and used.
+`SuffixTree` and `fit` hold the same model on the driver, for small corpora and to test the buckets against.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import Staging, bounded_batches, id_remainder, slices, staged
-from panelforge.llm.near_dedup import mixed, of_large_groups
-from panelforge.llm.words import SLICE, word_hashes
+from panelforge.llm.near_dedup import mixed
+from panelforge.llm.words import SLICE, distinct_words, word_hashes
 
 DEPTH = 3
 #: How often a context has to occur, and a context with its next token.
 LEAST_CONTEXT, LEAST_JOINT = 5, 2
-#: Rows of one table (words, contexts or entries of a depth), the most frequent, that go to the tasks at most. What is
-#: rarer is joined, so this has no bearing on the result.
-COMMON = 500_000
-#: Training tokens for each bucket in which n-grams are summed.
-BUCKET = 1_000_000
-#: Bits of a filter, at most, and of one of its blocks. A fuller filter lets more rows pass to a join, and loses none.
-FILTER_BITS, BLOCK_BITS = 1 << 27, 32768
+#: A word that occurs more often is common: what follows it is counted by itself, and its longer contexts are dealt to many
+#: buckets. This has no bearing on the result.
+COMMON = 1_000_000
+#: Tokens for each bucket of contexts, and in how many parts it handles them.
+BUCKET, PARTS = 2_000_000, 4
+#: Bits of the filter `Repeated`, at most. A fuller filter lets more keys pass, and loses none.
+FILTER_BITS = 1 << 27
 #: Weight of the shorter context in a next-token distribution, and what a context's divergence has to exceed.
 SHORTER, SIGMAS = 2.0, 3.0
 #: Words that a worker knows by heart; a full cache starts anew.
 CACHE = 200_000
 END = b"\n"  # no word holds white space
 RARE = -(1 << 63)
+#: Of what the sum of a text in a bucket is a whole number, as few bytes hold it then.
+UNIT = 2.0**-30
+#: What a context's entries add to its divergence.
+SUMS = ("freedom", "p", "shorter", "gain")
 
 
 def word_hash(word: bytes) -> int:
@@ -302,72 +305,6 @@ def sent(bucket, buckets: int, columns: dict):
     return pa.record_batch([pa.array(some.astype(np.int32)), *map(cut, columns.values())], names=["bucket", *columns])
 
 
-class Filter:
-    """A Bloom filter of a column of hashes: two bits of one block for each."""
-
-    #: Blocks whose bits are set together.
-    TOGETHER = 64
-
-    def __init__(self, df: DataFrame, column: str):
-        import numpy as np
-
-        n = self.blocks = max(1, min(FILTER_BITS, 16 * df.count()) // BLOCK_BITS + 1)
-        together, block_bits = self.TOGETHER, BLOCK_BITS
-
-        def send(batches):
-            for batch in batches:
-                h = batch["h"].to_numpy()
-                of = (h % n) // together
-                order = np.argsort(of, kind="stable")
-                yield sent(of[order], n // together + 1, {"h": h[order]})
-
-        def mark(group):
-            import pyarrow as pa
-
-            h = np.frombuffer(b"".join(group["h"].to_pylist()), np.int64)
-            bits = np.zeros((together, block_bits), bool)
-            for k in (33, 48):
-                bits[h % n % together, (h >> k) & (block_bits - 1)] = True
-            return pa.table({"bucket": group["bucket"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-        rows = df.select(F.col(column).alias("h")).mapInArrow(send, "bucket int, h binary").groupBy("bucket").applyInArrow(mark, "bucket int, bits binary").toArrow()
-        self.bits = np.zeros((-(-n // together) * together, BLOCK_BITS // 8), np.uint8)
-        for bucket, bits in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
-            self.bits[bucket * together : (bucket + 1) * together] = np.frombuffer(bits, np.uint8).reshape(together, -1)
-
-    def __call__(self, h):
-        import numpy as np
-
-        out, block = np.ones(len(h), bool), h % self.blocks
-        for k in (33, 48):
-            cell = (h >> k) & (BLOCK_BITS - 1)
-            out &= (self.bits[block, cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
-class Known:
-    """The values of a table's most frequent hashes, at most COMMON of them; `whole` if those are all."""
-
-    def __init__(self, df: DataFrame, key: str, value: str, n: str):
-        import numpy as np
-
-        step = F.floor(F.log2(n) * 4)  # a row for each step of a count's logarithm
-        steps = df.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).sort(F.desc("step")).collect()
-        fits = np.flatnonzero(np.cumsum([r["rows"] for r in steps]) <= COMMON)
-        own = step >= F.lit(steps[fits[-1]]["step"]) if len(fits) else F.lit(False)
-        got = df.filter(own).select(F.col(key).cast("long").alias("k"), F.col(value).cast("double").alias("v")).toArrow().sort_by("k")
-        self.keys, self.values, self.whole = got["k"].to_numpy(), got["v"].to_numpy(), len(fits) == len(steps)
-
-    def __call__(self, h):
-        """The values, and which hashes have one."""
-        import numpy as np
-
-        if not len(self.keys):
-            return np.zeros(len(h)), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == h
-
-
 class Repeated:
     """A Bloom filter of the keys of `depth` + 1 tokens that occur twice or more after a context that passes the filter
     `contexts` (a broadcast); each of `buckets` has bits of its own.
@@ -427,103 +364,454 @@ class Repeated:
         return out
 
 
-def count_grams(training: DataFrame, depth: int, buckets: int, contexts=None, keys=None, least: int = 1) -> DataFrame:
-    """`key, n`: how often each token occurs, for depth 0; else each context of `depth` words that passes the filter
-    `contexts` with each next token, if the key of both passes the filter `keys` (both are broadcasts), `least` times or
-    more, and with `ctx` and the key without its first word, `suffix`.
+def freed(spark) -> None:
+    """Let Spark delete the shuffle files of what is no longer used; it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def packed(x) -> bytes:
+    """An array of numbers, each of its byte planes compressed by itself; a plane of zeros takes no room."""
+    import numpy as np
+    import pyarrow as pa
+
+    planes, zstd = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T), pa.Codec("zstd", compression_level=1)
+    parts_ = [zstd.compress(p.tobytes(), asbytes=True) if p.any() else b"" for p in planes]
+    return np.array([len(x), *map(len, parts_)], np.int64).tobytes() + b"".join(parts_)
+
+
+def unpacked(data: bytes, kind):
+    import numpy as np
+    import pyarrow as pa
+
+    size, zstd = np.dtype(kind).itemsize, pa.Codec("zstd")
+    n, *lengths = np.frombuffer(data, np.int64, size + 1).tolist()
+    planes, at = np.zeros((size, n), np.uint8), 8 * (size + 1)
+    for plane, length in zip(planes, lengths, strict=True):
+        if length:
+            plane[:] = np.frombuffer(zstd.decompress(data[at : at + length], decompressed_size=n), np.uint8)
+        at += length
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def numbered(key):
+    """The place of each key among the distinct ones, in order, and where one of each is."""
+    import numpy as np
+
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(key)]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def places(lengths):
+    """The place of each token in its text, and the number of its text."""
+    import numpy as np
+
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths), np.repeat(np.arange(len(lengths)), lengths)
+
+
+def numpied(row, name: str, kind):
+    import numpy as np
+
+    return np.array(row[name], dtype=kind)
+
+
+def cut_slices(rows: DataFrame) -> DataFrame:
+    """A row for each slice of texts, named by the first of its rows: the ids, `held_out` and numbers of tokens of its texts, the
+    hashes of its distinct words, the end token among them, and how often training texts have each; and its tokens, as places among those."""
+    bounded_batches(rows.sparkSession)
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
 
-    A task sums a batch by itself and sends its keys, as arrays, to `buckets` by hash; a bucket gets a key once for each
-    batch, however often it occurs.
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                found, numbers, offsets = distinct_words(batch["text"])
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, [*found, END]), np.uint64, len(found) + 1)
+                tokens = np.insert(numbers, offsets[1:], len(found))
+                lengths = np.diff(offsets) + 1
+                # the more frequent, the smaller, as that packs best
+                unique, of = np.unique((hashes >> np.uint64(1)).astype(np.int64), return_inverse=True)
+                tokens = of[tokens]
+                order = np.argsort(-np.bincount(tokens, minlength=len(unique)), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                tokens = place[tokens]
+                held = batch["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+                seen = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(unique))
+                one = lambda x: pa.array([x])
+                yield pa.record_batch(
+                    [
+                        batch["row"][:1], pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), batch["doc_id"]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), batch["held_out"]),
+                        one(lengths.astype(np.int32)), one(int(lengths.sum())), one(unique[order].tobytes()), one(packed(seen.astype(np.int64))), one(packed(tokens.astype(np.uint32))),
+                    ],
+                    names=["slice", "doc_id", "held_out", "lengths", "size", "words", "seen", "tokens"],
+                )
+
+    return rows.mapInArrow(cut, "slice long, doc_id array<long>, held_out array<boolean>, lengths array<int>, size long, words binary, seen binary, tokens binary")
+
+
+def count_words_of_slices(cut: DataFrame, buckets: int) -> DataFrame:
+    """How often training texts have each word, told to each slice that has it: `slice, bucket, n, place` for each bucket of hashes,
+    the last two of each word of the slice in order of hash; `place` is a word's among those of its bucket that occur as often.
+
+    Each bucket also has a row of slice -1: the numbers `n` that occur, and how many words have each.
     """
-    names = ["key", "n", *(["ctx", "suffix"] if depth else [])]
 
-    def count(batches):
+    def send(batches):
         import numpy as np
+        import pyarrow as pa
 
         for batch in batches:
-            _, place, _, found = grams(batch, depth + 1)
-            if depth:
-                at = np.flatnonzero(place >= depth)
-                ctx = earlier(found[depth - 1])
-                at = at[contexts.value(ctx[at])]
-                at = at[keys.value(found[depth][at])]
-                unique, first, n = np.unique(found[depth][at], return_index=True, return_counts=True)
-                columns = {"key": unique, "n": n.astype(np.int64), "ctx": ctx[at[first]], "suffix": found[depth - 1][at[first]]}
-            else:
-                unique, n = np.unique(found[0], return_counts=True)
-                columns = {"key": unique, "n": n.astype(np.int64)}
-            yield sent(bucket_of(unique, buckets), buckets, columns)
+            for row in batch.to_pylist():
+                words_ = np.frombuffer(row["words"], np.int64)
+                order = np.argsort(words_)
+                out = sent(bucket_of(words_[order], buckets), buckets, {"key": words_[order], "n": unpacked(row["seen"], np.int64)[order]})
+                yield pa.record_batch([pa.array(np.full(len(out), row["slice"], np.int64)), *out.columns], names=["slice", *out.schema.names])
 
     def add(group):
         import numpy as np
         import pyarrow as pa
 
-        read = {c: np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in names}
-        order = np.argsort(read["key"], kind="stable")
-        key = read["key"][order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
-        n = np.add.reduceat(read["n"][order], starts) if len(starts) else np.zeros(0, np.int64)
-        often = n >= least
-        first = order[starts[often]]
-        return pa.table({c: n[often] if c == "n" else read[c][first] for c in names})
+        keys, n = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("key", "n"))
+        of, _ = numbered(keys)
+        total = np.bincount(of, n).astype(np.int64)
+        order = np.argsort(total, kind="stable")
+        numbers, starts, many = np.unique(total[order], return_index=True, return_counts=True)
+        place = np.empty(len(total), np.int64)
+        place[order] = np.arange(len(total)) - np.repeat(starts, many)
+        ends = np.cumsum([len(x) // 8 for x in group["key"].to_pylist()])[:-1]
+        told = [[packed(x) for x in np.split(y[of], ends)] for y in (total, place)]
+        return pa.table(
+            {
+                "slice": pa.array([*group["slice"].to_pylist(), -1], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * (len(group) + 1), pa.int32()),
+                "n": pa.array([*told[0], packed(numbers)], pa.binary()), "place": pa.array([*told[1], packed(many.astype(np.int64))], pa.binary()),
+            }
+        )
+
+    dealt = cut.select("slice", "words", "seen").mapInArrow(send, "slice long, bucket int, key binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(add, "slice long, bucket int, n binary, place binary")
+
+
+class Ranks:
+    """Numbers of the words that training texts have LEAST_JOINT times or more, the most frequent first; all other words
+    have the number `other`. What is kept of them is how many words occur how often, in each bucket."""
+
+    def __init__(self, counted: DataFrame, buckets: int):
+        import numpy as np
 
-    dealt = training.select("tokens").mapInArrow(count, ", ".join(["bucket int", *(f"{c} binary" for c in names)]))
-    return dealt.groupBy("bucket").applyInArrow(add, ", ".join(f"{c} long" for c in names))
+        rows = {r["bucket"]: (unpacked(bytes(r["n"]), np.int64), unpacked(bytes(r["place"]), np.int64)) for r in counted.filter("slice = -1").collect()}
+        none = np.zeros(0, np.int64)
+        each = [rows.get(b, (none, none)) for b in range(buckets)]
+        n, many = (np.concatenate([x[k] for x in each]) for k in (0, 1))
+        self.total, self.distinct = int((n * many).sum()), int(many[n > 0].sum())
+        self.size = float(self.total + self.distinct + 1)
+        bucket = np.repeat(np.arange(buckets), [len(x[0]) for x in each])
+        often = n >= LEAST_JOINT
+        n, many, bucket = n[often], many[often], bucket[often]
+        order = np.lexsort((bucket, -n))
+        n, many, bucket = n[order], many[order], bucket[order]
+        starts = np.cumsum(many) - many
+        self.other = int(many.sum())
+        if self.other >= 1 << 32:
+            raise ValueError("the numbers of words are of 32 bits")
+        self.in_bucket = []
+        for b in range(buckets):
+            at = np.flatnonzero(bucket == b)[::-1]
+            self.in_bucket.append((n[at], starts[at]))
+        new = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])[: len(n)])
+        self.firsts, self.counts = starts[new], n[new]
+        #: How many words may be in a context, and how many are common: the first ones.
+        self.contexts, self.common = (int(many[n >= least].sum()) for least in (LEAST_CONTEXT, COMMON + 1))
+        self.common = min(self.common, self.contexts)
+
+    def of_bucket(self, bucket: int, n, place):
+        import numpy as np
 
+        numbers, starts = self.in_bucket[bucket]
+        out = np.full(len(n), self.other, np.int64)
+        often = n >= LEAST_JOINT
+        out[often] = starts[np.searchsorted(numbers, n[often])] + place[often]
+        return out
 
-def freed(spark) -> None:
-    """Let Spark delete the shuffle files of what is no longer used; it does so when the driver collects its garbage."""
-    import gc
+    def count(self, number):
+        """How often training texts have words, by number; 0 for other words."""
+        import numpy as np
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        if not self.other:
+            return np.zeros(len(number), np.int64)
+        return np.where(number < self.other, self.counts[np.searchsorted(self.firsts, number, side="right") - 1], 0)
+
+
+def number_slices(cut: DataFrame, counted: DataFrame, ranks) -> DataFrame:
+    """The slices with the numbers of their tokens, packed, and for each text how many tokens are known and its base score."""
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        r = ranks.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                order = np.argsort(np.frombuffer(row["words"], np.int64))
+                n, ids = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                n_found = [unpacked(x["n"], np.int64) for x in row["told"]]
+                n[order] = np.concatenate(n_found)
+                ids[order] = np.concatenate([r.of_bucket(x["bucket"], m, unpacked(x["place"], np.int64)) for x, m in zip(row["told"], n_found, strict=True)])
+                tokens, lengths = unpacked(row["tokens"], np.uint32), numpied(row, "lengths", np.int64)
+                begin = np.cumsum(lengths) - lengths
+                known = np.add.reduceat((n > 0)[tokens].astype(np.int64), begin)
+                base = np.add.reduceat((np.log10(n + 1.0) - math.log10(r.size))[tokens], begin)
+                one = lambda x: pa.array([x])
+                yield pa.record_batch(
+                    [
+                        one(row["slice"]), pa.array([row["doc_id"]], pa.list_(pa.int64())), one(row["held_out"]), one(lengths.astype(np.int32)), one(known), one(base), one(packed(ids.astype(np.uint32)[tokens])),
+                    ],
+                    names=["slice", "doc_id", "held_out", "lengths", "known", "base", "ids"],
+                )
+
+    told = counted.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "place"))).alias("told"))
+    return cut.select("slice", "doc_id", "held_out", "lengths", "words", "tokens").join(told, "slice").mapInArrow(number, "slice long, doc_id array<long>, held_out array<boolean>, lengths array<int>, known array<long>, base array<double>, ids binary")
+
+
+def divergence(of, size: int, p, shorter):
+    """For each of `size` contexts, by its entries (which context each is `of`): the sums that `back_weights` needs."""
+    import numpy as np
+
+    return [np.bincount(of, x, size) for x in (np.ones(len(of)), p, shorter, p * np.log(p / shorter))]
+
+
+def back_weights(seen, freedom, p, shorter, gain):
+    """The log10 weight of the shorter context in each context for tokens without an entry; NaN if it isn't a state."""
+    import numpy as np
+
+    left, left_shorter = np.clip(1 - p, 1e-12, 1), np.clip(1 - shorter, 1e-12, 1)
+    gain = 2 * seen * (gain + left * np.log(left / left_shorter))
+    return np.where((freedom > 0) & (gain > freedom + SIGMAS * np.sqrt(2 * freedom)), np.log10(left / left_shorter), np.nan)
+
+
+def common_weights(kept: DataFrame, ranks: Ranks):
+    """The weights of the shorter context after each common word, by its number."""
+    import numpy as np
+
+    out, rows = np.full(ranks.common, np.nan), kept.toArrow()
+    ctx = rows["ctx"].to_numpy()
+    out[ctx] = back_weights(ranks.count(ctx), *(rows[c].to_numpy() for c in SUMS))
+    return out
+
+
+def spread(key, buckets: int):
+    import numpy as np
+
+    return bucket_of(mixed(key.astype(np.uint64)) >> np.uint64(1), buckets)
+
+
+def with_second(c, b, token, ranks: Ranks):
+    """What a window is dealt by: its context's last word, and if that is common, the word before it, or else the token."""
+    import numpy as np
+
+    return c << 32 | np.where(c < ranks.common, np.where(b < ranks.other, b, token) + 1, 0)
+
+
+def common_pairs(ids, place, training, ranks: Ranks, buckets: int):
+    """Which tokens follow a common word and have a number of their own, the place of each one's pair among the distinct pairs, those pairs in
+    order of bucket, their buckets, and how often training texts have each."""
+    import numpy as np
+
+    at = np.flatnonzero((place >= 1) & (earlier(ids) < ranks.common) & (ids < ranks.other))
+    pairs = ids[at - 1] << 32 | ids[at]
+    number, first = numbered(pairs)
+    bucket = spread(pairs[first], buckets)
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    number = back[number]
+    return at, number, pairs[first][order], bucket[order], np.bincount(number[training[at]], minlength=len(order)).astype(np.int64)
+
+
+def count_common_pairs(known: DataFrame, ranks, buckets: int) -> DataFrame:
+    """How often training texts have each token after each common word, told to each slice: `slice, bucket, n`, in the order of `common_pairs`.
 
+    Rows of slice -1 have what each bucket adds to the divergence of each word: `ctx, freedom, p, shorter, gain`.
+    """
+
+    def send(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def states(training: DataFrame) -> tuple[DataFrame, int, int, list]:
-    """The counts of all tokens (`key, n`), their sum and number, and for each depth the kept contexts `ctx, seen, back`
-    and their entries `key, n, delta`: log10 of a next token's probability after the context over that of the root.
+        r = ranks.value
+        for batch in batches:
+            for row in batch.to_pylist() if r.common else []:
+                lengths = numpied(row, "lengths", np.int64)
+                place, _ = places(lengths)
+                _, _, pairs, bucket, n = common_pairs(unpacked(row["ids"], np.uint32).astype(np.int64), place, np.repeat(~numpied(row, "held_out", bool), lengths), r, buckets)
+                out = sent(bucket, buckets, {"key": pairs, "n": n})
+                yield pa.record_batch([pa.array(np.full(len(out), row["slice"], np.int64)), *out.columns], names=["slice", *out.schema.names])
 
-    Contexts and entries are kept by absolute counts and the divergence test alone; no table comes to the driver.
+    def add(group):
+        import numpy as np
+        import pyarrow as pa
+
+        r = ranks.value
+        keys, n = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("key", "n"))
+        of, first = numbered(keys)
+        total = np.bincount(of, n).astype(np.int64)
+        often = total >= LEAST_JOINT
+        ctx, token = keys[first][often] >> 32, keys[first][often] & 0xFFFFFFFF
+        shorter = (r.count(token) + 1) / r.size
+        p = (total[often] + SHORTER * shorter) / (r.count(ctx) + SHORTER)
+        unique, x = np.unique(ctx, return_inverse=True)
+        sums = divergence(x, len(unique), p, shorter)
+        ends = np.cumsum([len(k) // 8 for k in group["key"].to_pylist()])[:-1]
+        told, size = [packed(y) for y in np.split(total[of], ends)], len(group)
+        return pa.table(
+            {
+                "slice": pa.array([*group["slice"].to_pylist(), -1], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * (size + 1), pa.int32()), "n": pa.array([*told, None], pa.binary()),
+                "ctx": pa.array([None] * size + [unique], pa.list_(pa.int64())), **{c: pa.array([None] * size + [y], pa.list_(pa.float64())) for c, y in zip(SUMS, sums, strict=True)},
+            }
+        )
+
+    dealt = known.select("slice", "lengths", "held_out", "ids").mapInArrow(send, "slice long, bucket int, key binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(add, "slice long, bucket int, n binary, ctx array<long>, " + ", ".join(f"{c} array<double>" for c in SUMS))
+
+
+def settle(c, b, a, token, training, given, ranks: Ranks, common_back):
+    """log10 of what the longest state says of each token after the words a, b, c, over what the root says of it.
+
+    All windows of a context of two or three words are here, and all of a word that isn't common; `given` is how often a token
+    follows a common word. A word that can't be in a context is `ranks.other`, and so is one before it.
     """
-    spark = training.sparkSession
-    buckets = max(1, training.agg(F.sum(F.size("tokens"))).first()[0] or 0) // BUCKET + 1
-    words_ = staged(count_grams(training, 0, buckets), "words")
-    sums = words_.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    total, size = sums["total"], float(sums["total"] + sums["distinct"] + 1)
-    entries = words_.filter(F.col("n") >= LEAST_JOINT).select("key", "n", ((F.col("n") + 1) / size).alias("eff"), ((F.col("n") + 1) / size).alias("root"))
-    out, read = [], Staging()
-    for depth in range(1, DEPTH + 1):
-        with Staging() as made:
-            seen = entries.filter(F.col("n") >= LEAST_CONTEXT).select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
-            contexts = spark.sparkContext.broadcast(Filter(seen, "ctx"))
-            # most keys occur once: only the others shuffle with what they are made of
-            keys = spark.sparkContext.broadcast(Repeated(training, depth, buckets, contexts))
-            freed(spark)
-            counted = staged(count_grams(training, depth, buckets, contexts, keys, LEAST_JOINT), "counted")
-            for used in (contexts, keys):
-                used.destroy()
-            # a context has at most as many next tokens as there are words, and a suffix as many words before it
-            shorter = entries.select(F.col("key").alias("suffix"), F.col("eff").alias("shorter"), "root")
-            p = (F.col("n") + SHORTER * F.col("shorter")) / (F.col("seen") + SHORTER)
-            counted = counted.join(shorter, "suffix").join(seen, "ctx").select("ctx", "key", "n", "seen", "shorter", "root", p.alias("p"))
-            clip = lambda x: F.least(F.greatest(1 - x, F.lit(1e-12)), F.lit(1.0))
-            of = Window.partitionBy("ctx")
-            summed = counted.select(
-                "*", F.count("*").over(of).alias("freedom"), clip(F.sum("p").over(of)).alias("left"), clip(F.sum("shorter").over(of)).alias("left_shorter"),
-                F.sum(F.col("p") * F.log(F.col("p") / F.col("shorter"))).over(of).alias("gain"),
-            )
-            gain = 2 * F.col("seen") * (F.col("gain") + F.col("left") * F.log(F.col("left") / F.col("left_shorter")))
-            back = F.when(gain > F.col("freedom") + SIGMAS * F.sqrt(2.0 * F.col("freedom")), F.log10(F.col("left") / F.col("left_shorter")))
-            eff = F.when(F.col("back").isNull(), F.col("shorter")).otherwise(F.col("p"))
-            entries = staged(summed.withColumn("back", back).select("ctx", "key", "n", "seen", eff.alias("eff"), "root", "back"), "entries")
-            kept = staged(entries.filter("back is not null").groupBy("ctx").agg(F.max("seen").alias("times"), F.max("back").alias("back")), "kept")
-            told = staged(entries.filter("back is not null").select("key", "n", F.log10(F.col("eff") / F.col("root")).alias("delta")), "told")
-            made.release((kept, told, *([entries] if depth < DEPTH else [])))
-            read.release()  # the entries of the depth before
-            read.tables, made.tables = [(path, df) for path, df in made.tables if df is entries], [(path, df) for path, df in made.tables if df is not entries]
-        freed(spark)
-        out.append((kept, told))
-    return words_, total, sums["distinct"], out
+    import numpy as np
+
+    other, shift = ranks.other, np.uint64(32)
+    root = (ranks.count(token) + 1) / ranks.size
+    eff, delta = root.copy(), np.zeros(len(c))
+    at, x, words_ = np.arange(len(c)), np.zeros(len(c), np.int64), (c, b, a)
+    for depth in range(DEPTH):
+        word = words_[depth][at]
+        at, x = at[word < other], x[word < other]
+        x, first = numbered(x.astype(np.uint64) << shift | words_[depth][at].astype(np.uint64))
+        seen = np.bincount(x[training[at]], minlength=len(first)) if depth else ranks.count(c[at[first]])
+        if depth:
+            enough = (seen >= LEAST_CONTEXT)[x]
+            at, x = at[enough], x[enough]
+        if not len(at):
+            break
+        e, one = numbered(x.astype(np.uint64) << shift | token[at].astype(np.uint64))
+        n = np.bincount(e[training[at]], minlength=len(one))
+        of, shorter = x[one], eff[at[one]]
+        if not depth:
+            is_common = c[at[one]] < ranks.common
+            n = np.where(is_common, given[at[one]], n)
+        entry = (n >= LEAST_JOINT) & (token[at[one]] < other)
+        p = (n + SHORTER * shorter) / (seen[of] + SHORTER)
+        back = back_weights(seen, *divergence(of[entry], len(seen), p[entry], shorter[entry]))
+        if not depth and ranks.common:
+            own = c[at[first]]
+            back = np.where(own < ranks.common, common_back[np.minimum(own, ranks.common - 1)], back)
+        state = ~np.isnan(back[x])
+        said = state & entry[e]
+        eff[at[said]] = p[e[said]]
+        delta[at[said]] = np.log10(p[e[said]] / root[at[said]])
+        rest = state & ~said
+        delta[at[rest]] += back[x[rest]]
+    return delta
+
+
+def tell_pairs(known: DataFrame, told: DataFrame, ranks, buckets: int) -> DataFrame:
+    """The slices with `given`, packed: for each token after a common word, how often training texts have it there."""
+
+    def tell(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        r = ranks.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, lengths = unpacked(row["ids"], np.uint32).astype(np.int64), numpied(row, "lengths", np.int64)
+                given = np.zeros(len(ids), np.int64)
+                if row["told"]:
+                    follows, number, *_ = common_pairs(ids, places(lengths)[0], np.zeros(len(ids), bool), r, buckets)
+                    given[follows] = np.concatenate([unpacked(x["n"], np.int64) for x in row["told"]])[number]
+                yield pa.record_batch([pa.array([x]) for x in (row["slice"], row["held_out"], lengths.astype(np.int32), row["ids"], packed(given))], names=["slice", "held_out", "lengths", "ids", "given"])
+
+    told = told.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("told"))
+    return known.select("slice", "held_out", "lengths", "ids").join(told, "slice", "left").mapInArrow(tell, "slice long, held_out array<boolean>, lengths array<int>, ids binary, given binary")
+
+
+def settle_windows(known: DataFrame, ranks, back, buckets: int) -> DataFrame:
+    """`slice, doc, delta`: for some texts of a slice, the sum of what states say of their tokens over the root, in units of UNIT.
+
+    Each token goes with the three words before it to a bucket by the last of these, by the last two if the last is
+    common; there are all windows of all contexts that it may have.
+    """
+    kinds = {"c": "uint32", "b": "uint32", "a": "uint32", "token": "uint32", "doc": "uint32", "training": "uint8", "given": "int64"}
+
+    def send(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        r = ranks.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, lengths = unpacked(row["ids"], np.uint32).astype(np.int64), numpied(row, "lengths", np.int64)
+                training = np.repeat(~numpied(row, "held_out", bool), lengths)
+                place, doc = places(lengths)
+                given = unpacked(row["given"], np.int64) if "given" in row else np.zeros(len(ids), np.int64)
+                at = np.flatnonzero((place >= 1) & (earlier(ids) < r.contexts))
+                c, token, b, a = ids[at - 1], ids[at], ids[at - 2], ids[at - 3]
+                b[(place[at] < 2) | (b >= r.contexts)] = r.other
+                a[(place[at] < 3) | (a >= r.contexts) | (b == r.other)] = r.other
+                bucket = spread(with_second(c, b, token, r), buckets)
+                order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+                columns = {"c": c, "b": b, "a": a, "token": token, "doc": doc[at], "training": training[at], "given": given[at]}
+                columns = {k: x[order].astype(kinds[k]) for k, x in columns.items()}
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(bucket.dtype))
+                some = np.flatnonzero(np.diff(ends))
+                yield pa.record_batch(
+                    [
+                        pa.array(np.full(len(some), row["slice"], np.int64)), pa.array(some.astype(np.int32)),
+                        *(pa.array([packed(np.diff(x[ends[k] : ends[k + 1]], prepend=x[:1] * 0) if name == "doc" else x[ends[k] : ends[k + 1]]) for k in some], pa.binary()) for name, x in columns.items()),
+                    ],
+                    names=["slice", "bucket", *columns],
+                )
+
+    def add(group):
+        import numpy as np
+        import pyarrow as pa
+
+        r = ranks.value
+        doc = [np.cumsum(unpacked(x.as_py(), np.uint32), dtype=np.uint32) for x in group["doc"]]
+        got = {k: np.concatenate([unpacked(x.as_py(), kind) for x in group[k]]) for k, kind in kinds.items() if k not in ("doc", "given")}
+        given = np.concatenate([unpacked(x.as_py(), np.int64) for x in group["given"]]) if r.common else np.broadcast_to(np.int64(0), len(got["c"]))
+        # a bucket's contexts in some parts, one after another, for the memory
+        ends, part = np.cumsum([0, *map(len, doc)]), np.empty(len(given), np.uint8)
+        for begin, end in zip(ends[:-1], ends[1:], strict=True):
+            c, b, token = (got[k][begin:end].astype(np.int64) for k in ("c", "b", "token"))
+            part[begin:end] = mixed(with_second(c, b, token, r).astype(np.uint64)) & np.uint64(PARTS - 1)
+        delta = np.zeros(len(part))
+        for k in range(PARTS):
+            at = np.flatnonzero(part == k)
+            c, b, a, token = (got[x][at].astype(np.int64) for x in ("c", "b", "a", "token"))
+            delta[at] = settle(c, b, a, token, got["training"][at].astype(bool), given[at], r, back.value)
+        docs, sums = [], []
+        for x, begin, end in zip(doc, ends[:-1], ends[1:], strict=True):
+            summed = np.rint(np.bincount(x, delta[begin:end]) / UNIT).astype(np.int64)
+            some = np.flatnonzero(summed)
+            docs.append(packed(np.diff(some, prepend=0).astype(np.uint32)))
+            sums.append(packed(summed[some] << 1 ^ summed[some] >> 63))  # small ones of either sign have few bytes
+        return pa.table({"slice": group["slice"], "doc": pa.array(docs, pa.binary()), "delta": pa.array(sums, pa.binary())})
+
+    taken = known.select(*(x for x in known.columns if x in ("slice", "lengths", "held_out", "ids", "given")))
+    dealt = taken.mapInArrow(send, "slice long, bucket int, " + ", ".join(f"{k} binary" for k in kinds))
+    return dealt.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(add, "slice long, doc binary, delta binary")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -533,123 +821,53 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the longest state that ends before it; the root is the add-one distribution of `base_score`. A null text is the end
     token alone. Ids may be null or repeated; a null id isn't held out. Other columns are ignored.
 
-    Scale: texts are read once; each depth reads their hashes and shuffles counts that tasks have summed. Words, states
-    and entries are tables that grow with the corpus. The tasks get filters of bounded size and the common ones, and
-    settle most tokens; each other token is a row that is joined with the tables by hash.
+    Scale: texts are read once, and cut into slices. Slices send their distinct words to buckets by hash, which tell them how often
+    each occurs, and then each token with the three words before it to the bucket of its contexts, which counts, tests and
+    scores, and returns a sum for each text. The tasks get how many words occur how often, and the weights of common words.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     with Staging() as read:
-        hashed = staged(tokenized(rows), "tokens")
-    vocabulary, total, distinct, tables = states(hashed.filter(~F.col("held_out")))
-    model = [
-        (Filter(kept, "ctx"), Filter(entries, "key"), Known(kept, "ctx", "back", "times"), Known(entries, "key", "delta", "n"))
-        for kept, entries in tables
-    ]
-    common = docs.sparkSession.sparkContext.broadcast((model, Known(vocabulary, "key", "n", "n")))
-    asked = [f"{c}{d}" for d in range(1, DEPTH + 1) for c in ("key", "ctx")]
-
-    def score(batches):
+        cut = staged(cut_slices(rows), "tokens")
+    size = cut.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = size // BUCKET + 1
+    vocabulary = staged(count_words_of_slices(cut, buckets), "words")
+    numbers = Ranks(vocabulary, buckets)
+    ranks = spark.sparkContext.broadcast(numbers)
+    with Staging() as plain:
+        known = staged(number_slices(cut, vocabulary, ranks), "known")
+    read.release()
+    documents = staged(known.drop("ids"), "documents")
+    freed(spark)
+    told = staged(count_common_pairs(known, ranks, buckets), "told")
+    sums = told.filter("slice = -1").select(F.explode(F.arrays_zip("ctx", *SUMS)).alias("x")).groupBy(F.col("x.ctx").alias("ctx")).agg(*(F.sum(f"x.{c}").alias(c) for c in SUMS))
+    kept = staged(sums, "kept")
+    back = spark.sparkContext.broadcast(common_weights(kept, numbers))
+    if numbers.common:
+        known = staged(tell_pairs(known, told, ranks, buckets), "known")
+        plain.release()
+    freed(spark)
+    settled = staged(settle_windows(known, ranks, back, buckets), "settled")
+    ranks.destroy()
+    back.destroy()
+    freed(spark)
+    total = numbers.total
+
+    def put_together(batches):
         import numpy as np
         import pyarrow as pa
 
-        model, counts = common.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                tokens, place, lengths, found = grams(batch)
-                begin, of = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
-                n, known = counts(tokens)
-                found_n = known
-                base = np.where(known, np.log10(n + 1.0), 0.0) - math.log10(total + distinct + 1)
-                # what a state says of each token over the root, from the longest context on, as far as it is known here
-                more, going = np.zeros(len(tokens)), np.ones(len(tokens), bool)
-                open_ = np.zeros(len(tokens), bool)
-                ask = {c: np.full(len(tokens), -1, np.int64) for c in asked}
-                for d in range(DEPTH, 0, -1):
-                    is_state, is_entry, back, delta = model[d - 1]
-                    ctx, key = earlier(found[d - 1]), found[d]
-                    i = np.flatnonzero(going & (place >= d))
-                    i = i[is_state(ctx[i])]
-                    value, has = back(ctx[i])
-                    if back.whole:
-                        i, value, has = i[has], value[has], has[has]
-                    ask[f"key{d}"][i], ask[f"ctx{d}"][i] = key[i], ctx[i]
-                    asks = open_[i].copy()
-                    # which of them may be entries, and what those entries say
-                    j = np.flatnonzero(~asks)
-                    j = j[is_entry(key[i[j]])]
-                    said, entry = delta(key[i[j]])
-                    more[i[j[entry]]] += said[entry]
-                    going[i[j[entry]]] = False
-                    settled = asks.copy()
-                    settled[j[entry]] = True
-                    # the others go on to the shorter context, where it is known that the state has no such entry
-                    no_entry = np.ones(len(i), bool)
-                    if not delta.whole:
-                        no_entry[j[~entry]] = False
-                    on = ~settled & has & no_entry
-                    more[i[on]] += value[on]
-                    new = i[~settled & ~on]
-                    open_[new] = True
-                    done = i[~(asks | (~settled & ~on))]
-                    ask[f"key{d}"][done], ask[f"ctx{d}"][done] = -1, -1
-                known = known | counts.whole  # then the others occur in no training text, and count 0
-                doc = of[~known]
-                order = np.lexsort((tokens[~known], doc))
-                doc, rare = doc[order], tokens[~known][order]
-                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])[: len(doc)]
-                starts = np.flatnonzero(new)
-                times = np.diff(np.concatenate([starts, [len(doc)]]))
-                offsets = lambda x: pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(lengths)))]).astype(np.int32))
-                rare_at, open_at = offsets(doc[starts]), offsets(of[open_])
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, base = numpied(row, "lengths", np.int64), numpied(row, "base", float)
+                sums = np.zeros(len(base), np.int64)
+                for x in row["settled"] or []:
+                    delta = unpacked(x["delta"], np.int64)
+                    sums[np.cumsum(unpacked(x["doc"], np.uint32))] += delta >> 1 ^ -(delta & 1)
                 yield pa.record_batch(
-                    [
-                        batch["row"], batch["doc_id"], batch["held_out"], pa.array(lengths), pa.array(np.add.reduceat(found_n.astype(np.int64), begin)),
-                        pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(more, begin)),
-                        pa.ListArray.from_arrays(rare_at, pa.array(rare[starts])), pa.ListArray.from_arrays(rare_at, pa.array(times.astype(np.int32))),
-                        *(pa.ListArray.from_arrays(open_at, pa.array(ask[c][open_])) for c in asked),
-                    ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "more", "rare", "times", *asked],
+                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(lengths), pa.array(numpied(row, "known", np.int64)), pa.array(np.full(len(base), total, np.int64)), pa.array(base), pa.array(base + sums * UNIT)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, more double, rare array<long>, times array<int>, " + ", ".join(f"{c} array<long>" for c in asked)
-    with Staging() as answered:
-        scored = staged(hashed.mapInArrow(score, schema), "scored")
-    common.destroy()
-    read.release()
-    documents = staged(scored.drop("rare", "times", *asked), "documents")
-    wanted = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    counted = wanted.join(vocabulary, "key").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    counted = staged(counted, "known")
-    with Staging() as asks:
-        pending = scored.select("row", F.explode(F.arrays_zip(*asked)).alias("x")).select("row", *(F.col(f"x.{c}").alias(c) for c in asked))
-        pending = staged(pending, "pending")
-    answered.release()
-    settled = []
-    for d in range(DEPTH, 0, -1):
-        with Staging() as made:
-            kept, entries = tables[d - 1]
-            key, ctx = f"key{d}", f"ctx{d}"
-            rest = [c for c in asked if int(c[-1]) < d]
-            found = of_large_groups(pending.filter(F.col(ctx) >= 0), entries.withColumnRenamed("key", key), key, "n", total)
-            found = staged(found.drop("n", key), "found")
-            freed(docs.sparkSession)
-            missed = of_large_groups(found.filter("delta is null").drop("delta"), kept.withColumnRenamed("ctx", ctx), ctx, "times", total)
-            missed = staged(missed.select("row", *rest, F.coalesce("back", F.lit(0.0)).alias("delta")), "missed")
-            sums = found.filter("delta is not null").select("row", "delta").unionByName(missed.filter("delta != 0").select("row", "delta"))
-            settled.append(staged(sums.groupBy("row").agg(F.sum("delta").alias("delta")), "settled"))
-            if rest:
-                with Staging() as further:
-                    pending = staged(pending.filter(F.col(ctx) < 0).select("row", *rest).unionByName(missed.select("row", *rest)).filter(" or ".join(f"{c} >= 0" for c in rest if c[0] == "c")), "pending")
-                    asks.release()
-                    asks.tables, further.tables = further.tables, []
-            made.release((settled[-1],))
-        freed(docs.sparkSession)
-    asks.release()
-    joined = functools.reduce(DataFrame.unionByName, settled).groupBy("row").agg(F.sum("delta").alias("delta"))
-    gain, delta = F.coalesce("gain", F.lit(0.0)), F.coalesce("delta", F.lit(0.0))
-    out = documents.join(counted, "row", "left").join(joined, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("base_score") + gain + F.col("more") + delta).alias("score"),
-    )
+    returned = settled.groupBy("slice").agg(F.collect_list(F.struct("doc", "delta")).alias("settled"))
+    return documents.join(returned, "slice", "left").mapInArrow(put_together, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -388,6 +388,39 @@ def test_scores_of_odd_rows(messy, empty):
     assert suffix_tree.score_documents(empty).count() == 0
 
 
+def test_the_tree_stages_few_bytes_a_token(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "COMMON", 300)
+    total = 0
+
+    def staged(df, name):
+        nonlocal total
+        out = common.staged(df, name)
+        total += sum(Path(x.removeprefix("file://")).stat().st_size for x in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "staged", staged)
+    rows = suffix_tree.score_documents(table(spark, DATA.replace("0.001", "0.01"), "documents"))
+    n = rows.agg(F.sum("n_tokens")).first()[0]
+    assert total < 16 * n, total / n
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for kind in (np.uint8, np.uint32, np.int64):
+        for size, most in ((0, 1), (1, 200), (1000, 1), (5000, np.iinfo(kind).max)):
+            x = rng.integers(0, most, size).astype(kind)
+            assert (suffix_tree.unpacked(suffix_tree.packed(x), kind) == x).all()
+    assert len(suffix_tree.packed(np.arange(256, dtype=np.int64))) < 400  # seven of the planes are zeros
+
+
+def test_numbers_of_words_go_by_how_often_they_occur(spark, make):
+    texts = [(7 * i, "aa " * 9 + "bb cc bb " + "dd ee dd ee " * (i % 2), "en", "s") for i in range(40)]
+    rows = make(texts).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(False).alias("held_out"), "text")
+    found = suffix_tree.Ranks(suffix_tree.count_words_of_slices(suffix_tree.cut_slices(rows), 3), 3)
+    assert found.count(np.arange(7)).tolist() == [360, 80, 40, 40, 40, 40, 0]
+    assert (found.total, found.distinct, found.other, found.contexts) == (600, 6, 6, 6)
+
+
 # tokens, packing, files
 
 
