@@ -462,7 +462,8 @@ def count_words_of_slices(cut: DataFrame, buckets: int) -> DataFrame:
     """How often training texts have each word, told to each slice that has it: `slice, bucket, n, place` for each bucket of hashes,
     the last two of each word of the slice in order of hash; `place` is a word's among those of its bucket that occur as often.
 
-    Each bucket also has a row of slice -1: the numbers `n` that occur, and how many words have each.
+    Each bucket also has a row of slice -1: the numbers `n` that occur, how many words have each, and of the common words the hashes,
+    numbers and places, one array after another.
     """
 
     def send(batches):
@@ -481,7 +482,7 @@ def count_words_of_slices(cut: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         keys, n = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("key", "n"))
-        of, _ = numbered(keys)
+        of, first = numbered(keys)
         total = np.bincount(of, n).astype(np.int64)
         order = np.argsort(total, kind="stable")
         numbers, starts, many = np.unique(total[order], return_index=True, return_counts=True)
@@ -489,15 +490,18 @@ def count_words_of_slices(cut: DataFrame, buckets: int) -> DataFrame:
         place[order] = np.arange(len(total)) - np.repeat(starts, many)
         ends = np.cumsum([len(x) // 8 for x in group["key"].to_pylist()])[:-1]
         told = [[packed(x) for x in np.split(y[of], ends)] for y in (total, place)]
+        most = total >= max(LEAST_CONTEXT, COMMON + 1)
+        common = np.concatenate([x[most] for x in (keys[first], total, place)]).tobytes()
         return pa.table(
             {
                 "slice": pa.array([*group["slice"].to_pylist(), -1], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * (len(group) + 1), pa.int32()),
                 "n": pa.array([*told[0], packed(numbers)], pa.binary()), "place": pa.array([*told[1], packed(many.astype(np.int64))], pa.binary()),
+                "common": pa.array([None] * len(group) + [common], pa.binary()),
             }
         )
 
     dealt = cut.select("slice", "words", "seen").mapInArrow(send, "slice long, bucket int, key binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(add, "slice long, bucket int, n binary, place binary")
+    return dealt.groupBy("bucket").applyInArrow(add, "slice long, bucket int, n binary, place binary, common binary")
 
 
 class Ranks:
@@ -507,7 +511,8 @@ class Ranks:
     def __init__(self, counted: DataFrame, buckets: int):
         import numpy as np
 
-        rows = {r["bucket"]: (unpacked(bytes(r["n"]), np.int64), unpacked(bytes(r["place"]), np.int64)) for r in counted.filter("slice = -1").collect()}
+        told = counted.filter("slice = -1").collect()
+        rows = {r["bucket"]: (unpacked(bytes(r["n"]), np.int64), unpacked(bytes(r["place"]), np.int64)) for r in told}
         none = np.zeros(0, np.int64)
         each = [rows.get(b, (none, none)) for b in range(buckets)]
         n, many = (np.concatenate([x[k] for x in each]) for k in (0, 1))
@@ -528,9 +533,14 @@ class Ranks:
             self.in_bucket.append((n[at], starts[at]))
         new = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])[: len(n)])
         self.firsts, self.counts = starts[new], n[new]
-        #: How many words may be in a context, and how many are common: the first ones.
-        self.contexts, self.common = (int(many[n >= least].sum()) for least in (LEAST_CONTEXT, COMMON + 1))
-        self.common = min(self.common, self.contexts)
+        #: How many words may be in a context: the first ones.
+        self.contexts = int(many[n >= LEAST_CONTEXT].sum())
+        common = {r["bucket"]: np.frombuffer(r["common"], np.int64).reshape(3, -1) for r in told}
+        number = np.concatenate([np.zeros(0, np.int64), *(self.of_bucket(b, *x[1:]) for b, x in common.items())])
+        order = np.argsort(number)
+        #: The hashes of the common words, which are the first ones of all.
+        self.common_hashes = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in common.values())])[order]
+        self.common = len(order)
 
     def of_bucket(self, bucket: int, n, place):
         import numpy as np
@@ -550,37 +560,6 @@ class Ranks:
         return np.where(number < self.other, self.counts[np.searchsorted(self.firsts, number, side="right") - 1], 0)
 
 
-def number_slices(cut: DataFrame, counted: DataFrame, ranks) -> DataFrame:
-    """The slices with the numbers of their tokens, packed, and for each text how many tokens are known and its base score."""
-
-    def number(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        r = ranks.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                order = np.argsort(np.frombuffer(row["words"], np.int64))
-                n, ids = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-                n_found = [unpacked(x["n"], np.int64) for x in row["told"]]
-                n[order] = np.concatenate(n_found)
-                ids[order] = np.concatenate([r.of_bucket(x["bucket"], m, unpacked(x["place"], np.int64)) for x, m in zip(row["told"], n_found, strict=True)])
-                tokens, lengths = unpacked(row["tokens"], np.uint32), numpied(row, "lengths", np.int64)
-                begin = np.cumsum(lengths) - lengths
-                known = np.add.reduceat((n > 0)[tokens].astype(np.int64), begin)
-                base = np.add.reduceat((np.log10(n + 1.0) - math.log10(r.size))[tokens], begin)
-                one = lambda x: pa.array([x])
-                yield pa.record_batch(
-                    [
-                        one(row["slice"]), pa.array([row["doc_id"]], pa.list_(pa.int64())), one(row["held_out"]), one(lengths.astype(np.int32)), one(known), one(base), one(packed(ids.astype(np.uint32)[tokens])),
-                    ],
-                    names=["slice", "doc_id", "held_out", "lengths", "known", "base", "ids"],
-                )
-
-    told = counted.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "place"))).alias("told"))
-    return cut.select("slice", "doc_id", "held_out", "lengths", "words", "tokens").join(told, "slice").mapInArrow(number, "slice long, doc_id array<long>, held_out array<boolean>, lengths array<int>, known array<long>, base array<double>, ids binary")
-
-
 def divergence(of, size: int, p, shorter):
     """For each of `size` contexts, by its entries (which context each is `of`): the sums that `back_weights` needs."""
     import numpy as np
@@ -620,27 +599,40 @@ def with_second(c, b, token, ranks: Ranks):
     return c << 32 | np.where(c < ranks.common, np.where(b < ranks.other, b, token) + 1, 0)
 
 
-def common_pairs(ids, place, training, ranks: Ranks, buckets: int):
-    """Which tokens follow a common word and have a number of their own, the place of each one's pair among the distinct pairs, those pairs in
-    order of bucket, their buckets, and how often training texts have each."""
+def common_pairs(words_, tokens, place, training, ranks: Ranks, buckets: int):
+    """Which tokens of a slice follow a common word, the place of each one's pair among the distinct pairs, these pairs' hashes in order of
+    bucket, their buckets, how often training texts of the slice have each, and where one of each is."""
     import numpy as np
 
-    at = np.flatnonzero((place >= 1) & (earlier(ids) < ranks.common) & (ids < ranks.other))
-    pairs = ids[at - 1] << 32 | ids[at]
-    number, first = numbered(pairs)
-    bucket = spread(pairs[first], buckets)
+    order = np.argsort(ranks.common_hashes)
+    at = np.searchsorted(ranks.common_hashes[order], words_)
+    number = np.full(len(words_), -1, np.int64)
+    if ranks.common:
+        own = order[np.minimum(at, ranks.common - 1)]
+        number[ranks.common_hashes[own] == words_] = own[ranks.common_hashes[own] == words_]
+    before = earlier(number[tokens])
+    at = np.flatnonzero((place >= 1) & (before >= 0))
+    pairs, one = numbered(before[at] << 32 | tokens[at])
+    first = at[one]
+    key = (mixed(mixed(before[first].astype(np.uint64) + np.uint64(1)) ^ words_[tokens[first]].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+    bucket = bucket_of(key, buckets)
     order = np.argsort(bucket, kind="stable")
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    number = back[number]
-    return at, number, pairs[first][order], bucket[order], np.bincount(number[training[at]], minlength=len(order)).astype(np.int64)
+    pairs = back[pairs]
+    return at, pairs, key[order], bucket[order], np.bincount(pairs[training[at]], minlength=len(order)).astype(np.int64), before[first][order], tokens[first][order]
 
 
-def count_common_pairs(known: DataFrame, ranks, buckets: int) -> DataFrame:
-    """How often training texts have each token after each common word, told to each slice: `slice, bucket, n`, in the order of `common_pairs`.
+def pairs_of(row, ranks: Ranks, buckets: int):
+    import numpy as np
 
-    Rows of slice -1 have what each bucket adds to the divergence of each word: `ctx, freedom, p, shorter, gain`.
-    """
+    lengths = numpied(row, "lengths", np.int64)
+    return common_pairs(np.frombuffer(row["words"], np.int64), unpacked(row["tokens"], np.uint32).astype(np.int64), places(lengths)[0], np.repeat(~numpied(row, "held_out", bool), lengths), ranks, buckets)
+
+
+def count_common_pairs(cut: DataFrame, ranks, buckets: int) -> DataFrame:
+    """How often training texts have each token after each common word, told to each slice that has it: `slice, bucket, n`, in the order
+    of `common_pairs`. `n` is twice that number, and 1 more in one of the slices, which adds the pair to the divergence."""
 
     def send(batches):
         import numpy as np
@@ -649,9 +641,7 @@ def count_common_pairs(known: DataFrame, ranks, buckets: int) -> DataFrame:
         r = ranks.value
         for batch in batches:
             for row in batch.to_pylist() if r.common else []:
-                lengths = numpied(row, "lengths", np.int64)
-                place, _ = places(lengths)
-                _, _, pairs, bucket, n = common_pairs(unpacked(row["ids"], np.uint32).astype(np.int64), place, np.repeat(~numpied(row, "held_out", bool), lengths), r, buckets)
+                _, _, pairs, bucket, n, *_ = pairs_of(row, r, buckets)
                 out = sent(bucket, buckets, {"key": pairs, "n": n})
                 yield pa.record_batch([pa.array(np.full(len(out), row["slice"], np.int64)), *out.columns], names=["slice", *out.schema.names])
 
@@ -659,27 +649,59 @@ def count_common_pairs(known: DataFrame, ranks, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        r = ranks.value
         keys, n = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("key", "n"))
         of, first = numbered(keys)
-        total = np.bincount(of, n).astype(np.int64)
-        often = total >= LEAST_JOINT
-        ctx, token = keys[first][often] >> 32, keys[first][often] & 0xFFFFFFFF
-        shorter = (r.count(token) + 1) / r.size
-        p = (total[often] + SHORTER * shorter) / (r.count(ctx) + SHORTER)
-        unique, x = np.unique(ctx, return_inverse=True)
-        sums = divergence(x, len(unique), p, shorter)
+        told = 2 * np.bincount(of, n).astype(np.int64)[of]
+        told[first] += 1
         ends = np.cumsum([len(k) // 8 for k in group["key"].to_pylist()])[:-1]
-        told, size = [packed(y) for y in np.split(total[of], ends)], len(group)
-        return pa.table(
-            {
-                "slice": pa.array([*group["slice"].to_pylist(), -1], pa.int64()), "bucket": pa.array([group["bucket"][0].as_py()] * (size + 1), pa.int32()), "n": pa.array([*told, None], pa.binary()),
-                "ctx": pa.array([None] * size + [unique], pa.list_(pa.int64())), **{c: pa.array([None] * size + [y], pa.list_(pa.float64())) for c, y in zip(SUMS, sums, strict=True)},
-            }
-        )
+        return pa.table({"slice": group["slice"], "bucket": group["bucket"], "n": pa.array([packed(y) for y in np.split(told, ends)], pa.binary())})
+
+    dealt = cut.select("slice", "lengths", "held_out", "words", "tokens").mapInArrow(send, "slice long, bucket int, key binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(add, "slice long, bucket int, n binary")
 
-    dealt = known.select("slice", "lengths", "held_out", "ids").mapInArrow(send, "slice long, bucket int, key binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(add, "slice long, bucket int, n binary, ctx array<long>, " + ", ".join(f"{c} array<double>" for c in SUMS))
+
+def number_slices(cut: DataFrame, counted: DataFrame, pairs: DataFrame, ranks, buckets: int) -> DataFrame:
+    """The slices with the numbers of their tokens, packed, and for each text how many tokens are known and its base score; `given`,
+    how often training texts have each token after the common word before it; and what the slice adds to the divergence of common words."""
+
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        r = ranks.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                order = np.argsort(np.frombuffer(row["words"], np.int64))
+                n, ids = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                n_found = [unpacked(x["n"], np.int64) for x in row["told"]]
+                n[order] = np.concatenate(n_found)
+                ids[order] = np.concatenate([r.of_bucket(x["bucket"], m, unpacked(x["place"], np.int64)) for x, m in zip(row["told"], n_found, strict=True)])
+                tokens, lengths = unpacked(row["tokens"], np.uint32), numpied(row, "lengths", np.int64)
+                begin = np.cumsum(lengths) - lengths
+                known = np.add.reduceat((n > 0)[tokens].astype(np.int64), begin)
+                base = np.add.reduceat((np.log10(n + 1.0) - math.log10(r.size))[tokens], begin)
+                given, ctx, sums = np.zeros(len(tokens), np.int64), np.zeros(0, np.int64), [np.zeros(0)] * len(SUMS)
+                if row["pairs"]:
+                    follows, pair, _, _, _, before, after = pairs_of(row, r, buckets)
+                    told = np.concatenate([unpacked(x["n"], np.int64) for x in row["pairs"]])
+                    given[follows] = (told >> 1)[pair]
+                    own = (told & 1 == 1) & (told >> 1 >= LEAST_JOINT)
+                    ctx, x = np.unique(before[own], return_inverse=True)
+                    shorter = (n[after[own]] + 1) / r.size
+                    sums = divergence(x, len(ctx), ((told >> 1)[own] + SHORTER * shorter) / (r.count(before[own]) + SHORTER), shorter)
+                one = lambda x: pa.array([x])
+                yield pa.record_batch(
+                    [
+                        one(row["slice"]), pa.array([row["doc_id"]], pa.list_(pa.int64())), one(row["held_out"]), one(lengths.astype(np.int32)), one(known), one(base), one(packed(ids.astype(np.uint32)[tokens])), one(packed(given)), one(ctx), *map(one, sums),
+                    ],
+                    names=["slice", "doc_id", "held_out", "lengths", "known", "base", "ids", "given", "ctx", *SUMS],
+                )
+
+    told = counted.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "place"))).alias("told"))
+    pairs = pairs.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("pairs"))
+    joined = cut.select("slice", "doc_id", "held_out", "lengths", "words", "tokens").join(told, "slice").join(pairs, "slice", "left")
+    schema = "slice long, doc_id array<long>, held_out array<boolean>, lengths array<int>, known array<long>, base array<double>, ids binary, given binary, ctx array<long>"
+    return joined.mapInArrow(number, ", ".join([schema, *(f"{c} array<double>" for c in SUMS)]))
 
 
 def settle(c, b, a, token, training, given, ranks: Ranks, common_back):
@@ -725,27 +747,6 @@ def settle(c, b, a, token, training, given, ranks: Ranks, common_back):
     return delta
 
 
-def tell_pairs(known: DataFrame, told: DataFrame, ranks, buckets: int) -> DataFrame:
-    """The slices with `given`, packed: for each token after a common word, how often training texts have it there."""
-
-    def tell(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        r = ranks.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, lengths = unpacked(row["ids"], np.uint32).astype(np.int64), numpied(row, "lengths", np.int64)
-                given = np.zeros(len(ids), np.int64)
-                if row["told"]:
-                    follows, number, *_ = common_pairs(ids, places(lengths)[0], np.zeros(len(ids), bool), r, buckets)
-                    given[follows] = np.concatenate([unpacked(x["n"], np.int64) for x in row["told"]])[number]
-                yield pa.record_batch([pa.array([x]) for x in (row["slice"], row["held_out"], lengths.astype(np.int32), row["ids"], packed(given))], names=["slice", "held_out", "lengths", "ids", "given"])
-
-    told = told.filter("slice >= 0").groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("told"))
-    return known.select("slice", "held_out", "lengths", "ids").join(told, "slice", "left").mapInArrow(tell, "slice long, held_out array<boolean>, lengths array<int>, ids binary, given binary")
-
-
 def settle_windows(known: DataFrame, ranks, back, buckets: int) -> DataFrame:
     """`slice, doc, delta`: for some texts of a slice, the sum of what states say of their tokens over the root, in units of UNIT.
 
@@ -764,7 +765,7 @@ def settle_windows(known: DataFrame, ranks, back, buckets: int) -> DataFrame:
                 ids, lengths = unpacked(row["ids"], np.uint32).astype(np.int64), numpied(row, "lengths", np.int64)
                 training = np.repeat(~numpied(row, "held_out", bool), lengths)
                 place, doc = places(lengths)
-                given = unpacked(row["given"], np.int64) if "given" in row else np.zeros(len(ids), np.int64)
+                given = unpacked(row["given"], np.int64)
                 at = np.flatnonzero((place >= 1) & (earlier(ids) < r.contexts))
                 c, token, b, a = ids[at - 1], ids[at], ids[at - 2], ids[at - 3]
                 b[(place[at] < 2) | (b >= r.contexts)] = r.other
@@ -809,8 +810,7 @@ def settle_windows(known: DataFrame, ranks, back, buckets: int) -> DataFrame:
             sums.append(packed(summed[some] << 1 ^ summed[some] >> 63))  # small ones of either sign have few bytes
         return pa.table({"slice": group["slice"], "doc": pa.array(docs, pa.binary()), "delta": pa.array(sums, pa.binary())})
 
-    taken = known.select(*(x for x in known.columns if x in ("slice", "lengths", "held_out", "ids", "given")))
-    dealt = taken.mapInArrow(send, "slice long, bucket int, " + ", ".join(f"{k} binary" for k in kinds))
+    dealt = known.select("slice", "lengths", "held_out", "ids", "given").mapInArrow(send, "slice long, bucket int, " + ", ".join(f"{k} binary" for k in kinds))
     return dealt.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(add, "slice long, doc binary, delta binary")
 
 
@@ -834,18 +834,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vocabulary = staged(count_words_of_slices(cut, buckets), "words")
     numbers = Ranks(vocabulary, buckets)
     ranks = spark.sparkContext.broadcast(numbers)
-    with Staging() as plain:
-        known = staged(number_slices(cut, vocabulary, ranks), "known")
+    told = staged(count_common_pairs(cut, ranks, buckets), "told")
+    known = staged(number_slices(cut, vocabulary, told, ranks, buckets), "known")
     read.release()
-    documents = staged(known.drop("ids"), "documents")
-    freed(spark)
-    told = staged(count_common_pairs(known, ranks, buckets), "told")
-    sums = told.filter("slice = -1").select(F.explode(F.arrays_zip("ctx", *SUMS)).alias("x")).groupBy(F.col("x.ctx").alias("ctx")).agg(*(F.sum(f"x.{c}").alias(c) for c in SUMS))
+    documents = staged(known.select("slice", "doc_id", "held_out", "lengths", "known", "base"), "documents")
+    sums = known.select(F.explode(F.arrays_zip("ctx", *SUMS)).alias("x")).groupBy(F.col("x.ctx").alias("ctx")).agg(*(F.sum(f"x.{c}").alias(c) for c in SUMS))
     kept = staged(sums, "kept")
     back = spark.sparkContext.broadcast(common_weights(kept, numbers))
-    if numbers.common:
-        known = staged(tell_pairs(known, told, ranks, buckets), "known")
-        plain.release()
     freed(spark)
     settled = staged(settle_windows(known, ranks, back, buckets), "settled")
     ranks.destroy()
