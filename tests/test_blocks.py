@@ -194,3 +194,26 @@ def test_templates_of_all_folds_at_once(spark):
         marked = panel.join(members, "subject").withColumn("inside", F.col("member") & (F.col("fold") != f))
         for r in features.intersubject_matrices(marked, "inside", 3).collect():
             assert got[f, r["subject"], r["experiment"], r["feature"]] == pytest.approx(r["r"], abs=1e-9)
+
+
+def plan_above_tiles(df):
+    """The operators of a plan that stand above the one that makes the cells of pairs."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return "\n".join(lines[: next(i for i, line in enumerate(lines) if "FlatMapGroupsInArrow" in line)])
+
+
+def few_subjects(spark, n=17, width=4):
+    x = np.random.default_rng(8).normal(size=(n, width))
+    return x, spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(x) for k, v in enumerate(row)], "subject int, feature int, value double")
+
+
+def test_centred_cells_are_not_shuffled(spark, monkeypatch):
+    """Cells go from the task that makes them to the result, in tiles; only features are shuffled."""
+    monkeypatch.setattr(blocks, "TILE", 3, raising=False)
+    x, long = few_subjects(spark)
+    df = blocks.entries(blocks.centre(blocks.pair_distances(long, rows=7)), "g", both=True)
+    assert "Exchange" not in plan_above_tiles(df) and "Join" not in plan_above_tiles(df)
+    a = -0.5 * ((x[:, None] - x[None]) ** 2).sum(2)
+    want = a - a.mean(0) - a.mean(1)[:, None] + a.mean()
+    got = {(r["i"], r["j"]): r["g"] for r in df.collect()}
+    assert len(got) == 17 * 17 and all(v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
