@@ -217,3 +217,19 @@ def test_centred_cells_are_not_shuffled(spark, monkeypatch):
     want = a - a.mean(0) - a.mean(1)[:, None] + a.mean()
     got = {(r["i"], r["j"]): r["g"] for r in df.collect()}
     assert len(got) == 17 * 17 and all(v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
+
+
+def test_distances_are_not_shuffled(spark, monkeypatch):
+    """Nor are they, rounded where they are made, and those of features that some lack keep their digits."""
+    monkeypatch.setattr(blocks, "TILE", 5, raising=False)
+    x, _ = few_subjects(spark)
+    x += 1e5
+    x[3], x[4, 0] = x[2], np.nan
+    long = spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(x) for k, v in enumerate(row) if np.isfinite(v)], "subject int, feature int, value double")
+    df = ranking.pairwise_distance(long)
+    assert "Exchange" not in plan_above_tiles(df) and "Join" not in plan_above_tiles(df)
+    got = {(r["i"], r["j"]): r["distance"] for r in df.collect()}
+    want = np.sqrt(np.nansum((x[:, None] - x[None]) ** 2, 2))
+    assert len(got) == 17 * 16 // 2 and got[2, 3] == 0 and all(v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
+    rounded = {(r["i"], r["j"]): r["distance"] for r in ranking.pairwise_distance(long, digits=3).collect()}
+    assert all(v == round(got[k], 3) for k, v in rounded.items())
