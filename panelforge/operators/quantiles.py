@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.sources.files import kept
+
 #: Values of one group that a task may hold; steps of the grid that narrows a range; accuracy of its mergeable sketch.
 MOST, GRID, ACCURACY = 1 << 16, 256, 4096
 
@@ -17,7 +19,8 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: list[str] =
     Groups of at most `most` values are sorted as they are. For each larger one, a pass counts the values below and
     within a range around each quantile, and takes mergeable sketches of those within; the sketch gives a narrower range
     for the next pass, until it holds at most `most` values or equal ones. The driver gets a row for each larger group,
-    of which there are at most one for every `most` rows.
+    of which there are at most one for every `most` rows. The values are written once then: computed anew for each pass,
+    a sum of them may differ in its last digit, and ties would change sides.
     """
     by, spark = list(by), df.sparkSession
     rows = df.select(*by, F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -26,6 +29,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: list[float], by: list[str] =
     plain = lambda d: d.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile("_v", F.lit(q)).alias(f"q{k}") for k, q in enumerate(qs))).filter("n > 0")
     if not large:
         return plain(rows)
+    rows = kept(rows, "quantile-values")
     # each quantile lies between the values of two ranks
     for g in large:
         for k, q in enumerate(qs):

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,20 @@ def test_quantiles_are_exact(spark, most):
     assert quantiles.exact_quantiles(df.filter("v IS NULL"), "v", qs, most=most).count() == 0
 
 
+def test_quantiles_of_values_that_change_when_computed_again(spark):
+    """As z-scores do in their last digits, whose moments are summed in another order each time: many ties, a long tail."""
+    values = np.concatenate([np.repeat([1.0, 2.0, 3.0, 5.0], 400), [40.0] * 60])
+
+    @F.pandas_udf("double")
+    def again(v: pd.Series) -> pd.Series:
+        return v * (1 + 1e-15 * np.random.default_rng().integers(-40, 40))
+
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(5).select(again("v").alias("v"))
+    qs = [0.0, 0.25, 0.5, 0.777, 1.0]
+    got = quantiles.exact_quantiles(df, "v", qs, most=30).first()
+    assert got["n"] == len(values) and [got[f"q{k}"] for k in range(5)] == pytest.approx(np.quantile(values, qs).tolist(), rel=1e-12)
+
+
 def test_split_without_a_value(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id int, v double")
     rows = prepare.split_at_percentile(df, "v").collect()
