@@ -219,6 +219,49 @@ def test_mdmr_equals_explicit_matrices(spark):
     assert got["explained"] == pytest.approx(np.trace(h @ g @ h) / np.trace(g)) and got["p"] < 0.05
 
 
+@pytest.mark.parametrize("method", ["euclidean", "correlation"])
+@pytest.mark.parametrize("denominator", ["published", "residual"])
+def test_mdmr_by_columns_in_tasks(spark, method, denominator, monkeypatch):
+    """The same permutations as in one place, for some columns of all rows in a task; rows beyond any former limit."""
+    monkeypatch.setattr(mv.wide, "PART", 4)
+    rng = np.random.default_rng(17)
+    x, y = rng.normal(size=(40, 3)) + 5, rng.normal(size=(40, 6))
+    y[:, :3] += x[:, [1]] * [1, -1, 0]
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in rng.permutation(40).tolist()], "subject int, x array<double>, y array<double>").repartition(3)
+    a, b = ((m - m.mean(0)) / m.std(0) for m in (x, y))
+    if method == "correlation":
+        b = b - b.mean(1, keepdims=True)
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        b = b - b.mean(0)
+    s = np.linalg.svd(b, compute_uv=False)
+    total, squares = (b * b).sum(), (s**2 * (1 - s**2) ** 2).sum()
+
+    def want(columns, denominator):
+        q = np.linalg.qr(np.concatenate([np.ones((40, 1)), a[:, columns]], 1))[0]
+        fit = lambda order: ((q[order].T @ b) ** 2).sum()
+        f = lambda t: t / (total - t) if denominator == "published" else t / squares
+        null = [f(fit(np.random.default_rng([0, i]).permutation(40))) for i in range(70)]
+        own = fit(np.arange(40))
+        return f(own), np.mean(np.array(null) >= f(own)), own / total, np.quantile(null, 0.95)
+
+    assert tuple(mv.mdmr(df, "x", "y", 70, method, denominator).first()) == pytest.approx(want([0, 1, 2], denominator)[:3])
+    if denominator == "published":
+        alone = [want([k], denominator) for k in range(3)]
+        got = {r["predictor"]: r["explained"] for r in mv.mdmr_importances(df, "x", "y", 70, method).collect()}
+        assert got == pytest.approx({k: e if f > cut else 0.0 for k, (f, _, e, cut) in enumerate(alone)}) and got[1] > 0
+    with pytest.raises(ValueError):
+        mv.mdmr(df, "x", "y", 70, most=39)
+
+
+def many_rows(spark):
+    return spark.range(20_001).select(F.col("id").alias("subject"), F.array(F.sin("id"), F.cos(F.col("id") * 7)).alias("x"), F.array(F.sin("id") + F.sin(F.col("id") * 3), F.cos(F.col("id") * 5)).alias("y"))
+
+
+def test_mdmr_refuses_no_number_of_rows(spark):
+    row = mv.mdmr(many_rows(spark), "x", "y", 20).first()
+    assert row["p"] == 0 and 0.2 < row["explained"] < 0.3
+
+
 def test_ward_finds_planted_groups(spark):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(size=(20, 2)) + c for c in ([0, 0], [10, 0], [0, 10])])
