@@ -262,6 +262,10 @@ def test_mdmr_refuses_no_number_of_rows(spark):
     assert row["p"] == 0 and 0.2 < row["explained"] < 0.3
 
 
+def test_mdmr_importances_refuse_no_number_of_rows(spark):
+    assert [r["explained"] > 0.2 for r in mv.mdmr_importances(many_rows(spark), "x", "y", 20).orderBy("predictor").collect()] == [True, False]
+
+
 def test_ward_finds_planted_groups(spark):
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(size=(20, 2)) + c for c in ([0, 0], [10, 0], [0, 10])])
