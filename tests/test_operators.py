@@ -194,6 +194,26 @@ def test_kernel_cca(spark, kind):
         mv.kcca_kernel(df, "x", "y", kind, most=10)
 
 
+@pytest.mark.parametrize("kind", ["linear", "gaussian", "poly"])
+def test_kernel_cca_by_products(spark, kind, monkeypatch):
+    """The same weights and correlations without a kernel in one place, by passes over some rows after another."""
+    monkeypatch.setattr(mv.wide, "PART", 8)
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(90, 4)) / 2 + 3
+    y = (x - 3) @ rng.normal(size=(4, 3)) + 0.2 * rng.normal(size=(90, 3))
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in rng.permutation(90).tolist()], "subject int, x array<double>, y array<double>").repartition(3)
+    want, got = (mv.kcca_kernel(df, "x", "y", kind, 0.5, 3, dense=d) for d in (90, 0))
+    assert got["kernel_corrs"] == pytest.approx(want["kernel_corrs"], abs=1e-9) and got["cancorrs"] == pytest.approx(want["cancorrs"], abs=1e-7)
+    for side in ("ws_x", "ws_y"):
+        sign = np.sign((got[side] * want[side]).sum(0))
+        assert got[side] * sign == pytest.approx(want[side], rel=1e-5, abs=1e-7)
+
+
+def test_kernel_cca_refuses_no_number_of_rows(spark):
+    df = spark.range(5001).select(F.col("id").alias("subject"), F.array(F.sin("id"), F.cos("id")).alias("x"), F.array(F.sin(F.col("id") + 0.1), F.cos(F.col("id") * 3)).alias("y"))
+    assert mv.kcca_kernel(df, "x", "y", "gaussian", 1.0, 2)["cancorrs"][0] > 0
+
+
 def test_pca(spark):
     x = np.random.default_rng(4).normal(size=(40, 6)) * [5, 3, 1, 1, 1, 1]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "subject int, features array<double>")
