@@ -99,6 +99,23 @@ def test_selection_leaves_out_what_does_not_vary(spark):
         models.forest_select(models.vectors(df.selectExpr("subject", "array(1.0D, 2.0D) AS features", "y")), 1, trees=5)
 
 
+def test_selection_grows_few_trees_at_once(spark, monkeypatch):
+    """The driver never holds more trees than their leaves allow, whatever their number; the forest has them all."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 6))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(x[i, 2] + x[i, 4] > 0)) for i in range(120)], "subject long, features array<double>, y int")
+    grown, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, rows: grown.append((self.getNumTrees(), self.getSeed())) or fit(self, rows))
+    monkeypatch.setattr(models, "LEAVES", 360, raising=False)
+    got = {r["feature"]: r["importance"] for r in models.forest_select(models.vectors(df), 2, trees=10).collect()}
+    assert set(got) == {2, 4} and max(t for t, _ in grown) == 3 and sum(t for t, _ in grown) == 10 and len(set(grown)) == 4
+    monkeypatch.setattr(models, "LEAVES", 1 << 18)
+    whole = {r["feature"]: r["importance"] for r in models.forest_select(models.vectors(df), 2, trees=10).collect()}
+    assert grown[-1][0] == 10 and got == pytest.approx(whole, abs=0.15)
+
+
 def test_sparsity_path(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(160, 8))
